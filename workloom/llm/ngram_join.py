@@ -41,6 +41,9 @@ ZONE = np.uint64(int(0.28 * 2**64))
 COUNTED, FREQUENT, MOST_FREQUENT = 16_384, 16, 1 << 20
 #: Up to so many classes under a token are paired at once; more go by star and groups.
 FEW = 12
+#: Pairs of different groups are made under a token with up to MANY rows; with more, the groups' sets are brought together
+#: instead, in blocks of BLOCK sets, and only the links that connect them come out.
+MANY, BLOCK = 128, 4096
 #: Candidate documents are found by a broadcast of their ids up to this number (32 MB), by a shuffled join beyond.
 BROADCAST_IDS = 4_000_000
 #: Matrix rows of one task.
@@ -101,7 +104,7 @@ def _scan(k: int):
 
 
 def _prefixes(k: int, percent: int, frequent):
-    """token, name, n, place for the first tokens of each class that a task meets."""
+    """token, name, n, place, for the first tokens of each class that a task meets."""
 
     def prefixes(batches: _BATCHES) -> _BATCHES:
         late = frequent.value
@@ -132,7 +135,7 @@ def _prefixes(k: int, percent: int, frequent):
                 places.append(np.arange(want, dtype=np.int64))
             if tokens:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(np.concatenate(tokens))), pa.array(_signed(np.concatenate(names))), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))],
+                    [pa.array(_signed(np.concatenate(tokens))), pa.array(_signed(np.concatenate(names))), *(pa.array(np.concatenate(x)) for x in (sizes, places))],
                     ["token", "name", "n", "place"],
                 )
             if len(seen) > 1_000_000:  # of use within a task only
@@ -161,22 +164,50 @@ def _possible(n, place, m, other, percent: int):
     return (100 * low >= percent * np.maximum(n, m)) & (np.minimum(n - place, m - other) >= _overlap(n, m, percent))
 
 
-def _distinct_pairs(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+class _Pairs:
+    """Distinct pairs of names, made compact as they come."""
+
+    def __init__(self) -> None:
+        self.parts: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        if len(a):
+            self.parts.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+            self.held += len(a)
+            if self.held > 4_000_000:
+                self.parts = [np.unique(np.concatenate(self.parts), axis=0)]
+                self.held = len(self.parts[0]) // 2
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        pairs = np.unique(np.concatenate(self.parts or [np.zeros((0, 2), np.int64)]), axis=0)
+        return pairs[:, 0], pairs[:, 1]
+
+
+_ROW = ["token", "name", "n", "place"]
+
+
+def _batch(kind: int, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    n = len(columns[0])
+    filled = [*columns, *[np.zeros(n, np.int64)] * (len(names) - len(columns))]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int64)), *map(pa.array, filled)], ["kind", *names])
+
+
+def _hub(rows: np.ndarray, name: np.ndarray, place: np.ndarray) -> int:
+    """The class whose prefix reaches the token first: it has the fewest tokens of its own."""
+    return rows[np.lexsort((name[rows], place[rows]))[0]]
 
 
 def _meet(percent: int):
     """Under each token: (kind 0) candidate pairs; (kind 1) the rows of tokens with many classes, for the matrix by groups."""
 
     def meet(batches: _BATCHES) -> _BATCHES:
-        token, name, n, place = _columns(batches, ["token", "name", "n", "place"])
+        token, name, n, place = _columns(batches, _ROW)
         order = np.lexsort((name, token))
-        token, name, n, place = token[order], name[order], n[order], place[order]
+        token, name, n, place = (x[order] for x in (token, name, n, place))
         keep = np.append(True, (token[1:] != token[:-1]) | (name[1:] != name[:-1])) if len(token) else np.zeros(0, bool)
-        token, name, n, place = token[keep], name[keep], n[keep], place[keep]
-        left, right, large = [], [], []
+        token, name, n, place = (x[keep] for x in (token, name, n, place))
+        pairs, large = _Pairs(), [np.zeros(0, np.int64)]
         begins, ends = _runs(token)
         short = ends - begins <= FEW
         for size in range(2, FEW + 1):  # runs of one length at once
@@ -185,60 +216,144 @@ def _meet(percent: int):
                 for j in range(i + 1, size):
                     x, y = at + i, at + j
                     ok = _possible(n[x], place[x], n[y], place[y], percent)
-                    left.append(name[x[ok]])
-                    right.append(name[y[ok]])
+                    pairs.add(name[x[ok]], name[y[ok]])
         for begin, end in zip(begins[~short], ends[~short], strict=True):
             run = np.arange(begin, end)
-            hub = run[np.lexsort((name[run], place[run]))[0]]
-            rest = run[run != hub]
-            ok = rest[_possible(n[hub], place[hub], n[rest], place[rest], percent)]
-            left.append(np.full(len(ok), name[hub]))
-            right.append(name[ok])
+            hub = _hub(run, name, place)
+            ok = run[(run != hub) & _possible(n[hub], place[hub], n[run], place[run], percent)]
+            pairs.add(np.full(len(ok), name[hub]), name[ok])
             large.append(run)
-        a, b = _distinct_pairs(left, right)
-        zero = np.zeros(len(a), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (zero, a, b, zero, zero)], ["kind", "token", "name", "n", "place"])
-        if large:
-            at = np.concatenate(large)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (zero[:0].repeat(0) if not len(at) else np.ones(len(at), np.int64), token[at], name[at], n[at], place[at])], ["kind", "token", "name", "n", "place"])
+        yield _batch(0, list(pairs.all()), _ROW)
+        at = np.concatenate(large)
+        yield _batch(1, [x[at] for x in (token, name, n, place)], _ROW)
 
     return meet
 
 
-def _opened(percent: int):
-    """Under each token with several groups: pairs of documents in different groups that the groups' bounds leave over."""
+def _qualified(percent: int):
+    """Under each token with several groups: (kind 0) pairs of documents in different groups that the groups' bounds leave,
+    or, where these could be many, (kind 1) the rows whose group has to be opened."""
 
-    def opened(batches: _BATCHES) -> _BATCHES:
-        token, name, n, place, group = _columns(batches, ["token", "name", "n", "place", "group"])
+    def qualified(batches: _BATCHES) -> _BATCHES:
+        token, name, n, place, group = _columns(batches, [*_ROW, "group"])
         order = np.lexsort((group, token))
         token, name, n, place, group = (x[order] for x in (token, name, n, place, group))
-        left, right = [], []
+        pairs, opened = _Pairs(), [np.zeros(0, np.int64)]
         for begin, end in zip(*_runs(token), strict=True):
             g = group[begin:end]
             if g[0] == g[-1]:
                 continue
+            run = np.arange(begin, end)
             at = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-            until = np.append(at[1:], end - begin)
-            size, where = n[begin:end], place[begin:end]
+            which = np.repeat(np.arange(len(at)), np.diff(np.append(at, end - begin)))
             # of each group's union: smallest and largest set, and most tokens from this one on
-            low, high, after = np.minimum.reduceat(size, at), np.maximum.reduceat(size, at), np.maximum.reduceat(size - where, at)
-            own = np.searchsorted(at, np.arange(end - begin), "right") - 1
-            for q in range(end - begin):
-                later = np.arange(own[q] + 1, len(at))
-                nearest = np.clip(size[q], low[later], high[later])
-                fits = (100 * np.minimum(nearest, size[q]) >= percent * np.maximum(nearest, size[q])) & (
-                    np.minimum(size[q] - where[q], after[later]) >= _least(np.maximum(size[q], low[later]), percent)
-                )
-                for i in later[fits]:
-                    member = np.arange(at[i], until[i])
-                    ok = member[_possible(size[q], where[q], size[member], where[member], percent)]
-                    if len(ok):
-                        left.append(np.full(len(ok), name[begin + q]))
-                        right.append(name[begin + ok])
-        a, b = _distinct_pairs(left, right)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            low, high, after = np.minimum.reduceat(n[run], at), np.maximum.reduceat(n[run], at), np.maximum.reduceat(n[run] - place[run], at)
+            step = max(1, 2_000_000 // len(run))
+            few = len(run) <= MANY
+            needed = np.zeros(len(run), bool)
+            for q in (run[i : i + step] for i in range(0, len(run), step)):
+                size, rest = n[q][:, None], (n[q] - place[q])[:, None]
+                nearest = np.clip(size, low, high)
+                fits = (100 * np.minimum(nearest, size) >= percent * np.maximum(nearest, size)) & (
+                    np.minimum(rest, after) >= _least(np.maximum(size, low), percent)
+                ) & (np.arange(len(at)) != which[q - begin][:, None])
+                if few:
+                    i, j = np.nonzero(fits[:, which])
+                    i, j = q[i], run[j]
+                    ok = (i < j) & _possible(n[i], place[i], n[j], place[j], percent)
+                    pairs.add(name[i[ok]], name[j[ok]])
+                else:
+                    needed[q - begin] |= fits.any(1)
+                    needed |= fits.any(0)[which]
+            opened.append(run[needed])
+        yield _batch(0, list(pairs.all()), [*_ROW, "group"])
+        at = np.concatenate(opened)
+        yield _batch(1, [x[at] for x in (token, name, n, place, group)], [*_ROW, "group"])
+
+    return qualified
+
+
+class _Joined:
+    """Exact links among the sets of one opened part, as few as connect what is linked."""
+
+    def __init__(self, percent: int) -> None:
+        self.percent = percent
+        self.root: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (up := self.root.get(x, x)) != x:
+            self.root[x] = self.root.get(up, up)
+            x = up
+        return x
+
+    def links(self, name: np.ndarray, group: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        part = np.array([self.find(x) for x in group.tolist()])
+        if (part == part[0]).all():
+            return []
+        n = np.array([len(s) for s in sets])
+        flat = np.concatenate(sets)
+        _, token, count = np.unique(flat, return_inverse=True, return_counts=True)
+        # rarest first among these sets; a place in that order is the token's number
+        rank = np.empty(len(count), np.int64)
+        rank[np.lexsort((np.arange(len(count)), count))] = np.arange(len(count))
+        common = np.sort(count) > 1
+        ordered = [np.sort(x) for x in np.split(rank[token], np.cumsum(n)[:-1])]
+        want = n - _least(n, self.percent) + 1
+        owner = np.repeat(np.arange(len(n)), want)
+        place = np.concatenate([np.arange(w) for w in want])
+        tokens = np.concatenate([x[:w] for x, w in zip(ordered, want, strict=True)])
+        use = common[tokens]
+        owner, place, tokens = owner[use], place[use], tokens[use]
+        by_token = np.argsort(tokens, kind="stable")
+        owner, place, tokens = owner[by_token], place[by_token], tokens[by_token]
+        found = []
+        for q in range(len(n)):
+            mine = ordered[q][: want[q]]
+            at = np.flatnonzero(common[mine])
+            begins, ends = np.searchsorted(tokens, mine[at]), np.searchsorted(tokens, mine[at], "right")
+            rows = np.concatenate([np.arange(b, e) for b, e in zip(begins, ends, strict=True)] or [np.zeros(0, np.int64)])
+            where = np.repeat(at, ends - begins)
+            d = owner[rows]
+            ok = (part[d] != part[q]) & _possible(n[q], where, n[d], place[rows], self.percent)
+            for x in np.unique(d[ok]).tolist():
+                if part[x] != part[q] and _linked(ordered[q], ordered[x], self.percent):
+                    found.append((int(name[q]), int(name[x])))
+                    a, b = sorted((int(part[q]), int(part[x])))
+                    self.root[b] = a
+                    part[part == b] = a
+        return found
+
+
+def _joined(percent: int):
+    """The links between groups of each opened part; rows of one part follow each other."""
+
+    def joined(batches: _BATCHES) -> _BATCHES:
+        state, held, now = _Joined(percent), [], None
+
+        def close() -> pa.RecordBatch:
+            name, group = (np.array([x[i] for x in held], np.int64) for i in (0, 1))
+            links = state.links(name, group, [x[2] for x in held]) if held else []
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("token", "i", "j")), strict=True))
+            names, groups, tokens = batch.column("name").to_pylist(), batch.column("group").to_pylist(), batch.column("tokens")
+            for r, key in enumerate(keys):
+                if key != now:
+                    yield close()
+                    held, now = [], key
+                held.append((names[r], groups[r], np.frombuffer(tokens[r].as_buffer(), np.uint64)))
+        yield close()
+
+    return joined
+
 
-    return opened
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share enough of their union."""
+    if len(x) > len(y):
+        x, y = y, x
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def _whole_sets(k: int):
@@ -254,34 +369,47 @@ def _whole_sets(k: int):
 def _compare(percent: int):
     def compare(batches: _BATCHES) -> _BATCHES:
         for batch in batches:
-            a, b = batch.column("x"), batch.column("y")
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = np.frombuffer(a[i].as_buffer(), np.uint64), np.frombuffer(b[i].as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
+            sets = [[np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in ("x", "y")]
+            keep = pa.array([_linked(x, y, percent) for x, y in zip(*sets, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     return compare
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs of names that are linked, as pairs of the classes' doc_ids."""
-    pairs = materialize(pairs.distinct())
-    named = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
-    ids = materialize(classes.join(named, "name", "left_semi").select("doc_id").distinct())
+def _sets_of(docs: DataFrame, classes: DataFrame, names: DataFrame, k: int) -> DataFrame:
+    """name, tokens of the classes named; their texts are read again rather than kept for all."""
+    ids = materialize(classes.join(names, "name", "left_semi").select("doc_id").distinct())
     small = ids.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").select("text")
-    sets = materialize(texts.mapInArrow(_whole_sets(k), "name long, tokens binary"))
-    one = sets.dropDuplicates(["name"])
+    return materialize(texts.mapInArrow(_whole_sets(k), "name long, tokens binary")).dropDuplicates(["name"])
+
+
+def _as_ids(links: DataFrame, classes: DataFrame) -> DataFrame:
+    id_of = lambda c: classes.select(F.col("name").alias(c), F.col("doc_id").alias(f"_{c}"))
+    both = links.join(id_of("a"), "a").join(id_of("b"), "b")
+    return materialize(both.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+
+
+def _verified(docs: DataFrame, classes: DataFrame, met: DataFrame, k: int, percent: int) -> DataFrame:
+    """The candidate pairs that are linked, as pairs of the classes' doc_ids."""
+    pairs = materialize(met.filter("kind = 0").select(F.col("token").alias("a"), F.col("name").alias("b")).distinct())
+    one = _sets_of(docs, classes, pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct(), k)
     both = pairs.join(one.select(F.col("name").alias("b"), F.col("tokens").alias("y")), "b").join(
         one.select(F.col("name").alias("a"), F.col("tokens").alias("x")), "a"
     )
-    linked = both.select("a", "b", "x", "y").mapInArrow(_compare(percent), "a long, b long")
-    id_of = lambda c: classes.select(F.col("name").alias(c), F.col("doc_id").alias(f"_{c}"))
-    return materialize(linked.join(id_of("a"), "a").join(id_of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    return _as_ids(both.select("a", "b", "x", "y").mapInArrow(_compare(percent), "a long, b long"), classes)
+
+
+def _between_groups(docs: DataFrame, classes: DataFrame, met: DataFrame, k: int, percent: int, tasks: int) -> DataFrame:
+    """Links found by opening groups: their sets under one token, in blocks of BLOCK if there are more, two blocks at a time."""
+    rows = met.filter("kind = 1").select("token", "name", "group")
+    blocks = rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    mine = F.pmod(F.col("name"), F.col("blocks")).cast("int")
+    parts = rows.join(blocks, "token").select("*", mine.alias("_mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_other"))
+    parts = parts.select("token", "name", "group", F.least("_mine", "_other").alias("i"), F.greatest("_mine", "_other").alias("j"))
+    sets = _sets_of(docs, classes, rows.select("name").distinct(), k)
+    meeting = parts.join(sets, "name").repartition(tasks, "token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return _as_ids(meeting.select("token", "i", "j", "name", "group", "tokens").mapInArrow(_joined(percent), "a long, b long").distinct(), classes)
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -299,21 +427,17 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     )
     total = sizes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0] * (100 - percent) // 100
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // TASK_ROWS)
-    matrix = known.mapInArrow(_prefixes(k, percent, frequent), "token long, name long, n long, place long")
-    met = materialize(matrix.repartition(tasks, "token").mapInArrow(_meet(percent), "kind long, token long, name long, n long, place long"))
-    stars = _verified(known, classes, met.filter("kind = 0").select(F.col("token").alias("a"), F.col("name").alias("b")), k, percent)
-    groups = components(stars)
-    by_group = (
-        met.filter("kind = 1")
-        .drop("kind")
-        .join(classes, "name")
-        .join(groups, F.col("doc_id") == F.col("id"), "left")
-        .select("token", "name", "n", "place", F.coalesce("component", "doc_id").alias("group"))
-    )
-    across = by_group.repartition(tasks, "token").mapInArrow(_opened(percent), "a long, b long")
-    bridges = _verified(known, classes, across, k, percent)
-    if bridges.limit(1).count():
-        groups = components(stars.union(bridges))
+    row = "token long, name long, n long, place long"
+    matrix = known.mapInArrow(_prefixes(k, percent, frequent), row)
+    met = materialize(matrix.repartition(tasks, "token").mapInArrow(_meet(percent), f"kind long, {row}"))
+    links = _verified(known, classes, met, k, percent)
+    groups = components(links)
+    by_group = met.filter("kind = 1").drop("kind").join(classes, "name").join(groups, F.col("doc_id") == F.col("id"), "left")
+    by_group = by_group.select(*_ROW, F.coalesce("component", "doc_id").alias("group"))
+    across = materialize(by_group.repartition(tasks, "token").mapInArrow(_qualified(percent), f"kind long, {row}, group long"))
+    more = _verified(known, classes, across, k, percent).union(_between_groups(known, classes, across, k, percent, tasks))
+    if more.limit(1).count():
+        groups = components(links.union(more))
     component = classes.join(groups, F.col("doc_id") == F.col("id"), "left").select(
         F.col("name").alias("_name"), F.coalesce("component", "doc_id").alias("_component")
     )

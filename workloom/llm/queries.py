@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from workloom.llm import mixing, quality, sharding
+from workloom.llm import mixing, ngram_join, quality, sharding
 from workloom.llm.runtime import documents, table
 
 
@@ -14,6 +14,10 @@ def op1_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), 40)
 
 
+def op4_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(documents(spark, sf_dir))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -26,7 +30,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sampled_splitters, op7_quality_rules, op10_source_mix)}
+    return {f.__name__: f for f in (op1_sampled_splitters, op4_token_group_join, op7_quality_rules, op10_source_mix)}
 
 
 def oracles() -> dict[str, str]:
