@@ -6,31 +6,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from workloom.llm import mixing, ngram_join, quality, sharding
+from workloom.llm import langid, mixing, ngram_join, quality, sharding, token_counts, token_records
 from workloom.llm.runtime import documents, table
 
 
+def tokenizer_file(name: str) -> str:
+    """A vocabulary file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), 40)
 
 
+def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_records.round_trip(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=2)
+
+
 def op4_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(documents(spark, sf_dir))
 
 
+def op6_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
+def op9_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs, mixing.label_weights(table(spark, sf_dir, "labels"))).drop("source")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sampled_splitters, op4_token_group_join, op7_quality_rules, op10_source_mix)}
+    return {name: run for name, run in globals().items() if name.startswith("op") and callable(run)}
 
 
 def oracles() -> dict[str, str]:
