@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from workloom.llm.components import components
-from workloom.llm.runtime import materialize
+from workloom.llm.runtime import materialize, release
 from workloom.llm.shingles import mixed, shingle_sets
 
 #: A set whose share of recurring tokens is counted is looked at below this hash only: where the prefixes lie.
@@ -41,9 +41,11 @@ ZONE = np.uint64(int(0.28 * 2**64))
 COUNTED, FREQUENT, MOST_FREQUENT = 16_384, 16, 1 << 20
 #: Up to so many classes under a token are paired at once; more go by star and groups.
 FEW = 12
-#: Pairs of different groups are made under a token with up to MANY rows; with more, the groups' sets are brought together
-#: instead, in blocks of BLOCK sets, and only the links that connect them come out.
-MANY, BLOCK = 128, 4096
+#: Up to MANY pairs of different groups are made under a token; beyond, the groups' sets are brought together instead, in
+#: blocks of BLOCK sets, and only the links that connect them come out.
+MANY, BLOCK = 16_384, 4096
+#: Candidate pairs are first compared on their tokens below this hash, which bounds the overlap of the rest.
+SKETCH = np.uint64(int(0.25 * 2**64))
 #: Candidate documents are found by a broadcast of their ids up to this number (32 MB), by a shuffled join beyond.
 BROADCAST_IDS = 4_000_000
 #: Matrix rows of one task.
@@ -249,7 +251,7 @@ def _qualified(percent: int):
             # of each group's union: smallest and largest set, and most tokens from this one on
             low, high, after = np.minimum.reduceat(n[run], at), np.maximum.reduceat(n[run], at), np.maximum.reduceat(n[run] - place[run], at)
             step = max(1, 2_000_000 // len(run))
-            few = len(run) <= MANY
+            few = (len(run) ** 2 - int((np.diff(np.append(at, end - begin)) ** 2).sum())) // 2 <= MANY
             needed = np.zeros(len(run), bool)
             for q in (run[i : i + step] for i in range(0, len(run), step)):
                 size, rest = n[q][:, None], (n[q] - place[q])[:, None]
@@ -348,11 +350,16 @@ def _joined(percent: int):
     return joined
 
 
-def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets share enough of their union."""
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Tokens that two sorted sets share."""
     if len(x) > len(y):
         x, y = y, x
-    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share enough of their union."""
+    both = _common(x, y)
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
@@ -361,27 +368,38 @@ def _whole_sets(k: int):
         for batch in batches:
             sets = shingle_sets(batch.column("text"), k)
             names = np.concatenate([_name(s) for s in sets]) if sets else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(names)), pa.array([s.tobytes() for s in sets], pa.binary())], ["name", "tokens"])
+            sketches = [s[: np.searchsorted(s, SKETCH)].tobytes() for s in sets]
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            tokens = pa.array([s.tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(names)), sizes, pa.array(sketches, pa.binary()), tokens], ["name", "n", "sketch", "tokens"])
 
     return whole
 
 
-def _compare(percent: int):
+def _compare(percent: int, sketched: bool):
+    """Keeps the pairs whose sets x and y are linked; of sketches, those that their bound leaves over."""
+
     def compare(batches: _BATCHES) -> _BATCHES:
         for batch in batches:
-            sets = [[np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in ("x", "y")]
-            keep = pa.array([_linked(x, y, percent) for x, y in zip(*sets, strict=True)], pa.bool_())
+            sets = [[np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(c)] for c in ("x", "y")]
+            if sketched:
+                n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("xn", "yn"))
+                both = np.array([_common(x, y) for x, y in zip(*sets, strict=True)], np.int64)
+                rest = np.minimum(n - [len(x) for x in sets[0]], m - [len(y) for y in sets[1]])
+                keep = pa.array(both + rest >= _overlap(n, m, percent), pa.bool_())
+            else:
+                keep = pa.array([_linked(x, y, percent) for x, y in zip(*sets, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     return compare
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, names: DataFrame, k: int) -> DataFrame:
-    """name, tokens of the classes named; their texts are read again rather than kept for all."""
+    """name, n, sketch, tokens of the classes named; their texts are read again rather than kept for all."""
     ids = materialize(classes.join(names, "name", "left_semi").select("doc_id").distinct())
     small = ids.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").select("text")
-    return materialize(texts.mapInArrow(_whole_sets(k), "name long, tokens binary")).dropDuplicates(["name"])
+    return materialize(texts.mapInArrow(_whole_sets(k), "name long, n long, sketch binary, tokens binary"))
 
 
 def _as_ids(links: DataFrame, classes: DataFrame) -> DataFrame:
@@ -393,11 +411,13 @@ def _as_ids(links: DataFrame, classes: DataFrame) -> DataFrame:
 def _verified(docs: DataFrame, classes: DataFrame, met: DataFrame, k: int, percent: int) -> DataFrame:
     """The candidate pairs that are linked, as pairs of the classes' doc_ids."""
     pairs = materialize(met.filter("kind = 0").select(F.col("token").alias("a"), F.col("name").alias("b")).distinct())
-    one = _sets_of(docs, classes, pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct(), k)
-    both = pairs.join(one.select(F.col("name").alias("b"), F.col("tokens").alias("y")), "b").join(
-        one.select(F.col("name").alias("a"), F.col("tokens").alias("x")), "a"
-    )
-    return _as_ids(both.select("a", "b", "x", "y").mapInArrow(_compare(percent), "a long, b long"), classes)
+    sets = _sets_of(docs, classes, pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct(), k)
+    side = lambda c, column, to: sets.select(F.col("name").alias(c), F.col(column).alias(to), F.col("n").alias(f"{to}n"))
+    for column in ("sketch", "tokens"):
+        both = pairs.join(side("b", column, "y"), "b").join(side("a", column, "x"), "a").select("a", "b", "x", "y", "xn", "yn")
+        pairs = materialize(both.mapInArrow(_compare(percent, column == "sketch"), "a long, b long"))
+    release(sets)
+    return _as_ids(pairs, classes)
 
 
 def _between_groups(docs: DataFrame, classes: DataFrame, met: DataFrame, k: int, percent: int, tasks: int) -> DataFrame:
@@ -409,7 +429,10 @@ def _between_groups(docs: DataFrame, classes: DataFrame, met: DataFrame, k: int,
     parts = parts.select("token", "name", "group", F.least("_mine", "_other").alias("i"), F.greatest("_mine", "_other").alias("j"))
     sets = _sets_of(docs, classes, rows.select("name").distinct(), k)
     meeting = parts.join(sets, "name").repartition(tasks, "token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return _as_ids(meeting.select("token", "i", "j", "name", "group", "tokens").mapInArrow(_joined(percent), "a long, b long").distinct(), classes)
+    found = meeting.select("token", "i", "j", "name", "group", "tokens").mapInArrow(_joined(percent), "a long, b long")
+    links = _as_ids(found.distinct(), classes)
+    release(sets)
+    return links
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from workloom.llm import langid, mixing, ngram_join, quality, sharding, token_counts, token_records
+from workloom.llm import decontaminate, langid, licenses, mixing, ngram_join, quality, secrets, sharding, token_counts, token_records
 from workloom.llm.runtime import documents, table
 
 
@@ -21,6 +21,10 @@ def op1_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), 40)
 
 
+def op2_pigeonhole_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.round_trip(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
@@ -29,6 +33,11 @@ def op4_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(documents(spark, sf_dir))
 
 
+def op5_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "text", "source AS path")
+    return secrets.secrets(docs)
+
+
 def op6_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -39,6 +48,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op9_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 

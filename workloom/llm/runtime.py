@@ -71,4 +71,11 @@ def materialize(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     root = scratch(spark)
     frame.write.parquet(root)
-    return spark.read.schema(frame.schema).parquet(root)
+    again = spark.read.schema(frame.schema).parquet(root)
+    again._workloom_scratch = root
+    return again
+
+
+def release(frame: DataFrame) -> None:
+    """Removes the table behind a materialized frame once nothing reads it any more."""
+    drop(frame.sparkSession, frame._workloom_scratch)
