@@ -43,7 +43,7 @@ COUNTED, FREQUENT, MOST_FREQUENT = 16_384, 16, 1 << 20
 FEW = 12
 #: Up to MANY pairs of different groups are made under a token; beyond, the groups' sets are brought together instead, in
 #: blocks of BLOCK sets, and only the links that connect them come out.
-MANY, BLOCK = 16_384, 4096
+MANY, BLOCK = 16_384, 2048
 #: Candidate pairs are first compared on their tokens below this hash, which bounds the overlap of the rest.
 SKETCH = np.uint64(int(0.25 * 2**64))
 #: Candidate documents are found by a broadcast of their ids up to this number (32 MB), by a shuffled join beyond.
@@ -338,7 +338,7 @@ def _joined(percent: int):
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("token", "i", "j")), strict=True))
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("part", "i", "j")), strict=True))
             names, groups, tokens = batch.column("name").to_pylist(), batch.column("group").to_pylist(), batch.column("tokens")
             for r, key in enumerate(keys):
                 if key != now:
@@ -408,28 +408,50 @@ def _as_ids(links: DataFrame, classes: DataFrame) -> DataFrame:
     return materialize(both.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
 
 
+def _pairs_of(met: DataFrame) -> DataFrame:
+    return materialize(met.filter("kind = 0").select(F.col("token").alias("a"), F.col("name").alias("b")).distinct())
+
+
+def _named(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("name")).union(pairs.select("b"))
+
+
+def _kept(pairs: DataFrame, sets: DataFrame, column: str, percent: int) -> DataFrame:
+    """The pairs left when their whole sets, or their sketches, are compared."""
+    side = lambda c, to: sets.select(F.col("name").alias(c), F.col(column).alias(to), F.col("n").alias(f"{to}n"))
+    both = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y", "xn", "yn")
+    return materialize(both.mapInArrow(_compare(percent, column == "sketch"), "a long, b long"))
+
+
 def _verified(docs: DataFrame, classes: DataFrame, met: DataFrame, k: int, percent: int) -> DataFrame:
     """The candidate pairs that are linked, as pairs of the classes' doc_ids."""
-    pairs = materialize(met.filter("kind = 0").select(F.col("token").alias("a"), F.col("name").alias("b")).distinct())
-    sets = _sets_of(docs, classes, pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct(), k)
-    side = lambda c, column, to: sets.select(F.col("name").alias(c), F.col(column).alias(to), F.col("n").alias(f"{to}n"))
-    for column in ("sketch", "tokens"):
-        both = pairs.join(side("b", column, "y"), "b").join(side("a", column, "x"), "a").select("a", "b", "x", "y", "xn", "yn")
-        pairs = materialize(both.mapInArrow(_compare(percent, column == "sketch"), "a long, b long"))
+    pairs = _pairs_of(met)
+    sets = _sets_of(docs, classes, _named(pairs).distinct(), k)
+    links = _as_ids(_kept(_kept(pairs, sets, "sketch", percent), sets, "tokens", percent), classes)
     release(sets)
-    return _as_ids(pairs, classes)
-
-
-def _between_groups(docs: DataFrame, classes: DataFrame, met: DataFrame, k: int, percent: int, tasks: int) -> DataFrame:
-    """Links found by opening groups: their sets under one token, in blocks of BLOCK if there are more, two blocks at a time."""
-    rows = met.filter("kind = 1").select("token", "name", "group")
-    blocks = rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    mine = F.pmod(F.col("name"), F.col("blocks")).cast("int")
-    parts = rows.join(blocks, "token").select("*", mine.alias("_mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_other"))
-    parts = parts.select("token", "name", "group", F.least("_mine", "_other").alias("i"), F.greatest("_mine", "_other").alias("j"))
-    sets = _sets_of(docs, classes, rows.select("name").distinct(), k)
-    meeting = parts.join(sets, "name").repartition(tasks, "token", "i", "j").sortWithinPartitions("token", "i", "j")
-    found = meeting.select("token", "i", "j", "name", "group", "tokens").mapInArrow(_joined(percent), "a long, b long")
+    return links
+
+
+def _between_groups(docs: DataFrame, classes: DataFrame, met: DataFrame, groups: DataFrame, k: int, percent: int, tasks: int) -> DataFrame:
+    """Links between groups: what the pairs and the opened tokens connect is one part, whose sets are brought together once.
+
+    A part of more than BLOCK sets is dealt out by blocks, two at a time, so that a task holds no more than two of them.
+    """
+    pairs = _pairs_of(met)
+    opened = met.filter("kind = 1").select("token", "name")
+    sets = _sets_of(docs, classes, _named(pairs).union(opened.select("name")).distinct(), k)
+    hubs = opened.groupBy("token").agg(F.min("name").alias("a"))
+    together = _kept(pairs, sets, "sketch", percent).union(opened.join(hubs, "token").select("a", F.col("name").alias("b")).distinct())
+    parts = components(together).withColumnRenamed("component", "part")
+    blocks = parts.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    mine = F.pmod(F.col("id"), F.col("blocks")).cast("int")
+    dealt = parts.join(blocks, "part").select("*", mine.alias("_mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_other"))
+    dealt = dealt.select("part", F.col("id").alias("name"), F.least("_mine", "_other").alias("i"), F.greatest("_mine", "_other").alias("j"))
+    grouped = classes.join(groups.withColumnRenamed("id", "_id"), F.col("doc_id") == F.col("_id"), "left")
+    grouped = grouped.select("name", F.coalesce("component", "doc_id").alias("group"))
+    meeting = dealt.join(grouped, "name").join(sets.select("name", "tokens"), "name")
+    meeting = meeting.repartition(tasks, "part", "i", "j").sortWithinPartitions("part", "i", "j")
+    found = meeting.select("part", "i", "j", "name", "group", "tokens").mapInArrow(_joined(percent), "a long, b long")
     links = _as_ids(found.distinct(), classes)
     release(sets)
     return links
@@ -458,7 +480,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     by_group = met.filter("kind = 1").drop("kind").join(classes, "name").join(groups, F.col("doc_id") == F.col("id"), "left")
     by_group = by_group.select(*_ROW, F.coalesce("component", "doc_id").alias("group"))
     across = materialize(by_group.repartition(tasks, "token").mapInArrow(_qualified(percent), f"kind long, {row}, group long"))
-    more = _verified(known, classes, across, k, percent).union(_between_groups(known, classes, across, k, percent, tasks))
+    more = _between_groups(known, classes, across, groups, k, percent, tasks)
     if more.limit(1).count():
         groups = components(links.union(more))
     component = classes.join(groups, F.col("doc_id") == F.col("id"), "left").select(
