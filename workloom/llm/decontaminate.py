@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Edits allowed for each byte of an item, the shortest item, and bytes of items in a block.
-RATE, LEAST, BLOCK = 0.1, 30, 4_000_000
+RATE, LEAST, BLOCK = 0.06, 30, 4_000_000
 
 _BLANK = bytes(x if x >= 128 or chr(x).isalnum() else 32 for x in range(256))
 

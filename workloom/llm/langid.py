@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 DIM = 4096
+UNKNOWN = "und"
 #: Rows learned from for each language, and the most languages that are learned.
 SAMPLE, MOST_LANGUAGES = 800, 40
 #: Bytes of text that are counted at once.
@@ -160,7 +161,7 @@ def _predictor(shared):
             names = [c for c in batch.schema.names if c != "_letters"]
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)
-                langs, scores = ["und"] * part.num_rows, np.zeros(part.num_rows)
+                langs, scores = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
                 some = np.flatnonzero(part.column("_letters").to_numpy(zero_copy_only=False))
                 if model is not None and len(some):
                     found, sure = model.predict(features(part.column("text").cast(pa.binary()).take(pa.array(some)).to_pylist()))

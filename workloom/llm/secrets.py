@@ -19,10 +19,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from workloom.llm.runtime import SPACE
+from workloom.llm.runtime import SPACE, materialize
 
 FINDINGS = 6000
-TREES, DEPTH = 20, 6
+TREES, DEPTH = 12, 6
 
 # Words before a value that speak for or against a secret, parts of paths, and a small dictionary.
 FOR = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "key", "auth", "bearer", "credential", "access")
@@ -37,6 +37,8 @@ DICTIONARY = (
 
 #: A word that may hold a candidate: a known prefix, a key with a value, or a long run with a digit or mixed classes.
 CANDIDATE = r"(?:AKIA|ASIA|gh[pousr]_|xox[bp]-|sk_|sk-|AIza|eyJ)[A-Za-z0-9_\-.]{8,}|[=:][\"']?[A-Za-z0-9_\-+/.]{12,}|[A-Za-z0-9_+/\-]*[0-9][A-Za-z0-9_+/\-]{12,}|[A-Za-z0-9_+/\-]{12,}[0-9][A-Za-z0-9_+/\-]*"
+#: What every such word holds: one cheap look at a text spares most of them the pattern above.
+_HINT = r"[0-9]|[=:][\"']?[A-Za-z0-9_\-+/.]{12}|AKIA|ASIA|gh[pousr]_|xox[bp]-|sk_|sk-|AIza|eyJ"
 _VALUE = r"([A-Za-z0-9_+/.\-]{12,}={0,2})[^A-Za-z0-9]*$"
 
 
@@ -45,7 +47,7 @@ def features(value: Column, before: Column, path: Column) -> dict[str, Column]:
     n = F.char_length(value).cast("double")
     count = lambda pattern: F.regexp_count(value, F.lit(pattern)).cast("double")
     known = F.regexp_replace(F.lower(value), "|".join(sorted(set(DICTIONARY), key=lambda x: (-len(x), x))), "")
-    beside = lambda names: F.lower(before).rlike(r"(?:^|[^a-z0-9])(?:" + "|".join(names) + r")(?:$|[^a-z])").cast("double")
+    beside = lambda names: F.lower(before).rlike(r"(?:^|[\s\"'(\[{,;=:])(?:" + "|".join(names) + r")(?:$|[^a-z.@])").cast("double")
     changes = r"(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])|(?<=[A-Z])(?=[0-9])|(?<=[0-9])(?=[A-Z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"
     return {
         "length": n,
@@ -124,12 +126,13 @@ def train(findings: DataFrame) -> Column:
     ready = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="skip").transform(rows)
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=5, featuresCol="features", labelCol="label").fit(ready)
     votes = [_tree(t._java_obj.rootNode() if hasattr(t, "_java_obj") else t._call_java("rootNode"), names) for t in model.trees]
-    return sum(votes[1:], votes[0]) / len(votes)
+    # summed by a fold, which Spark interprets: as one generated method the trees would be too long to compile
+    return F.aggregate(F.array(*votes), F.lit(0.0), lambda a, x: a + x) / len(votes)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, path, place (of the word), value, before for every candidate of every text."""
-    held = docs.filter(F.col("text").rlike(CANDIDATE)).select("doc_id", "path", F.split("text", SPACE).alias("_w"))
+    held = docs.filter(F.col("text").rlike(_HINT) & F.col("text").rlike(CANDIDATE)).select("doc_id", "path", F.split("text", SPACE).alias("_w"))
     w = F.col("_w")
     near = F.transform(
         w,
@@ -140,7 +143,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     )
     found = held.select("doc_id", "path", F.explode(F.array_compact(near)).alias("_c")).select("doc_id", "path", "_c.*")
     value = F.regexp_extract("word", _VALUE, 1)
-    own = F.substring_index("word", F.col("value"), 1)
+    own = F.expr("substring(word, 1, instr(word, value) - 1)")
     return (
         found.withColumn("value", value)
         .filter("value <> ''")
@@ -150,7 +153,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 def secrets(docs: DataFrame, findings: DataFrame | None = None, least: float = 0.5) -> DataFrame:
     """docs: doc_id, text, path. Returns doc_id, place, n_chars, value_sha256, score of the findings that the forest keeps."""
-    forest = train(findings if findings is not None else synthetic_findings(docs.sparkSession))
+    forest = train(findings if findings is not None else materialize(synthetic_findings(docs.sparkSession)))
     found = candidates(docs)
     made = features(F.col("value"), F.col("before"), F.coalesce("path", F.lit("")))
     scored = found.select("doc_id", "place", "value", *[c.alias(f"_f_{k}") for k, c in made.items()])
