@@ -37,7 +37,7 @@ def targets(sources: DataFrame, most: float = 3.0) -> DataFrame:
     """sources: source, source_size and other columns, one row for each. Adds ``target``.
 
     A level L gives every source min(most * size, L * weight). Ordered by the level at which it stops, the sources below L
-    are a prefix of the table, so L is the first candidate that lies below the next stop. One row for each source: one task.
+    are a prefix of the table, so L is the first candidate that lies below its own stop, the largest of all that do. One row for each source: one task.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     weighted = sources.withColumn("_w", ((F.row_number().over(order) - 1) % 3 + 1).cast("double"))
@@ -49,7 +49,7 @@ def targets(sources: DataFrame, most: float = 3.0) -> DataFrame:
     weights = F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(before), F.lit(0.0))
     level = weighted.withColumn("_level", left / weights)
     fits = F.when(F.col("_level") <= cap / F.col("_w"), F.col("_level"))
-    return level.withColumn("_level", F.min(fits).over(everything)).withColumn(
+    return level.withColumn("_level", F.max(fits).over(everything)).withColumn(
         "target", F.least(cap, F.coalesce(F.col("_level") * F.col("_w"), cap)).cast("double")
     ).drop("_w", "_level")
 

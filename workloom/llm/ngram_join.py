@@ -54,6 +54,13 @@ TASK_ROWS = 1_000_000
 _BATCHES = Iterator[pa.RecordBatch]
 
 
+def _slices(batches: _BATCHES, rows: int = 1000) -> _BATCHES:
+    """Batches of fewer rows: the hashes of all words of a batch are in memory at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
@@ -87,7 +94,7 @@ def _scan(k: int):
 
     def scan(batches: _BATCHES) -> _BATCHES:
         held, seen = [], set()
-        for batch in batches:
+        for batch in _slices(batches):
             sets = shingle_sets(batch.column("text"), k)
             names = np.concatenate([_name(s) for s in sets]) if sets else np.zeros(0, np.uint64)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -111,7 +118,7 @@ def _prefixes(k: int, percent: int, frequent):
     def prefixes(batches: _BATCHES) -> _BATCHES:
         late = frequent.value
         seen: set[int] = set()
-        for batch in batches:
+        for batch in _slices(batches):
             tokens, names, sizes, places = [], [], [], []
             for s in shingle_sets(batch.column("text"), k):
                 if not len(s):
@@ -365,7 +372,7 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def _whole_sets(k: int):
     def whole(batches: _BATCHES) -> _BATCHES:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = shingle_sets(batch.column("text"), k)
             names = np.concatenate([_name(s) for s in sets]) if sets else np.zeros(0, np.uint64)
             sketches = [s[: np.searchsorted(s, SKETCH)].tobytes() for s in sets]
