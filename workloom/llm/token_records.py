@@ -21,11 +21,13 @@ Defined results
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ from workloom.llm.runtime import materialize, scratch
 #: Records that one reader takes from a file at a time.
 SLICE = 2000
 #: Pieces whose ids a Python worker holds before it starts anew.
-CACHE = 400_000
+CACHE = 500_000
 _CUT = re.compile(r"(?<=\S)(?= )")
 _DOUBLE = re.compile(r"\s ")
 
@@ -80,6 +82,7 @@ class Encoder:
     """Ids of whole texts by a tokenizer file."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would hold memory of their own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -88,17 +91,19 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.pieces, self.lengths, self.ids = _Pieces(), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        self.starts = np.zeros(1, np.int64)
+        self.pieces, self.ids = _Pieces(), np.zeros(0, np.uint32)
+        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self) -> None:
         new, self.pieces.new = self.pieces.new, []
-        texts = [x[0] if isinstance(x, tuple) else " " + x for x in new]
-        for i in range(0, len(texts), 20_000):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
-            self.lengths = np.append(self.lengths, [len(x) for x in found])
-            self.ids = np.append(self.ids, np.fromiter((y for x in found for y in x), np.uint32))
-        self.starts = np.append(0, np.cumsum(self.lengths))
+        lengths, ids = [self.lengths], [self.ids]
+        for i in range(0, len(new), 5000):
+            texts = [x[0] if type(x) is tuple else " " + x for x in new[i : i + 5000]]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            lengths.append(np.array([len(x) for x in found], np.int64))
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
+        self.lengths, self.ids = np.concatenate(lengths), np.concatenate(ids)
+        self.starts = np.cumsum(self.lengths) - self.lengths
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.pieces) > CACHE:
@@ -128,11 +133,11 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         encoder, out, index, at, before = None, None, [], 0, 0
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for i in range(0, batch.num_rows, 500):
+            for i in range(0, batch.num_rows, 1000):
                 encoder = encoder or Encoder(tokenizer)
                 out = out or files.open_output_stream(attempt)
                 kind = np.dtype("<u4" if encoder.wide else "<u2")
-                for doc_id, found in zip(ids[i : i + 500], encoder.encode([x or "" for x in texts[i : i + 500].to_pylist()]), strict=True):
+                for doc_id, found in zip(ids[i : i + 1000], encoder.encode([x or "" for x in texts[i : i + 1000].to_pylist()]), strict=True):
                     head = struct.pack("<?q", doc_id is not None, doc_id or 0)
                     record = frame(head + np.append(found, end_id).astype(kind).tobytes())
                     out.write(record)
