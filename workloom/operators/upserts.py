@@ -39,7 +39,8 @@ def sync(target: DataFrame, source: DataFrame, parent: str) -> DataFrame:
 
 
 def orphans(children: DataFrame, parents: DataFrame, key: str, parent_key: str) -> DataFrame:
-    return children.filter(F.col(key).isNotNull()).join(parents, F.col(key) == F.col(parent_key), "left_anti")
+    known = parents.select(F.col(parent_key).alias("_parent"))
+    return children.filter(F.col(key).isNotNull()).join(known, F.col(key) == F.col("_parent"), "left_anti")
 
 
 def repaired(children: DataFrame, parents: DataFrame, key: str, parent_key: str, fallback: Column | None = None) -> DataFrame:
