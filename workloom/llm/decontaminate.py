@@ -138,7 +138,9 @@ def _dropper(shared):
         matcher = None
         for batch in batches:
             matcher = matcher or Matcher(*shared.value)
-            yield batch.filter(pa.array([not matcher.matches(t.as_py()) for t in batch.column("text")], pa.bool_()))
+            for i in range(0, batch.num_rows, 200):  # whole texts go back: small batches keep the buffers of both sides small
+                part = batch.slice(i, 200)
+                yield part.filter(pa.array([not matcher.matches(t.as_py()) for t in part.column("text")], pa.bool_()))
 
     return keep
 
