@@ -11,12 +11,8 @@ class Refused(ValueError):
     pass
 
 
-def _children(plan) -> list:
-    parts = [plan.children().apply(i) for i in range(plan.children().size())]
-    inner = plan.innerChildren()
-    parts += [inner.apply(i) for i in range(inner.size())]
-    expressions = plan.expressions()
-    return parts + [expressions.apply(i) for i in range(expressions.size())]
+def _each(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
 
 
 def relations(spark: SparkSession, text: str) -> set[str]:
@@ -25,26 +21,26 @@ def relations(spark: SparkSession, text: str) -> set[str]:
         root = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     except Exception as error:
         raise Refused(f"not one SQL query: {str(error)[:200]}") from None
-    names, own, todo = set(), set(), [root]
+    names, own, todo = set(), set(), [(root, True)]
     refused = ("Command", "Insert", "Drop", "Create", "Delete", "Update", "Merge", "Alter", "Truncate", "Set", "Cache", "Describe", "Show", "Refresh", "Load", "Replace", "Table", "Explain", "Use")
     if root.getClass().getSimpleName().startswith(refused):
         raise Refused(f"{root.getClass().getSimpleName()} is not a SELECT")
     while todo:
-        node = todo.pop()
+        node, is_plan = todo.pop()
         kind = node.getClass().getSimpleName()
         if kind == "UnresolvedTableValuedFunction" or kind.endswith("Command"):
             raise Refused(f"{kind} is not allowed")
         if kind == "UnresolvedRelation":
-            parts = node.multipartIdentifier()
-            names.add(".".join(parts.apply(i) for i in range(parts.size())).lower())
+            names.add(".".join(_each(node.multipartIdentifier())).lower())
         if kind == "UnresolvedWith":
-            ctes = node.cteRelations()
-            for i in range(ctes.size()):
-                own.add(ctes.apply(i)._1().lower())
-                todo.append(ctes.apply(i)._2())
-        if hasattr(node, "plan") and kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "InSubquery"):
-            todo.append(node.plan())
-        todo += _children(node)
+            for cte in _each(node.cteRelations()):
+                own.add(cte._1().lower())
+                todo.append((cte._2(), True))
+        todo += [(x, is_plan) for x in _each(node.children())]
+        if is_plan:
+            todo += [(x, False) for x in _each(node.expressions())]
+        elif kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+            todo.append((node.plan(), True))
     return names - own
 
 
