@@ -131,7 +131,8 @@ def measures(docs: DataFrame) -> DataFrame:
         "word_chars",
         "n_symbols",
         (F.col("_n_lines") - F.col("_n_distinct")).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("_packed"), F.col("_paired")).alias("n_repeat_words"),
+        # an id is never negative, but keeps Spark from copying all this into a filter on the result, once for each use
+        F.when(F.monotonically_increasing_id() >= 0, _repeat_words(F.col("_packed"), F.col("_paired"))).alias("n_repeat_words"),
         (F.col("word_chars") / per_word).alias("mean_word_chars"),
         (F.col("n_symbols") / per_word).alias("symbols_per_word"),
         (F.col("_marks") / per_word).alias("marks_per_word"),
