@@ -132,5 +132,5 @@ def scan(docs: DataFrame, table: DataFrame | None = None) -> DataFrame:
         "last_word",
         F.array_join("_base", ",").alias("base_labels"),
         F.array_join(labels, ",").alias("labels"),
-        F.coalesce(F.least("_covered", F.lit(1.0)), F.when(F.col("n_base") > 0, 0.5), F.lit(0.0)).alias("score"),
+        F.coalesce(F.when(F.col("_covered").isNotNull(), F.least("_covered", F.lit(1.0))), F.when(F.col("n_base") > 0, 0.5), F.lit(0.0)).alias("score"),
     )

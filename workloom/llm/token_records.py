@@ -125,6 +125,16 @@ class Encoder:
         return out
 
 
+#: By file: a Python worker keeps its encoder, and what that has learned, from task to task.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def _writer(folder: str, tokenizer: str, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -134,7 +144,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             for i in range(0, batch.num_rows, 1000):
-                encoder = encoder or Encoder(tokenizer)
+                encoder = encoder or _encoder(tokenizer)
                 out = out or files.open_output_stream(attempt)
                 kind = np.dtype("<u4" if encoder.wide else "<u2")
                 for doc_id, found in zip(ids[i : i + 1000], encoder.encode([x or "" for x in texts[i : i + 1000].to_pylist()]), strict=True):
