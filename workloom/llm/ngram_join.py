@@ -84,20 +84,20 @@ def _overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 def _scan(k: int):
     """(kind 0) doc_id, name and size of each document's set; (kind 1) tokens that two classes of a task share, with counts."""
 
-    def rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(n)], ["kind", "id", "token", "n"])
+    def rows(kind: int, a: pa.Array, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), a, pa.array(b), pa.array(n)], ["kind", "id", "token", "n"])
 
     def recurring(sets: list[np.ndarray]) -> pa.RecordBatch:
         tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
         often = counts > 1
-        return rows(1, np.zeros(often.sum(), np.int64), _signed(tokens[often]), counts[often].astype(np.int64))
+        return rows(1, pa.array(np.zeros(often.sum(), np.int64)), _signed(tokens[often]), counts[often].astype(np.int64))
 
     def scan(batches: _BATCHES) -> _BATCHES:
         held, seen = [], set()
         for batch in _slices(batches):
             sets = shingle_sets(batch.column("text"), k)
             names = np.concatenate([_name(s) for s in sets]) if sets else np.zeros(0, np.uint64)
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = batch.column("doc_id")  # may hold nulls
             yield rows(0, ids, _signed(names), np.array([len(s) for s in sets], np.int64))
             for name, s in zip(names.tolist(), sets, strict=True):
                 if len(s) and name not in seen:
