@@ -24,6 +24,8 @@ from math import ceil
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from workloom.llm.runtime import returning_memory, small_batches
+
 #: Edits allowed for each byte of an item, the shortest item, and bytes of items in a block.
 RATE, LEAST, BLOCK = 0.06, 30, 4_000_000
 
@@ -158,7 +160,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: in
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST) -> DataFrame:
     """The documents, with all their columns, that hold no test item."""
+    small_batches(docs.sparkSession)
     for block in _blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast((block, rate, least))
-        docs = docs.mapInArrow(_dropper(shared), docs.schema)
+        docs = docs.mapInArrow(returning_memory(_dropper(shared)), docs.schema)
     return docs

@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from workloom.llm.runtime import returning_memory, small_batches
+
 DIM = 4096
 UNKNOWN = "und"
 #: Rows learned from for each language, and the most languages that are learned.
@@ -136,6 +138,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(labelled: DataFrame) -> Model | None:
     """A model from rows of doc_id, text, lang; those without a text or a language are left out."""
+    small_batches(labelled.sparkSession)
     usable = labelled.filter("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
     counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
@@ -177,7 +180,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """The columns of docs, which has a text, with ``_lang_pred`` and ``_score``."""
     letters = docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     kinds = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes)
-    return letters.mapInArrow(_predictor(docs.sparkSession.sparkContext.broadcast(model)), f"{kinds}, _lang_pred string, _score double")
+    small_batches(docs.sparkSession)
+    return letters.mapInArrow(returning_memory(_predictor(docs.sparkSession.sparkContext.broadcast(model))), f"{kinds}, _lang_pred string, _score double")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from workloom.llm.components import components
-from workloom.llm.runtime import materialize, release
+from workloom.llm.runtime import materialize, release, returning_memory, small_batches
 from workloom.llm.shingles import mixed, shingle_sets
 
 #: A set whose share of recurring tokens is counted is looked at below this hash only: where the prefixes lie.
@@ -406,7 +406,7 @@ def _sets_of(docs: DataFrame, classes: DataFrame, names: DataFrame, k: int) -> D
     ids = materialize(classes.join(names, "name", "left_semi").select("doc_id").distinct())
     small = ids.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").select("text")
-    return materialize(texts.mapInArrow(_whole_sets(k), "name long, n long, sketch binary, tokens binary"))
+    return materialize(texts.mapInArrow(returning_memory(_whole_sets(k)), "name long, n long, sketch binary, tokens binary"))
 
 
 def _as_ids(links: DataFrame, classes: DataFrame) -> DataFrame:
@@ -427,7 +427,7 @@ def _kept(pairs: DataFrame, sets: DataFrame, column: str, percent: int) -> DataF
     """The pairs left when their whole sets, or their sketches, are compared."""
     side = lambda c, to: sets.select(F.col("name").alias(c), F.col(column).alias(to), F.col("n").alias(f"{to}n"))
     both = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y", "xn", "yn")
-    return materialize(both.mapInArrow(_compare(percent, column == "sketch"), "a long, b long"))
+    return materialize(both.mapInArrow(returning_memory(_compare(percent, column == "sketch")), "a long, b long"))
 
 
 def _verified(docs: DataFrame, classes: DataFrame, met: DataFrame, k: int, percent: int) -> DataFrame:
@@ -458,7 +458,7 @@ def _between_groups(docs: DataFrame, classes: DataFrame, met: DataFrame, groups:
     grouped = grouped.select("name", F.coalesce("component", "doc_id").alias("group"))
     meeting = dealt.join(grouped, "name").join(sets.select("name", "tokens"), "name")
     meeting = meeting.repartition(tasks, "part", "i", "j").sortWithinPartitions("part", "i", "j")
-    found = meeting.select("part", "i", "j", "name", "group", "tokens").mapInArrow(_joined(percent), "a long, b long")
+    found = meeting.select("part", "i", "j", "name", "group", "tokens").mapInArrow(returning_memory(_joined(percent)), "a long, b long")
     links = _as_ids(found.distinct(), classes)
     release(sets)
     return links
@@ -467,9 +467,10 @@ def _between_groups(docs: DataFrame, classes: DataFrame, met: DataFrame, groups:
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of each row; percent: of the union that two linked sets share at least."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     known = docs.filter("doc_id IS NOT NULL")
-    scanned = materialize(docs.mapInArrow(_scan(k), "kind int, id long, token long, n long"))
+    scanned = materialize(docs.mapInArrow(returning_memory(_scan(k)), "kind int, id long, token long, n long"))
     sizes = scanned.filter("kind = 0").select(F.col("id").alias("doc_id"), F.col("token").alias("name"), F.col("n").alias("n_shingles"))
     often = scanned.filter("kind = 1").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
     late = often.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow().column(0).to_numpy()
@@ -480,13 +481,13 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     total = sizes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0] * (100 - percent) // 100
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // TASK_ROWS)
     row = "token long, name long, n long, place long"
-    matrix = known.mapInArrow(_prefixes(k, percent, frequent), row)
-    met = materialize(matrix.repartition(tasks, "token").mapInArrow(_meet(percent), f"kind long, {row}"))
+    matrix = known.mapInArrow(returning_memory(_prefixes(k, percent, frequent)), row)
+    met = materialize(matrix.repartition(tasks, "token").mapInArrow(returning_memory(_meet(percent)), f"kind long, {row}"))
     links = _verified(known, classes, met, k, percent)
     groups = components(links)
     by_group = met.filter("kind = 1").drop("kind").join(classes, "name").join(groups, F.col("doc_id") == F.col("id"), "left")
     by_group = by_group.select(*_ROW, F.coalesce("component", "doc_id").alias("group"))
-    across = materialize(by_group.repartition(tasks, "token").mapInArrow(_qualified(percent), f"kind long, {row}, group long"))
+    across = materialize(by_group.repartition(tasks, "token").mapInArrow(returning_memory(_qualified(percent)), f"kind long, {row}, group long"))
     more = _between_groups(known, classes, across, groups, k, percent, tasks)
     if more.limit(1).count():
         groups = components(links.union(more))

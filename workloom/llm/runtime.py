@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: White space that separates words: blank and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch that takes texts to Python; a longer text goes whole.
+BATCH_BYTES = 4 << 20
 
 _folders: dict[str, SparkSession] = {}
 
@@ -29,6 +34,31 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches that go to Python, as JVM and worker each hold one whole, the JVM outside its heap.
+
+    It is a setting of the session, read when a plan runs, so it stays set; results don't depend on it. A lower one is kept.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
+def returning_memory(stage: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """A stage for mapInArrow that gives free memory back to the system when its task ends, as workers live on for other stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from stage(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+                trim(0)
+
+    return run
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Only where it is unset, as in tests, a local one is set."""
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
