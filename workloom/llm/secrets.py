@@ -1,8 +1,10 @@
 """Secret scans: candidate strings, judged by a random forest that removes false positives. DataFrame operations only.
 
-Candidates are values of 12 or more characters that stand alone or follow a key and an equals sign or colon. Features of a
-candidate: length, kinds and changes of character classes, share of distinct characters, dictionary coverage, words beside
-it, and the path it comes from. The forest is trained by Spark on labelled findings and then compiled into one column
+Candidates are runs of 12 or more characters with a digit anywhere, and whatever has ``KEYED_LEAST`` or more characters and
+follows a key name, an equals sign or a colon, in the same word or as the next one. A key's value may hold any characters
+but blanks and quotes, and ends with its last letter or digit. What is no secret is left to the forest. Features of a
+candidate: length, kinds and changes of character classes, share of distinct characters, dictionary coverage, consonants in a row,
+words beside it, and the path it comes from. The forest is trained by Spark on labelled findings and then compiled into one column
 expression, so scoring is part of the projection that makes the features; nothing is shuffled and no model is shipped.
 
 ``findings`` are labelled rows: value, before (the words before it), path, label (1: a secret). Where none are given, the
@@ -21,8 +23,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from workloom.llm.runtime import SPACE, materialize
 
-FINDINGS = 6000
+FINDINGS = 9000
 TREES, DEPTH = 12, 6
+#: Characters of the shortest value that is looked at after a key.
+KEYED_LEAST = 8
 
 # Words before a value that speak for or against a secret, parts of paths, and a small dictionary.
 FOR = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "key", "auth", "bearer", "credential", "access")
@@ -34,12 +38,31 @@ DICTIONARY = (
     "server client request response error message manager handler factory builder request controller module system content "
     "public private static return function class object method image video page mail http https www com org net html json"
 ).split()
+#: Parts of words, for made-up prose.
+SYLLABLES = (
+    "an ar be ber bra ca che ción co con cre dad de den der di do ed el en ent er es est ge gra ha heit in ing inter ir ka ke keit la le lich "
+    "ling lo ly ma man me men ment mi na ne ness ni no on or ou par per pla pre pro que ra re ri ro ru sa sch schaft sen ser sha si so sta "
+    "ste str su ta te ten ter th ther ti tion to tra tri tu un ung ver vo wa we wer za zu"
+).split()
 
-#: A word that may hold a candidate: a known prefix, a key with a value, or a long run with a digit or mixed classes.
-CANDIDATE = r"(?:AKIA|ASIA|gh[pousr]_|xox[bp]-|sk_|sk-|AIza|eyJ)[A-Za-z0-9_\-.]{8,}|[=:][\"']?[A-Za-z0-9_\-+/.]{12,}|[A-Za-z0-9_+/\-]*[0-9][A-Za-z0-9_+/\-]{12,}|[A-Za-z0-9_+/\-]{12,}[0-9][A-Za-z0-9_+/\-]*"
-#: What every such word holds: one cheap look at a text spares most of them the pattern above.
-_HINT = r"[0-9]|[=:][\"']?[A-Za-z0-9_\-+/.]{12}|AKIA|ASIA|gh[pousr]_|xox[bp]-|sk_|sk-|AIza|eyJ"
+_PREFIX = r"(?:AKIA|ASIA|gh[pousr]_|xox[bp]-|sk_|sk-|AIza|eyJ)"
+_WS = r"\x20\x09-\x0D"
+#: A run of 12 or more with a digit anywhere.
+_RUN = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*[0-9])[A-Za-z0-9_+/\-]{12,}"
+#: A word that may hold a candidate whatever stands before it: a known prefix, a key with a value, or a long run with a digit.
+CANDIDATE = _PREFIX + rf"[A-Za-z0-9_\-.]{{8,}}|[=:][^{_WS}]{{{KEYED_LEAST},}}|" + _RUN
+_NAMES = "(?i:(?<![A-Za-z])(?:" + "|".join(FOR) + "))"
+#: The end of a word that makes the next one a candidate, and both in a whole text.
+_KEY_BEFORE = rf"(?:[=:]|{_NAMES})[\"'`(\[{{<>}}\])]*"
+_KEYED = rf"{_KEY_BEFORE}[{_WS}]+[^{_WS}]{{{KEYED_LEAST}}}"
+#: What every such text holds: one cheap look spares most of the others the patterns above.
+_HINT = f"[0-9=:]|{_PREFIX}|{_NAMES}"
 _VALUE = r"([A-Za-z0-9_+/.\-]{12,}={0,2})[^A-Za-z0-9]*$"
+_OPEN, _LAST = r"[\"'`(\[{<]*", r"[\p{L}\p{N}]={0,2}"
+#: Values after a key name and its sign, after a sign at all, and of a whole word.
+_NAMED_VALUE = rf"{_NAMES}[\"'\])]*[=:]+>?{_OPEN}([^\"'`]{{{KEYED_LEAST - 1},}}{_LAST})"
+_SIGNED_VALUE = rf"[=:](?!//){_OPEN}([^\"'`=:]{{{KEYED_LEAST - 1},}}{_LAST})[^\p{{L}}\p{{N}}]*$"
+_WORD_VALUE = rf"^{_OPEN}([^\"'`]{{{KEYED_LEAST - 1},}}{_LAST})"
 
 
 def features(value: Column, before: Column, path: Column) -> dict[str, Column]:
@@ -58,9 +81,10 @@ def features(value: Column, before: Column, path: Column) -> dict[str, Column]:
         "hex": value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$").cast("double"),
         "vowels": count("(?i)[aeiou]") / n,
         "distinct": F.size(F.array_distinct(F.split(value, ""))) / n,
+        "odd": count("(?i)[bcdfghjklmnpqrstvwxz]{4}|[jqxz]") / n,
         "dictionary": 1 - F.char_length(known) / n,
         "uuid": value.rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-").cast("double"),
-        "prefix": value.rlike("^(?:AKIA|ASIA|gh[pousr]_|xox[bp]-|sk_|sk-|AIza|eyJ)").cast("double"),
+        "prefix": value.rlike("^" + _PREFIX).cast("double"),
         "for": beside(FOR),
         "against": beside(AGAINST),
         "path": F.coalesce(F.lower(path).rlike("|".join(PATHS)), F.lit(False)).cast("double"),
@@ -74,13 +98,20 @@ def synthetic_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     base64 = F.translate(F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), i), 256))), "+/=", "xyz")
     pick = lambda salt, xs: F.get(F.array(*map(F.lit, xs)), F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(len(xs))).cast("int"))
     word = lambda salt: pick(salt, DICTIONARY)
-    length = (18 + F.pmod(F.xxhash64(i, F.lit(9)), F.lit(24))).cast("int")
+    length = (KEYED_LEAST + F.pmod(F.xxhash64(i, F.lit(9)), F.lit(42 - KEYED_LEAST))).cast("int")
     plain = pick(1, ("", "of the", "and on", "see also", "ist das", "que la", "dans une"))
     keyed = F.concat(plain, F.lit(" "), pick(2, ("password=", "token = ", "api_key: ", "secret=", "access key", "Authorization: Bearer ")))
     hashed = F.concat(plain, F.lit(" "), pick(3, ("commit", "sha256:", "md5 ", "checksum:", "revision", "image id", "uuid=")))
     path = pick(4, ("src/app.py", "config/prod.env", "src3", "web/page.html", "tests/test_api.py", "docs/example.md", ""))
     upper = F.translate(F.upper(base64), "0189", "ABCD")
     digits = F.substring(F.translate(hexes, "abcdef", "123456"), 1, 16)
+    small = F.translate(F.lower(base64), "0123", "ghij")
+    letters = F.translate(base64, "0123456789", "qWeRtZuIoP")
+    marked = F.concat(F.substring(base64, 1, 3), pick(14, tuple("!@#$%&*?")), F.substring(base64, 4, length - 5), pick(15, tuple("!@#$%&*?,;")), F.substring(base64, 40, 1))
+    syllable = lambda salt: pick(salt, SYLLABLES)
+    prose = F.concat(*map(syllable, (16, 17, 18)), F.when(i % 3 == 0, syllable(19)).otherwise(""), pick(20, ("", "", "s", "en", "e")))
+    prose = F.rpad(F.when(F.pmod(F.xxhash64(i, F.lit(21)), F.lit(3)) == 0, F.initcap(prose)).otherwise(prose), F.greatest(F.lit(KEYED_LEAST), F.char_length(prose)), "e")
+    near = F.concat(plain, F.lit(" "), pick(22, ("password:", "the key", "token", "an access", "secret:", "note:", "auth", "key =", "api_key", "result:", "type=")))
     name = F.concat(F.initcap(word(5)), F.initcap(word(6)), F.initcap(word(7)), pick(8, ("", "2", "V1", "64", "Impl")))
     kinds = (
         (F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)), plain, 1),
@@ -89,6 +120,11 @@ def synthetic_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (F.substring(hexes, 1, length), keyed, 1),
         (F.substring(hexes, 1, 40), keyed, 1),
         (F.substring(base64, 1, length), keyed, 1),
+        (F.substring(base64, 3, length), keyed, 1),
+        (F.substring(small, 1, length), keyed, 1),
+        (F.substring(letters, 1, length), keyed, 1),
+        (F.lower(F.substring(letters, 1, length)), keyed, 1),
+        (marked, keyed, 1),
         (F.substring(hexes, 1, 40), hashed, 0),
         (F.substring(hexes, 1, 32), plain, 0),
         (F.concat_ws("-", F.substring(hexes, 1, 8), F.substring(hexes, 9, 4), F.substring(hexes, 13, 4), F.substring(hexes, 17, 4), F.substring(hexes, 21, 12)), pick(11, ("", "id", "uuid", "token = ")), 0),
@@ -98,6 +134,11 @@ def synthetic_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (F.concat(word(5), word(6), F.lit("."), F.substring(digits, 1, 2), F.lit("-"), word(7)), plain, 0),
         (F.concat_ws("/", word(5), word(6), word(7), F.concat(word(8), F.substring(digits, 1, 4))), plain, 0),
         (F.repeat(pick(13, ("x", "0", "1", "a", "12")), 14), keyed, 0),
+        (prose, near, 0),
+        (F.concat(prose, pick(23, (".", "-", "_", "/", ",")), syllable(24), syllable(25)), near, 0),
+        (F.concat(syllable(26), syllable(27), pick(23, (".", "_", "")), F.substring(digits, 1, 2), F.lit("@"), syllable(28), F.lit("mail.example.com")), pick(29, ("mail:", "contact:", "by", "of the", "from:")), 0),
+        (F.concat(pick(30, ("//www.", "https://", "http://", "/")), prose, pick(31, (".com/", ".org/", "/")), syllable(32), F.lit("/"), F.substring(digits, 1, 3)), pick(33, ("http:", "url:", "see", "href=")), 0),
+        (F.concat(pick(34, ("+49-", "+1-", "2024-", "(030)")), F.substring(digits, 1, 3), pick(35, ("-", "/", ".")), F.substring(digits, 4, 6)), pick(36, ("call:", "phone:", "date:", "")), 0),
         (F.concat_ws("-", F.lit("2024"), F.substring(digits, 1, 2), F.substring(digits, 3, 2), F.substring(digits, 5, 6)), plain, 0),
     )
     kind = F.pmod(i, F.lit(len(kinds))).cast("int")
@@ -132,17 +173,22 @@ def train(findings: DataFrame) -> Column:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, path, place (of the word), value, before for every candidate of every text."""
-    held = docs.filter(F.col("text").rlike(_HINT) & F.col("text").rlike(CANDIDATE)).select("doc_id", "path", F.split("text", SPACE).alias("_w"))
+    held = docs.filter(F.col("text").rlike(_HINT) & (F.col("text").rlike(CANDIDATE) | F.col("text").rlike(_KEYED))).select("doc_id", "path", F.split("text", SPACE).alias("_w"))
     w = F.col("_w")
+    keyed = lambda x, i: (F.char_length(x) >= KEYED_LEAST) & F.coalesce(F.get(w, i - 1).rlike(_KEY_BEFORE + "$"), F.lit(False))
     near = F.transform(
         w,
         lambda x, i: F.when(
-            x.rlike(CANDIDATE),
-            F.struct(i.alias("place"), x.alias("word"), F.concat_ws(" ", F.get(w, i - 3), F.get(w, i - 2), F.get(w, i - 1)).alias("before")),
+            x.rlike(CANDIDATE) | keyed(x, i),
+            F.struct(i.alias("place"), x.alias("word"), keyed(x, i).alias("next"), F.concat_ws(" ", F.get(w, i - 3), F.get(w, i - 2), F.get(w, i - 1)).alias("before")),
         ),
     )
     found = held.select("doc_id", "path", F.explode(F.array_compact(near)).alias("_c")).select("doc_id", "path", "_c.*")
-    value = F.regexp_extract("word", _VALUE, 1)
+    part = lambda pattern, group=1: F.nullif(F.regexp_extract("word", pattern, group), F.lit(""))
+    plain = F.coalesce(part(_VALUE), part(_RUN, 0), F.lit(""))
+    of_key = F.coalesce(part(_NAMED_VALUE), part(_SIGNED_VALUE), F.when(F.col("next"), part(_WORD_VALUE)))
+    # the run alone where it has all of the key's value, or tells its kind by a known prefix
+    value = F.when(of_key.isNull() | plain.contains(of_key) | plain.rlike("^" + _PREFIX), plain).otherwise(of_key)
     own = F.expr("substring(word, 1, instr(word, value) - 1)")
     return (
         found.withColumn("value", value)
