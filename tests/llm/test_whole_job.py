@@ -41,3 +41,27 @@ def test_candidates_by_form(spark):
     docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(rows)], "doc_id long, text string, path string")
     found = {r.doc_id: r.value for r in secrets.candidates(docs).collect()}
     assert [found.get(i) for i in range(len(rows))] == list(rows.values())
+
+
+def test_edited_passages_are_found_by_default(spark):
+    """Words of 5 to 7 letters fully replaced: one in any item, two where these are within a tenth of the item."""
+    from workloom.llm import decontaminate
+
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice(string.ascii_lowercase) for _ in range(rnd.randint(5, 7)))
+    items = [(i, " ".join(word() for _ in range(12 + i % 20))) for i in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows, expected = [], set()
+    for i, text in items:
+        for words in (1, 2):
+            parts = text.split()
+            at = rnd.sample(range(len(parts)), words)
+            if sum(len(parts[j]) for j in at) <= len(text) // 10:
+                for j in at:
+                    parts[j] = "0" * len(parts[j])
+                expected.add((len(rows), i))
+                rows.append((len(rows), f"before it {' '.join(parts)} and after"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(expected) > 60
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect()} == expected
+    assert decontaminate.clean(docs, bench).count() == 0

@@ -3,7 +3,8 @@
 Texts and test items are normalised alike: lower case, every run of characters other than letters and digits becomes one
 blank, and edits are counted in bytes of the UTF-8. An item of m bytes has an error budget of k = ``rate`` x m edits and is
 split into k + 1 pieces: whatever lies within k edits of it holds at least one piece unchanged, shifted by k at most. An
-Aho-Corasick automaton finds all pieces of all items in one pass over a text; each hit names a window; windows of an item
+Aho-Corasick automaton finds all pieces of all items in one pass over a text; each hit with a whole part of its neighbours beside it, which
+some piece of every match has, names a window; windows of an item
 that overlap are merged, and Myers' bit-parallel search gives the least edit distance of the item to any part of a window.
 
 Items are taken in blocks of about ``BLOCK`` bytes, so what is collected and broadcast at a time is bounded; a block costs
@@ -27,7 +28,9 @@ from pyspark.sql import DataFrame, functions as F
 from workloom.llm.runtime import returning_memory, small_batches
 
 #: Edits allowed for each byte of an item, the shortest item, and bytes of items in a block.
-RATE, LEAST, BLOCK = 0.06, 30, 4_000_000
+RATE, LEAST, BLOCK = 0.1, 30, 4_000_000
+#: Groups of pieces that are looked at around a hit before its window is searched.
+LEVELS = 2
 
 _BLANK = bytes(x if x >= 128 or chr(x).isalnum() else 32 for x in range(256))
 
@@ -65,6 +68,24 @@ def myers(pattern: str, text: str) -> int:
     return best
 
 
+def _beside(text: str, cuts: list[int], j: int) -> list[list[tuple[int, int, str]]]:
+    """What must stand beside piece j: of each list one part at least, as begin and end of where it may lie, from the end of the piece on.
+
+    Halve the pieces again and again. If p + q pieces have fewer than p + q edits, then p of them have fewer than p or q have
+    fewer than q; so some piece without an edit lies in groups that all have fewer edits than pieces. For each such group
+    around piece j, the other half, of q pieces, has less than p + q edits, and of p + q parts of it one is whole.
+    """
+    low, high, found = 0, len(cuts) - 1, []
+    while high - low > 1:
+        middle = (low + high) // 2
+        (low, high), (a, b) = ((low, middle), (middle, high)) if j < middle else ((middle, high), (low, middle))
+        n = high - low + b - a
+        begin, size = cuts[a], cuts[b] - cuts[a]
+        ends = [begin + size * x // n for x in range(n + 1)]
+        found.append([(x - cuts[j + 1] - n + 1, y - cuts[j + 1] + n - 1, text[x:y]) for x, y in zip(ends, ends[1:], strict=False)])
+    return found[: -LEVELS - 1 : -1]  # the smallest groups first
+
+
 class Matcher:
     """All items of a block: their automaton of pieces, and the search for them in a text."""
 
@@ -76,11 +97,11 @@ class Matcher:
             if len(t := normalised(text)) >= least:
                 ids.setdefault(t, []).append(item_id)
         self.items = [(t, int(rate * len(t)), found) for t, found in ids.items()]
-        pieces: dict[str, list[tuple[int, int]]] = {}
+        pieces: dict[str, list[tuple]] = {}
         for i, (text, k, _) in enumerate(self.items):
             cuts = [len(text) * j // (k + 1) for j in range(k + 2)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                pieces.setdefault(text[a:b], []).append((i, b))
+            for j, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                pieces.setdefault(text[a:b], []).append((i, b, _beside(text, cuts, j)))
         self.automaton = ahocorasick.Automaton()
         for piece, where in pieces.items():
             self.automaton.add_word(piece, where)
@@ -93,7 +114,10 @@ class Matcher:
             return []
         windows: dict[int, list[list[int]]] = {}
         for last, where in self.automaton.iter(t):
-            for i, end in where:
+            for i, end, beside in where:
+                at = last + 1
+                if not all(any(t.find(part, max(0, at + a), max(0, at + b)) >= 0 for a, b, part in parts) for parts in beside):
+                    continue
                 pattern, k, _ = self.items[i]
                 begin = last + 1 - end - k
                 spans = windows.setdefault(i, [])
