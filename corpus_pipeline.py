@@ -27,16 +27,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the smallest doc_id. Copies of its row go too."""
-    found = ngram_join.jaccard_join(docs)
-    gone = materialize(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct())
-    small = gone.count() <= BROADCAST_ROWS
-    kept = docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = materialize(kept.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"))
-    if not again.limit(1).count():
-        return kept
-    repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(repeated)
+    """One document of each group of near duplicates stays: the smallest doc_id. Copies of its row go too.
+
+    A document is a doc_id with a text, so that texts that share a doc_id are judged each on its own.
+    """
+    keyed = docs.withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    known = keyed.filter("_row IS NOT NULL")
+    found = ngram_join.jaccard_join(known.select(F.col("_row").alias("doc_id"), "text"))
+    linked = found.filter("component_id <> doc_id").select("component_id", F.col("doc_id").alias("_gone"))
+    linked = materialize(linked.unionByName(linked.select("component_id", F.col("component_id").alias("_gone"))).distinct())
+    small = linked.count() <= BROADCAST_ROWS
+    members = known.select("doc_id", "_row").join(F.broadcast(linked) if small else linked, F.col("_row") == F.col("_gone"))
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("_gone"))
+    gone = materialize(linked.select("_gone").join(first.select("_gone"), "_gone", "left_anti"))
+    kept = keyed.join(F.broadcast(gone) if small else gone, F.col("_row") == F.col("_gone"), "left_anti")
+    again = materialize(kept.groupBy("_row").count().filter("count > 1 AND _row IS NOT NULL").select("_row"))
+    if again.limit(1).count():
+        repeated = kept.join(again, "_row", "left_semi").dropDuplicates(["_row"])
+        kept = kept.join(again, "_row", "left_anti").unionByName(repeated)
+    return kept.drop("_row")
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,13 +55,19 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document stays as often as the mix takes it: not at all, once, or up to three times."""
-    mixed = mixing.mix(docs.select("doc_id", "text", "source"), mixing.label_weights(table(spark, sf_dir, "labels")))
-    times = mixed.filter("taken > 0 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(
-        F.max(F.col("taken") / F.col("size")).cast("int").alias("_times")
+    parts = [x for c, kind in docs.dtypes if "map<" not in kind for x in (F.col(c), F.col(c).isNull())]
+    keyed = docs.withColumn("_row", F.xxhash64(*parts)).withColumn("_row2", F.hash(*parts))
+    row = ("_row", "_row2")
+    mixed = mixing.mix(keyed.select("doc_id", "text", "source", *row), mixing.label_weights(table(spark, sf_dir, "labels")), keep=row)
+    # alike rows are one row here, with the repeats of all
+    times = mixed.groupBy(*row).agg(
+        F.sum(F.when(F.col("taken") > 0, F.col("taken") / F.col("size"))).cast("int").alias("_times"), F.count("*").alias("_alike")
     )
-    times = materialize(times)
+    times = materialize(times.filter("_times > 0"))
     small = times.count() <= BROADCAST_ROWS
-    both = docs.join(F.broadcast(times) if small else times, F.col("doc_id") == F.col("_id"))
+    both = keyed.join(F.broadcast(times) if small else times, [*row])
+    if times.filter("_alike > 1").limit(1).count():
+        both = both.filter("_alike = 1").unionByName(both.filter("_alike > 1").dropDuplicates([*row]))
     return both.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
 
 

@@ -65,3 +65,22 @@ def test_edited_passages_are_found_by_default(spark):
     assert len(expected) > 60
     assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect()} == expected
     assert decontaminate.clean(docs, bench).count() == 0
+
+
+def test_pipeline_judges_rows_not_ids(spark, tmp_path):
+    """Null ids, and one id with two texts, of which one has a smaller partner."""
+    import corpus_pipeline as pipeline
+
+    text = lambda x: " ".join(f"{x}{i}" for i in range(30))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, text("a")), (2, text("a")), (2, text("b")), (2, text("b")), (3, text("c")), (None, text("d")), (None, text("e"))]
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in rows], schema)
+    unique = pipeline.near_duplicates(spark, docs, str(tmp_path))
+    expected = [(1, text("a")), (2, text("b")), (3, text("c")), (None, text("d")), (None, text("e"))]
+    assert sorted(((r.doc_id, r.text) for r in unique.collect()), key=str) == sorted(expected, key=str)
+    assert unique.columns == docs.columns
+
+    # one source, so that the mix takes each row once: nulls, alike rows and texts of one id all stay
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    mixed = pipeline.source_mix(spark, docs, str(tmp_path))
+    assert sorted(((r.doc_id, r.text) for r in mixed.collect()), key=str) == sorted(rows, key=str)

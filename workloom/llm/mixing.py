@@ -54,13 +54,13 @@ def targets(sources: DataFrame, most: float = 3.0) -> DataFrame:
     ).drop("_w", "_level")
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, most: int = 3, seed: int = 10) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken (words that the mix takes of the document, repeats counted)."""
-    sized = docs.select("doc_id", F.col("source"), F.size(words(F.col("text"))).cast("long").alias("size"))
+def mix(docs: DataFrame, weights: DataFrame | None = None, most: int = 3, seed: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source, source_size, target, taken (words that the mix takes of the document, repeats counted), columns of docs to keep."""
+    sized = docs.select("doc_id", *keep, F.col("source"), F.size(words(F.col("text"))).cast("long").alias("size"))
     sized = sized.join(weights, "doc_id", "left") if weights is not None else sized.withColumn("_weight", F.lit(1.0))
     unit = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 12).cast("double") + 0.5) / float(1 << 52)
     weight = F.coalesce("_weight", F.lit(1.0))
-    rows = materialize(sized.select("doc_id", "source", "size", weight.alias("_weight"), (-F.log(unit) / weight).alias("_key")))
+    rows = materialize(sized.select("doc_id", *keep, "source", "size", weight.alias("_weight"), (-F.log(unit) / weight).alias("_key")))
     per_source = rows.groupBy("source").agg(
         F.sum("size").cast("long").alias("source_size"),
         F.ceil(F.count("*") / BUCKET_ROWS).cast("int").alias("_buckets"),
@@ -71,7 +71,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, most: int = 3, seed:
     # 1 - exp(-key * mean weight) is near uniform, so buckets are near equal
     bucket = F.floor((1 - F.exp(-F.col("_key") * F.col("_mean"))) * F.col("_buckets")).cast("int")
     known = known.withColumn("_bucket", bucket)
-    inside = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = known.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum")).select(
         F.col("source").alias("_source"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start")
@@ -83,4 +83,4 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, most: int = 3, seed:
     rest = F.when(F.col("source_size") > 0, F.col("target") - epochs * F.col("source_size"))
     chosen = (epochs < most) & (F.col("_start") + F.col("_inside") + F.col("size") / 2 <= rest)
     taken = F.when(F.col("source_size") > 0, F.col("size") * (epochs + chosen.cast("int"))).otherwise(0)
-    return placed.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), *keep)
