@@ -182,11 +182,54 @@ def test_records_survive_a_round_trip(spark, docs, texts):
         start += len(ids)
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(alphabet=" \n\t 　\x1caé1.'s-<|>", max_size=30), max_size=5))
-def test_pieces_give_the_ids_of_the_whole(many):
-    encoder = test_pieces_give_the_ids_of_the_whole.__dict__.setdefault("encoder", token_records.Encoder(queries.tokenizer_file("byte_bpe_50k.json")))
-    assert [x.tolist() for x in encoder.encode(many)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in many]
+@pytest.fixture(scope="module")
+def encoders():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_file("byte_bpe_50k.json")
+    return token_records.Encoder(path), Tokenizer.from_file(path)
+
+
+def same_ids(encoder, plain, many):
+    ids, counts = encoder.encode(pa.array(many, pa.string()))
+    expected = [plain.encode(t or "", add_special_tokens=False).ids for t in many]
+    assert counts.tolist() == [len(x) for x in expected] and ids.tolist() == [i for x in expected for i in x]
+
+
+def test_pieces_give_the_ids_of_the_whole(encoders):
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.one_of(st.none(), st.text(alphabet=" \n\t\r\x0b\u3000\x85\xa0\x1c\x00aé1.'s-<|>", max_size=30)), max_size=6))
+    def run(many):
+        same_ids(*encoders, many)
+
+    run()
+    same_ids(*encoders, ["hello <|endoftext|> world", "<|endoftext|>", "a <|endoftext|><|endoftext|>\n", "plain words here", "", None, "<|endoftext"])
+
+
+def test_forgotten_pieces_are_learned_again(encoders, monkeypatch):
+    monkeypatch.setattr(token_records, "CACHE", 50)
+    rnd = random.Random(1)
+    for _ in range(20):
+        same_ids(*encoders, [" ".join(rnd.choice("abcdefgh") * rnd.randint(1, 9) for _ in range(40)) for _ in range(5)])
+
+
+def test_records_of_special_texts_and_hot_ids(spark, tmp_path, encoders, monkeypatch):
+    """Small slices, null and repeated ids, special tokens in texts; then a file that a task writes twice."""
+    plain = encoders[1]
+    monkeypatch.setattr(token_records, "FILE_BYTES", 200)
+    rows = [(None, f"null {i}\n\n") for i in range(30)] + [(7, f"same {i} <|endoftext|>") for i in range(30)] + [(7, "same 1"), (7, "same 1"), (-1, None), (9, "x" * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    written = token_records.write_records(docs, f"file://{tmp_path}/r", queries.tokenizer_file("byte_bpe_50k.json"), 2)
+    assert written.count() > 4  # rows of one id are in several files
+    found = sorted(token_records.read_records(spark, f"file://{tmp_path}/r", written).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == [None] * 30 + [-1] + [7] * 32 + [9]
+    expected = sorted((i if i is not None else -9, np.array([*plain.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in rows)
+    assert sorted((r.doc_id if r.doc_id is not None else -9, bytes(r.ids)) for r in found) == expected
+    ends = [r.start + r.n_tokens for r in found]
+    assert [r.start for r in found] == [0, *ends[:-1]] and all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.n_tokens for r in found)
+    again = token_records.write_records(docs, f"file://{tmp_path}/r", queries.tokenizer_file("byte_bpe_50k.json"), 2)
+    assert {r.name for r in again.collect()}.isdisjoint(r.name for r in written.collect())
+    assert sorted(map(tuple, token_records.read_records(spark, f"file://{tmp_path}/r", again).collect()), key=lambda r: r[1]) == [tuple(r) for r in found]
 
 
 def test_damaged_records_are_refused():

@@ -6,43 +6,57 @@ allows it and else 4. All numbers are little-endian. Checksums are CRC-32, rotat
 record that holds records doesn't pass for one. The index beside a file has, for each record, its offset (8) and the number
 of ids before it in the file (8), and at the end both totals.
 
-Documents are range-partitioned by doc_id, sorted, and each partition is one file: file names follow the order of ids. A
-file is written under a name of its attempt and then moved into place, so a task that runs again, or twice at once, leaves
-the same file. Readers get slices of the index, never whole files.
+Documents are range-partitioned by doc_id, sorted, and each partition, of about ``FILE_BYTES`` of text, is one file. Every
+attempt at a file has a name of its own, which the task hands back as its result: what Spark commits names the files that
+count, so nothing is renamed, and a task that runs again, or twice at once, changes nothing. Readers get slices of the index
+with about ``SLICE_BYTES`` of records, never whole files.
 
-A text is cut before each blank that follows a character other than white space. The tokenizer's own pattern never joins
-across such a place, so the ids of a text are those of its pieces, and each distinct piece is encoded once in a task.
+Ids are those that the library gives for the whole text, special tokens in it included. With a byte-level tokenizer a text is cut
+before each blank or line feed that follows a character other than white space. Its own pattern never joins across such a
+place, so the ids of a text are those of its pieces, and each distinct piece is encoded once in a task. A text that holds a
+special token, and any text under another kind of tokenizer, is encoded whole.
 
 Defined results
     null text: as an empty one, the end id alone. null doc_id: first in the order. Repeated rows: one record each. Rows that
-    share a doc_id: ordered by text. Empty table: no files, no rows. Other columns of the input, whatever their names, are
-    not read and not returned.
+    share a doc_id: ordered by a hash of the text, in several files if there are many. Empty table: no files, no rows. Other
+    columns of the input, whatever their names, are not read and not returned.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from workloom.llm.runtime import materialize, scratch
-
-#: Records that one reader takes from a file at a time.
-SLICE = 2000
-#: Pieces whose ids a Python worker holds before it starts anew.
-CACHE = 500_000
-_CUT = re.compile(r"(?<=\S)(?= )")
-_DOUBLE = re.compile(r"\s ")
+from workloom.llm.runtime import materialize, returning_memory, scratch, small_batches
+
+#: Bytes of text for a file, and of records that a reader takes at a time.
+FILE_BYTES, SLICE_BYTES = 32 << 20, 4 << 20
+#: Pieces whose ids a Python worker holds; beyond, those used least are forgotten.
+CACHE = 1_000_000
+#: Pieces that are encoded in one go.
+TOGETHER = 20
+_CUT = re.compile(r"(?<=\S)(?=[ \n])")
+#: White space, in the syntax of Arrow's expressions; a cut inside a run of it, but for the last place, divides what the
+#: tokenizer takes together.
+_SPACES = r"[\t-\r\x1c-\x20\x85\p{Z}]"
+_ODD = rf"{_SPACES}[ \n](?:{_SPACES}|\z)|\x00"
+#: One blank or line feed, then none.
+_SIMPLE = rf"\A[ \n]{_SPACES.replace('[', '[^')}+\z"
+#: Marks a piece that stands for itself.
+_ALONE = "\0"
 
 
 def masked(data: bytes) -> int:
@@ -67,17 +81,37 @@ def unframe(data: bytes) -> bytes:
 
 
 class _Pieces(dict):
-    """Number of each distinct piece; pieces not seen before are noted. A text's first piece, without a blank, is a 1-tuple."""
+    """Number of each distinct piece; pieces not seen before are noted.
+
+    A key stands for a blank and the key, unless it begins with a line feed, which is its own, or with a mark, which is left out.
+    """
 
     def __init__(self) -> None:
-        self.new: list = []
+        self.new: list[str] = []
 
-    def __missing__(self, piece):
+    def __missing__(self, piece: str) -> int:
         self[piece] = number = len(self)
         self.new.append(piece)
         return number
 
 
+def _text_of(key: str) -> str:
+    return key[1:] if key[:1] == _ALONE else key if key[:1] == "\n" else " " + key
+
+
+def _matching(texts: pa.Array, pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False)
+
+
+def _keys(text: str) -> list[str]:
+    """Keys of a text whose white space is not single."""
+    keys = []
+    for i, x in enumerate(_CUT.split(text)):
+        plain = i and x[0] == " " and x[1:2] not in ("\n", _ALONE)
+        keys.append(x[1:] if plain else x if i and x[0] == "\n" else _ALONE + x)
+    return keys
+
+
 class Encoder:
     """Ids of whole texts by a tokenizer file."""
 
@@ -86,43 +120,104 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
+        parts = json.loads(self.tokenizer.to_str())
+        cut = parts["pre_tokenizer"] or {}
+        self.by_piece = parts["normalizer"] is None and cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"]
+        added = [re.escape(x["content"]) for x in parts["added_tokens"]]
+        self.special = "|".join(added)
+        # of each id: whether its token begins with a blank or a line feed, as the vocabulary writes them
+        self.begins = np.zeros(1 + max(self.tokenizer.get_vocab().values(), default=0), bool)
+        self.begins[[i for token, i in self.tokenizer.get_vocab().items() if token[:1] in ("Ġ", "Ċ")]] = True
         self._reset()
 
     def _reset(self) -> None:
         self.pieces, self.ids = _Pieces(), np.zeros(0, np.uint32)
-        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self) -> None:
-        new, self.pieces.new = self.pieces.new, []
-        lengths, ids = [self.lengths], [self.ids]
-        for i in range(0, len(new), 5000):
-            texts = [x[0] if type(x) is tuple else " " + x for x in new[i : i + 5000]]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            lengths.append(np.array([len(x) for x in found], np.int64))
-            ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
-        self.lengths, self.ids = np.concatenate(lengths), np.concatenate(ids)
+        self.starts, self.lengths, self.used = (np.zeros(0, np.int64) for _ in range(3))
+
+    def _forget(self) -> None:
+        """Keeps the pieces used most, half as many as may be held."""
+        kept = np.sort(np.argsort(-self.used, kind="stable")[: CACHE // 2])
+        names, pieces = list(self.pieces), _Pieces()
+        pieces.update({names[i]: j for j, i in enumerate(kept.tolist())})
+        self.pieces, self.ids = pieces, self._gather(kept)
+        self.lengths, self.used = self.lengths[kept], self.used[kept]
         self.starts = np.cumsum(self.lengths) - self.lengths
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.pieces) > CACHE:
-            self._reset()
-        numbers = []
-        for text in texts:
-            if not text:
-                numbers.append(np.zeros(0, np.int64))
+    def _gather(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of these pieces, one after the other."""
+        length = self.lengths[numbers]
+        return self.ids[np.repeat(self.starts[numbers] - (np.cumsum(length) - length), length) + np.arange(length.sum())]
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self) -> None:
+        new, self.pieces.new = [_text_of(x) for x in self.pieces.new], []
+        starts, lengths, parts, held = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), [self.ids], len(self.ids)
+        # pieces with white space at their begin alone are encoded together: a token that begins with some begins a piece
+        simple = _matching(pa.array(new, pa.large_string()), _SIMPLE)
+        alone = [np.flatnonzero(~simple)]
+        for some in np.array_split(np.flatnonzero(simple), simple.sum() // 10_000 + 1):
+            texts = ["".join([new[i] for i in some[j : j + TOGETHER]]) for j in range(0, len(some), TOGETHER)]
+            found = self._whole(texts)
+            ids = np.concatenate([np.zeros(0, np.uint32), *found])
+            begins = np.flatnonzero(self.begins[ids])
+            of_text = np.searchsorted(begins, np.cumsum([len(x) for x in found]))
+            if of_text.tolist() != [min(j + TOGETHER, len(some)) for j in range(0, len(some), TOGETHER)] or (len(some) and begins[0]):
+                alone.append(some)
                 continue
-            first, *rest = [x[i > 0 :] for i, x in enumerate(_CUT.split(text))] if _DOUBLE.search(text) else text.split(" ")
-            # a text that begins with a blank: its first piece is empty
-            numbers.append(np.fromiter(map(self.pieces.__getitem__, ((first,), *rest)), np.int64, len(rest) + 1))
-        self._learn()
-        out = []
-        for n in numbers:
-            length = self.lengths[n]
-            shift = np.repeat(self.starts[n] - (np.cumsum(length) - length), length)
-            out.append(self.ids[shift + np.arange(len(shift))])
-        return out
+            starts[some], lengths[some] = held + begins, np.diff(np.append(begins, len(ids)))
+            parts.append(ids)
+            held += len(ids)
+        for some in alone:
+            for i, ids in zip(some, self._whole([new[i] for i in some]), strict=True):
+                starts[i], lengths[i] = held, len(ids)
+                parts.append(ids)
+                held += len(ids)
+        self.ids = np.concatenate(parts)
+        self.starts, self.lengths = np.append(self.starts, starts), np.append(self.lengths, lengths)
+        self.used = np.append(self.used, np.zeros(len(new), np.int64))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each has; a null text has none."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        whole = np.ones(len(texts), bool)
+        if self.by_piece:
+            whole = _matching(texts, self.special) if self.special else ~whole
+        if whole.any():
+            at = np.flatnonzero(whole)
+            by_text: list = [None] * len(texts)
+            for i, ids in zip(at, self._whole(texts.take(pa.array(at)).to_pylist()), strict=True):
+                by_text[i] = ids
+            if len(rest := np.flatnonzero(~whole)):
+                flat, counts = self._by_piece(texts.take(pa.array(rest)))
+                for i, ids in zip(rest, np.split(flat, np.cumsum(counts)[:-1]), strict=True):
+                    by_text[i] = ids
+            return np.concatenate(by_text), np.array([len(x) for x in by_text], np.int64)
+        return self._by_piece(texts)
+
+    def _by_piece(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.pieces) > CACHE:
+            self._forget()
+        odd = _matching(texts, _ODD)
+        lists = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(*(pa.scalar(x, pa.large_string()) if isinstance(x, str) else x for x in (_ALONE, texts, ""))), "\n", " \n"), " ")
+        pieces, many = lists.flatten(), np.asarray(pc.list_value_length(lists)).astype(np.int64)
+        if odd.any():
+            parts = [_keys(x) if o else None for x, o in zip(texts.to_pylist(), odd, strict=True)]
+            ends = np.cumsum(many)
+            flat = [pa.array(k, pa.large_string()) if k is not None else pieces[b - m : b] for k, b, m in zip(parts, ends.tolist(), many.tolist(), strict=True)]
+            pieces = pa.concat_arrays([x.cast(pa.large_string()) for x in flat])
+            many = np.array([len(x) for x in flat], np.int64)
+        coded = pieces.dictionary_encode()
+        numbers = np.fromiter(map(self.pieces.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(coded.dictionary))[np.asarray(coded.indices)]
+        if self.pieces.new:
+            self._learn()
+        self.used += np.bincount(numbers, minlength=len(self.used))
+        firsts = np.cumsum(many) - many
+        return self._gather(numbers), np.add.reduceat(self.lengths[numbers], firsts)
 
 
 #: By file: a Python worker keeps its encoder, and what that has learned, from task to task.
@@ -138,42 +233,53 @@ def _encoder(path: str) -> Encoder:
 def _writer(folder: str, tokenizer: str, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        files, root = pa.fs.FileSystem.from_uri(folder)
-        attempt = f"{root}/.{part:06d}-{uuid.uuid4().hex}"
-        encoder, out, index, at, before = None, None, [], 0, 0
+        name = f"{part:06d}-{uuid.uuid4().hex}"
+        out, index, slices, at, before = None, [], [0], 0, 0
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for i in range(0, batch.num_rows, 1000):
-                encoder = encoder or _encoder(tokenizer)
-                out = out or files.open_output_stream(attempt)
-                kind = np.dtype("<u4" if encoder.wide else "<u2")
-                for doc_id, found in zip(ids[i : i + 1000], encoder.encode([x or "" for x in texts[i : i + 1000].to_pylist()]), strict=True):
-                    head = struct.pack("<?q", doc_id is not None, doc_id or 0)
-                    record = frame(head + np.append(found, end_id).astype(kind).tobytes())
-                    out.write(record)
-                    index.append((at, before))
-                    at, before = at + len(record), before + len(found) + 1
+            if not batch.num_rows:
+                continue
+            encoder = _encoder(tokenizer)
+            if out is None:
+                files, root = pa.fs.FileSystem.from_uri(folder)
+                out = files.open_output_stream(f"{root}/{name}.records")
+            ids, counts = encoder.encode(batch.column("text"))
+            ids = ids.astype("<u4" if encoder.wide else "<u2")
+            end = np.array([end_id], ids.dtype).tobytes()
+            ends = np.cumsum(counts)
+            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), (ends - counts).tolist(), ends.tolist(), strict=True):
+                record = frame(struct.pack("<?q", doc_id is not None, doc_id or 0) + ids[a:b].tobytes() + end)
+                out.write(record)
+                if index and at - index[slices[-1]][0] >= SLICE_BYTES:
+                    slices.append(len(index))
+                index.append((at, before))
+                at, before = at + len(record), before + b - a + 1
         if out is None:
             return
         out.close()
-        with files.open_output_stream(f"{attempt}.index") as side:
+        with files.open_output_stream(f"{root}/{name}.index") as side:
             side.write(np.array([*index, (at, before)], "<u8").tobytes())
-        for suffix in ("", ".index"):
-            files.move(attempt + suffix, f"{root}/{part:06d}.records{suffix}")
-        width = 4 if encoder.wide else 2
-        yield pa.RecordBatch.from_pydict({"file": [part], "records": [len(index)], "ids": [before], "width": [width]})
+        row = {"file": [part], "name": [name], "records": [len(index)], "ids": [before], "width": [4 if encoder.wide else 2], "slices": [slices]}
+        yield pa.RecordBatch.from_pydict(row)
 
     return write
 
 
-def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, files: int | None = None) -> DataFrame:
-    """Writes the files into a folder that all executors reach; returns one row for each: file, records, ids, width, start."""
+def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> DataFrame:
+    """Writes the files into a folder that all executors reach; returns one row for each: file (its place in the order), name,
+    records, ids, width, slices (the records at which its slices begin), start (ids of all files before it)."""
     spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ordered = rows.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    pa.fs.FileSystem.from_uri(folder)[0].create_dir(pa.fs.FileSystem.from_uri(folder)[1])
-    written = materialize(ordered.mapInArrow(_writer(folder, tokenizer, end_id), "file long, records long, ids long, width long"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(ceil(total / FILE_BYTES), spark.sparkContext.defaultParallelism)
+    # rows alike in both may change places, so they can be parted at will
+    keyed = rows.withColumns({"_hash": F.xxhash64("text"), "_part": F.pmod(F.monotonically_increasing_id(), F.lit(64))})
+    order = (F.col("doc_id").asc_nulls_first(), F.col("_hash"), F.col("_part"))
+    ordered = keyed.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    store, root = pa.fs.FileSystem.from_uri(folder)
+    store.create_dir(root)
+    kinds = "file long, name string, records long, ids long, width long, slices array<long>"
+    written = materialize(ordered.mapInArrow(returning_memory(_writer(folder, tokenizer, end_id)), kinds))
     earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     return written.withColumn("start", F.coalesce(F.sum("ids").over(earlier), F.lit(0)))
 
@@ -183,30 +289,34 @@ def _reader(folder: str):
         files, root = pa.fs.FileSystem.from_uri(folder)
         for batch in batches:
             for row in batch.to_pylist():
-                with files.open_input_file(f"{root}/{row['file']:06d}.records.index") as side:
+                with files.open_input_file(f"{root}/{row['name']}.index") as side:
                     index = np.frombuffer(side.read_at((row["count"] + 1) * 16, row["first"] * 16), "<u8").reshape(-1, 2).astype(np.int64)
-                out = []
-                with files.open_input_file(f"{root}/{row['file']:06d}.records") as file:
-                    for i in range(row["count"]):
-                        payload = unframe(file.read_at(int(index[i + 1, 0] - index[i, 0]), int(index[i, 0])))
-                        known, doc_id = struct.unpack_from("<?q", payload)
-                        ids = np.frombuffer(payload, f"<u{row['width']}", offset=9).astype("<u4")
-                        out.append((doc_id if known else None, row["start"] + int(index[i, 1]), len(ids), zlib.crc32(ids.tobytes()), ids.tobytes() if row["whole"] else None))
-                names = ("doc_id", "start", "n_tokens", "ids_crc32")
-                columns = [pa.array([x[j] for x in out], pa.int64()) for j in range(4)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([x[4] for x in out], pa.binary())], [*names, "ids"])
+                offsets, before = index[:, 0].tolist(), index[:-1, 1]
+                with files.open_input_file(f"{root}/{row['name']}.records") as file:
+                    data = memoryview(file.read_at(offsets[-1] - offsets[0], offsets[0]))
+                doc_ids, counts, sums, whole = [], [], [], []
+                for a, b in zip(offsets, offsets[1:], strict=False):
+                    payload = unframe(data[a - offsets[0] : b - offsets[0]])
+                    known, doc_id = struct.unpack_from("<?q", payload)
+                    ids = np.frombuffer(payload, f"<u{row['width']}", offset=9).astype("<u4").tobytes()
+                    doc_ids.append(doc_id if known else None)
+                    counts.append(len(ids) // 4)
+                    sums.append(zlib.crc32(ids))
+                    whole.append(ids if row["whole"] else None)
+                columns = [pa.array(doc_ids, pa.int64()), pa.array(before + row["start"]), pa.array(counts, pa.int64()), pa.array(sums, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(whole, pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
     return read
 
 
 def read_records(spark: SparkSession, folder: str, written: DataFrame, whole: bool = True) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (little-endian, 4 bytes each) of each record."""
-    firsts = F.explode(F.sequence(F.lit(0), F.col("records") - 1, F.lit(SLICE)))
-    slices = written.select("*", firsts.alias("first")).withColumns(
-        {"count": F.least(F.lit(SLICE), F.col("records") - F.col("first")), "whole": F.lit(whole)}
+    after = F.coalesce(F.get("slices", F.col("_i") + 1), F.col("records"))
+    slices = written.select("*", F.posexplode("slices").alias("_i", "first")).select(
+        "name", "width", "start", "first", (after - F.col("first")).alias("count"), F.lit(whole).alias("whole")
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    read = slices.repartition(parts, "file", "first").mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    read = slices.repartition(parts, "name", "first").mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
     return read if whole else read.drop("ids")
 
 
