@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,14 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def frequent_words(path: str, most: int = 2000) -> list[str]:
+    """The first words of 4 to 10 small letters in a vocabulary by rank."""
+    from tokenizers import Tokenizer
+
+    ranked = sorted(Tokenizer.from_file(path).get_vocab().items(), key=lambda kv: kv[1])
+    return [w[1:] for w, _ in ranked if w[:1] == "Ġ" and re.fullmatch("[a-z]{4,10}", w[1:])][:most]
+
+
 def op1_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), 40)
 
@@ -35,7 +44,7 @@ def op4_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "text", "source AS path")
-    return secrets.secrets(docs)
+    return secrets.secrets(docs, dictionary=(*secrets.DICTIONARY, *frequent_words(tokenizer_file("byte_bpe_50k.json"))))
 
 
 def op6_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {"op7_quality_rules": quality.ORACLE_SQL}
+    return {"op7_quality_rules": quality.ORACLE_SQL, "op8_license_diagonals": licenses.ORACLE_SQL}

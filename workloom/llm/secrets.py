@@ -1,29 +1,39 @@
 """Secret scans: candidate strings, judged by a random forest that removes false positives. DataFrame operations only.
 
-Candidates are runs of 12 or more characters with a digit anywhere, and whatever has ``KEYED_LEAST`` or more characters and
-follows a key name, an equals sign or a colon, in the same word or as the next one. A key's value may hold any characters
-but blanks and quotes, and ends with its last letter or digit. What is no secret is left to the forest. Features of a
-candidate: length, kinds and changes of character classes, share of distinct characters, dictionary coverage, consonants in a row,
-words beside it, and the path it comes from. The forest is trained by Spark on labelled findings and then compiled into one column
-expression, so scoring is part of the projection that makes the features; nothing is shuffled and no model is shipped.
-
-``findings`` are labelled rows: value, before (the words before it), path, label (1: a secret). Where none are given, the
-set of ``synthetic_findings`` is used: values of known formats and of their usual look-alikes, made from hashes of row
+Candidates are all runs of 12 or more characters with a digit anywhere, and whatever has ``KEYED_LEAST`` or more characters and
+follows a key name, an equals sign or a colon, in the same word or as the next one. A word is cut where a further name with
+its sign begins, so each of its values is a candidate. A key's value may hold any characters but blanks and quotes, and ends
+with its last letter or digit; it ends before a comma, semicolon or ampersand if what stands there is such a run already. What
+is no secret is left to the forest.
+
+Features of a candidate: length, kinds of characters, how much likelier its character transitions are in secrets than in other
+values (a table of conditional frequencies, counted in the labelled findings), changes of character class, share of distinct
+characters, dictionary coverage (letters under words of the dictionary), consonants in a row, words before and after it, and
+the path it comes from. The forest is trained by Spark on labelled findings and then compiled into one column expression, so
+scoring is part of the projection that makes the features; nothing is shuffled and no model is shipped.
+
+``findings`` are labelled rows: value, before (the words before it), after, path, label (1: a secret). Where none are given,
+the set of ``synthetic_findings`` is used: values of known formats and of their usual look-alikes, made from hashes of row
 numbers, alike in every run. It has ``FINDINGS`` rows whatever the size of the corpus.
 
 Defined results
     null or empty text: no findings. null doc_id or path: carried through, a null path is an empty one. Repeated rows: found
-    in each. Findings of a text are told apart by the place of their word. Very long values: one candidate. Empty table: no
-    rows. Other columns of the input, whatever their names, are not read and not returned.
+    in each. Findings of a text are told apart by the place of their word and their value; a value that stands twice in a word
+    is one. Very long words: their values like any others, in time proportional to their length. Empty table: no rows. Other
+    columns of the input, whatever their names, are not read and not returned.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable
+from math import log
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from workloom.llm.runtime import SPACE, materialize
 
-FINDINGS = 9000
+FINDINGS = 12_000
 TREES, DEPTH = 12, 6
 #: Characters of the shortest value that is looked at after a key.
 KEYED_LEAST = 8
@@ -47,52 +57,102 @@ SYLLABLES = (
 
 _PREFIX = r"(?:AKIA|ASIA|gh[pousr]_|xox[bp]-|sk_|sk-|AIza|eyJ)"
 _WS = r"\x20\x09-\x0D"
-#: A run of 12 or more with a digit anywhere.
-_RUN = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*[0-9])[A-Za-z0-9_+/\-]{12,}"
-#: A word that may hold a candidate whatever stands before it: a known prefix, a key with a value, or a long run with a digit.
-CANDIDATE = _PREFIX + rf"[A-Za-z0-9_\-.]{{8,}}|[=:][^{_WS}]{{{KEYED_LEAST},}}|" + _RUN
+#: A known prefix with a value, and a run of 12 or more with a digit anywhere. Nothing here goes back over a long run.
+_PREFIXED = rf"(?<![A-Za-z0-9]){_PREFIX}[A-Za-z0-9_\-.]{{8,}}+"
+_RUN = r"(?<![A-Za-z0-9_+.\-])(?<![A-Za-z0-9_+.\-]/)(?=[A-Za-z_+/.\-]*+[0-9])[A-Za-z0-9_+\-][A-Za-z0-9_+/.\-]{11,}+={0,2}"
+#: A word that may hold a candidate whatever stands before it.
+CANDIDATE = rf"[=:][^{_WS}]{{{KEYED_LEAST},}}|{_PREFIXED}|{_RUN}"
 _NAMES = "(?i:(?<![A-Za-z])(?:" + "|".join(FOR) + "))"
 #: The end of a word that makes the next one a candidate, and both in a whole text.
-_KEY_BEFORE = rf"(?:[=:]|{_NAMES})[\"'`(\[{{<>}}\])]*"
+_KEY_BEFORE = rf"(?:[=:]|{_NAMES})[\"'`(\[{{<>}}\])]{{0,8}}"
 _KEYED = rf"{_KEY_BEFORE}[{_WS}]+[^{_WS}]{{{KEYED_LEAST}}}"
 #: What every such text holds: one cheap look spares most of the others the patterns above.
 _HINT = f"[0-9=:]|{_PREFIX}|{_NAMES}"
-_VALUE = r"([A-Za-z0-9_+/.\-]{12,}={0,2})[^A-Za-z0-9]*$"
-_OPEN, _LAST = r"[\"'`(\[{<]*", r"[\p{L}\p{N}]={0,2}"
+#: Where a further name and its sign begin in a word.
+_NEXT_NAME = r"[,;&?](?=[\"'`{\[]{0,4}[A-Za-z_][A-Za-z0-9_.\-]{0,40}[\"'`\])]{0,4}[=:])"
+_OPEN, _LAST = r"[\"'`(\[{<]{0,8}", r"[\p{L}\p{N}]={0,2}"
 #: Values after a key name and its sign, after a sign at all, and of a whole word.
-_NAMED_VALUE = rf"{_NAMES}[\"'\])]*[=:]+>?{_OPEN}([^\"'`]{{{KEYED_LEAST - 1},}}{_LAST})"
+_NAMED_VALUE = rf"{_NAMES}[\"'\])]{{0,8}}[=:]+>?{_OPEN}([^\"'`]{{{KEYED_LEAST - 1},}}{_LAST})"
 _SIGNED_VALUE = rf"[=:](?!//){_OPEN}([^\"'`=:]{{{KEYED_LEAST - 1},}}{_LAST})[^\p{{L}}\p{{N}}]*$"
 _WORD_VALUE = rf"^{_OPEN}([^\"'`]{{{KEYED_LEAST - 1},}}{_LAST})"
 
+#: Kinds of characters in a transition: 26 letters whatever their case, digits, all others.
+KINDS = 28
+
+
+def _kind(c: Column) -> Column:
+    low = F.ascii(F.lower(c))
+    return F.when(low.between(97, 122), low - 97).when(low.between(48, 57), 26).otherwise(27)
+
+
+def with_parts(rows: DataFrame) -> DataFrame:
+    """Adds the characters of ``value`` and their kinds, which the features look at one by one."""
+    chars = rows.withColumns({"_chars": F.split("value", "(?<=.)(?=.)"), "_low": F.split(F.lower("value"), "(?<=.)(?=.)")})
+    return chars.withColumn("_kinds", F.transform("_chars", _kind))
+
+
+def _transitions() -> Column:
+    """The number of each pair of neighbouring characters."""
+    after = F.slice("_kinds", 2, F.greatest(F.size("_kinds") - 1, F.lit(0)))
+    return F.transform(after, lambda k, i: F.get("_kinds", i) * KINDS + k)
+
+
+def transition_table(findings: DataFrame) -> list[float]:
+    """For each pair of kinds: the logarithm of how much likelier the second follows the first in secrets than in other values."""
+    pairs = with_parts(findings).select("label", F.explode(_transitions()).alias("pair")).groupBy("label", "pair").count()
+    seen = {(int(r["label"] > 0), r["pair"]): r["count"] for r in pairs.collect()}  # two for each pair of kinds at most
+    of_first = {(y, a): sum(seen.get((y, a * KINDS + b), 0) for b in range(KINDS)) for y in (0, 1) for a in range(KINDS)}
+    chance = lambda y, a, b: (seen.get((y, a * KINDS + b), 0) + 0.5) / (of_first[y, a] + 0.5 * KINDS)
+    return [round(log(chance(1, a, b) / chance(0, a, b)), 6) for a in range(KINDS) for b in range(KINDS)]
 
-def features(value: Column, before: Column, path: Column) -> dict[str, Column]:
-    """Numbers by name. before: the two words before the value, and what stands before it in its own word."""
+
+def _coverage(dictionary: Iterable[str]) -> Column:
+    """Characters under words of the dictionary, at each place the longest."""
+    words = sorted({w.lower() for w in dictionary if w})
+    lengths = sorted({len(w) for w in words}, reverse=True)
+    at = lambda i, n: F.array_join(F.slice("_low", i + 1, F.lit(n)), "")
+    longest = lambda x, i: F.when(~x.between("a", "z"), 0).otherwise(F.coalesce(*[F.when(at(i, n).isin([w for w in words if len(w) == n]), n) for n in lengths], F.lit(0)))
+    places = F.transform("_low", lambda x, i: F.struct((i + 1).alias("at"), longest(x, i).alias("n")))
+    start = F.struct(F.lit(0).alias("sum"), F.lit(1).alias("open"))
+    add = lambda s, p: F.struct(
+        (s["sum"] + F.greatest(p["at"] + p["n"] - F.greatest(s["open"], p["at"]), F.lit(0))).alias("sum"), F.greatest(s["open"], p["at"] + p["n"]).alias("open")
+    )
+    return F.aggregate(F.filter(places, lambda p: p["n"] > 0), start, add, lambda s: s["sum"])
+
+
+def features(transitions: list[float], dictionary: Iterable[str]) -> dict[str, Column]:
+    """Numbers by name, of rows ``with_parts``: value, before and after (the words beside the value, and what stands beside it
+    in its own word), path."""
+    value, before, after, path = map(F.col, ("value", "before", "after", "path"))
     n = F.char_length(value).cast("double")
     count = lambda pattern: F.regexp_count(value, F.lit(pattern)).cast("double")
-    known = F.regexp_replace(F.lower(value), "|".join(sorted(set(DICTIONARY), key=lambda x: (-len(x), x))), "")
-    beside = lambda names: F.lower(before).rlike(r"(?:^|[\s\"'(\[{,;=:])(?:" + "|".join(names) + r")(?:$|[^a-z.@])").cast("double")
+    beside = lambda c, names: F.coalesce(F.lower(c).rlike(r"(?:^|[\s\"'(\[{,;=:])(?:" + "|".join(names) + r")(?:$|[^a-z.@])"), F.lit(False)).cast("double")
     changes = r"(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])|(?<=[A-Z])(?=[0-9])|(?<=[0-9])(?=[A-Z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"
+    table = F.from_json(F.lit(json.dumps(transitions)), "array<double>")
+    likelier = F.aggregate(_transitions(), F.lit(0.0), lambda s, pair: s + F.get(table, pair))
     return {
         "length": n,
+        "transitions": likelier / n,
         "changes": count(changes) / n,
         "digits": count("[0-9]") / n,
         "uppers": count("[A-Z]") / n,
         "others": count("[^A-Za-z0-9]") / n,
         "hex": value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$").cast("double"),
         "vowels": count("(?i)[aeiou]") / n,
-        "distinct": F.size(F.array_distinct(F.split(value, ""))) / n,
+        "distinct": F.size(F.array_distinct("_chars")) / n,
         "odd": count("(?i)[bcdfghjklmnpqrstvwxz]{4}|[jqxz]") / n,
-        "dictionary": 1 - F.char_length(known) / n,
+        "dictionary": _coverage(dictionary) / n,
         "uuid": value.rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-").cast("double"),
         "prefix": value.rlike("^" + _PREFIX).cast("double"),
-        "for": beside(FOR),
-        "against": beside(AGAINST),
+        "for": beside(before, FOR),
+        "against": beside(before, AGAINST),
+        "against_after": beside(after, AGAINST),
         "path": F.coalesce(F.lower(path).rlike("|".join(PATHS)), F.lit(False)).cast("double"),
     }
 
 
 def synthetic_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
-    """value, before, path, label of n made-up findings."""
+    """value, before, after, path, label of n made-up findings."""
     i = F.col("id")
     hexes = F.sha2(F.concat(F.lit("h"), i), 256)
     base64 = F.translate(F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), i), 256))), "+/=", "xyz")
@@ -100,7 +160,7 @@ def synthetic_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     word = lambda salt: pick(salt, DICTIONARY)
     length = (KEYED_LEAST + F.pmod(F.xxhash64(i, F.lit(9)), F.lit(42 - KEYED_LEAST))).cast("int")
     plain = pick(1, ("", "of the", "and on", "see also", "ist das", "que la", "dans une"))
-    keyed = F.concat(plain, F.lit(" "), pick(2, ("password=", "token = ", "api_key: ", "secret=", "access key", "Authorization: Bearer ")))
+    keyed = F.concat(plain, F.lit(" "), pick(2, ("password=", "token = ", "api_key: ", "secret=", "access key", "Authorization: Bearer ", '{"token":"', "https://h/a?token=", "export SECRET_KEY=", "key=")))
     hashed = F.concat(plain, F.lit(" "), pick(3, ("commit", "sha256:", "md5 ", "checksum:", "revision", "image id", "uuid=")))
     path = pick(4, ("src/app.py", "config/prod.env", "src3", "web/page.html", "tests/test_api.py", "docs/example.md", ""))
     upper = F.translate(F.upper(base64), "0189", "ABCD")
@@ -143,7 +203,8 @@ def synthetic_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     )
     kind = F.pmod(i, F.lit(len(kinds))).cast("int")
     chosen = lambda j: F.element_at(F.array(*[F.lit(k[j]) if j == 2 else k[j] for k in kinds]), kind + 1)
-    return spark.range(n).select(chosen(0).alias("value"), chosen(1).alias("before"), path.alias("path"), chosen(2).alias("label"))
+    after = F.when((chosen(2) == 0) & (i % 7 == 0), pick(40, ("is the commit", "(sha1)", "checksum of", "as example"))).otherwise(pick(41, ("", "of the", "and on", '","user":"bob"}', "&x=1", ",x")))
+    return spark.range(n).select(chosen(0).alias("value"), chosen(1).alias("before"), after.alias("after"), path.alias("path"), chosen(2).alias("label"))
 
 
 def _tree(node, names: list[str]) -> Column:
@@ -156,52 +217,81 @@ def _tree(node, names: list[str]) -> Column:
     return F.when(left, _tree(node.leftChild(), names)).otherwise(_tree(node.rightChild(), names))
 
 
-def train(findings: DataFrame) -> Column:
-    """The forest as an expression over columns named as the features."""
+def train(findings: DataFrame, dictionary: Iterable[str] = DICTIONARY) -> tuple[Column, list[float]]:
+    """The forest as an expression over columns named as the features, and the transitions they need."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    made = features(F.col("value"), F.col("before"), F.col("path"))
-    rows = findings.filter("value IS NOT NULL AND label IS NOT NULL").select(*[c.alias(f"_f_{k}") for k, c in made.items()], F.col("label").cast("double").alias("label"))
+    findings = findings.filter("value <> '' AND label IS NOT NULL")
+    table = transition_table(findings)
+    made = features(table, dictionary)
+    rows = with_parts(findings).select(*[c.alias(f"_f_{k}") for k, c in made.items()], F.col("label").cast("double").alias("label"))
     names = [f"_f_{k}" for k in made]
-    ready = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="skip").transform(rows)
+    ready = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="skip").transform(materialize(rows))
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=5, featuresCol="features", labelCol="label").fit(ready)
     votes = [_tree(t._java_obj.rootNode() if hasattr(t, "_java_obj") else t._call_java("rootNode"), names) for t in model.trees]
     # summed by a fold, which Spark interprets: as one generated method the trees would be too long to compile
-    return F.aggregate(F.array(*votes), F.lit(0.0), lambda a, x: a + x) / len(votes)
+    return F.aggregate(F.array(*votes), F.lit(0.0), lambda a, x: a + x) / len(votes), table
+
+
+def _values(part: Column, follows: Column) -> Column:
+    """All values of a part of a word; follows: whether what stands before makes the whole of it one."""
+    some = lambda x: F.nullif(x, F.lit(""))
+    keyed = F.coalesce(
+        some(F.regexp_extract(part, _NAMED_VALUE, 1)), some(F.regexp_extract(part, _SIGNED_VALUE, 1)), F.when(follows, some(F.regexp_extract(part, _WORD_VALUE, 1)))
+    )
+    of = lambda pattern: F.array_distinct(F.transform(F.regexp_extract_all(part, F.lit(pattern), 0), lambda x: F.btrim(x, F.lit("."))))
+    return F.struct(keyed.alias("keyed"), of(_PREFIXED).alias("known"), F.filter(of(_RUN), lambda x: F.char_length(x) >= 12).alias("plain"))
+
+
+def _chosen(found: Column) -> Column:
+    """The key's value and the runs outside it; the runs alone where one tells its kind by a known prefix, or is followed by a mark that ends values."""
+    keyed, known = found["keyed"], found["known"]
+    runs = F.concat(known, F.filter(found["plain"], lambda x: ~F.exists(known, lambda y: x.contains(y))))
+    ends = lambda x: F.exists(F.array(*map(F.lit, ",;&")), lambda m: keyed.startswith(F.concat(x, m)))
+    instead = F.exists(runs, lambda x: (keyed != x) & keyed.contains(x) & (x.rlike("^" + _PREFIX) | ends(x)))
+    return F.when(keyed.isNull() | instead, runs).otherwise(F.concat(F.array(keyed), F.filter(runs, lambda x: ~keyed.contains(x))))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, path, place (of the word), value, before for every candidate of every text."""
-    held = docs.filter(F.col("text").rlike(_HINT) & (F.col("text").rlike(CANDIDATE) | F.col("text").rlike(_KEYED))).select("doc_id", "path", F.split("text", SPACE).alias("_w"))
+    """doc_id, path, place (of the word), value, before, after for every candidate of every text."""
+    text = F.col("text").cast("string")
+    held = docs.filter(text.rlike(_HINT) & (text.rlike(CANDIDATE) | text.rlike(_KEYED))).select("doc_id", "path", F.split(text, SPACE).alias("_w"))
     w = F.col("_w")
     keyed = lambda x, i: (F.char_length(x) >= KEYED_LEAST) & F.coalesce(F.get(w, i - 1).rlike(_KEY_BEFORE + "$"), F.lit(False))
     near = F.transform(
         w,
         lambda x, i: F.when(
             x.rlike(CANDIDATE) | keyed(x, i),
-            F.struct(i.alias("place"), x.alias("word"), keyed(x, i).alias("next"), F.concat_ws(" ", F.get(w, i - 3), F.get(w, i - 2), F.get(w, i - 1)).alias("before")),
+            F.struct(
+                i.alias("place"), x.alias("word"), keyed(x, i).alias("follows"),
+                F.concat_ws(" ", F.get(w, i - 3), F.get(w, i - 2), F.get(w, i - 1)).alias("before"),
+                F.concat_ws(" ", F.get(w, i + 1), F.get(w, i + 2), F.get(w, i + 3)).alias("after"),
+            ),
         ),
-    )
+    )
     found = held.select("doc_id", "path", F.explode(F.array_compact(near)).alias("_c")).select("doc_id", "path", "_c.*")
-    part = lambda pattern, group=1: F.nullif(F.regexp_extract("word", pattern, group), F.lit(""))
-    plain = F.coalesce(part(_VALUE), part(_RUN, 0), F.lit(""))
-    of_key = F.coalesce(part(_NAMED_VALUE), part(_SIGNED_VALUE), F.when(F.col("next"), part(_WORD_VALUE)))
-    # the run alone where it has all of the key's value, or tells its kind by a known prefix
-    value = F.when(of_key.isNull() | plain.contains(of_key) | plain.rlike("^" + _PREFIX), plain).otherwise(of_key)
-    own = F.expr("substring(word, 1, instr(word, value) - 1)")
-    return (
-        found.withColumn("value", value)
-        .filter("value <> ''")
-        .select("doc_id", "path", F.col("place").cast("long"), "value", F.concat_ws(" ", "before", own).alias("before"))
+    parts = found.withColumn("_parts", F.split("word", _NEXT_NAME)).select("*", F.posexplode("_parts").alias("_i", "part"))
+    first, last = F.col("_i") == 0, F.col("_i") == F.size("_parts") - 1
+    valued = parts.withColumn("_found", _values(F.col("part"), F.col("follows") & first))
+    each = valued.select("*", F.explode(_chosen(F.col("_found"))).alias("value"))
+    own = F.expr("substring(part, 1, instr(part, value) - 1)")
+    rest = F.expr("substring(part, instr(part, value) + char_length(value))")
+    return each.select(
+        "doc_id",
+        "path",
+        F.col("place").cast("long"),
+        "value",
+        F.concat_ws(" ", F.when(first, F.col("before")), own).alias("before"),
+        F.concat_ws(" ", rest, F.when(last, F.col("after"))).alias("after"),
     )
 
 
-def secrets(docs: DataFrame, findings: DataFrame | None = None, least: float = 0.5) -> DataFrame:
+def secrets(docs: DataFrame, findings: DataFrame | None = None, least: float = 0.5, dictionary: Iterable[str] = DICTIONARY) -> DataFrame:
     """docs: doc_id, text, path. Returns doc_id, place, n_chars, value_sha256, score of the findings that the forest keeps."""
-    forest = train(findings if findings is not None else materialize(synthetic_findings(docs.sparkSession)))
-    found = candidates(docs)
-    made = features(F.col("value"), F.col("before"), F.coalesce("path", F.lit("")))
+    forest, table = train(findings if findings is not None else materialize(synthetic_findings(docs.sparkSession)), dictionary)
+    found = with_parts(candidates(docs).withColumn("path", F.coalesce("path", F.lit(""))))
+    made = features(table, dictionary)
     scored = found.select("doc_id", "place", "value", *[c.alias(f"_f_{k}") for k, c in made.items()])
     return scored.select(
         "doc_id", "place", F.char_length("value").cast("long").alias("n_chars"), F.sha2("value", 256).alias("value_sha256"), forest.alias("score")
