@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from pyspark import cloudpickle
 from workloom.llm import decontaminate, mixing, ngram_join, quality, queries, sharding, shingles, token_counts, token_records
 from workloom.llm.components import components
 
@@ -71,23 +72,30 @@ def variants(seed, families=6, size=60):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "few", "many", "block"), [(1, 12, 16_384, 2048), (2, 3, 20, 16), (3, 2, 0, 7)])
-def test_join_against_all_pairs(spark, monkeypatch, seed, few, many, block):
-    """Also with limits so small that stars, opened groups and blocks do all the work."""
-    monkeypatch.setattr(ngram_join, "FREQUENT", 4)
-    monkeypatch.setattr(ngram_join, "BLOCK", block)
+@pytest.mark.parametrize(("seed", "few", "many", "block", "hot"), [(1, 12, 16_384, 2048, 50_000), (2, 3, 20, 16, 9), (3, 2, 0, 7, 5)])
+def test_join_against_all_pairs(spark, monkeypatch, seed, few, many, block, hot):
+    """Also with limits so small that stars, hot tokens, opened groups and blocks do all the work."""
+    # patched before the functions are made that Spark ships by value
+    for name, value in {"FREQUENT": 4, "BLOCK": block, "FEW": few, "MANY": many, "HOT_ROWS": hot}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    cloudpickle.register_pickle_by_value(ngram_join)
     rows = variants(seed)
-    found = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute_components(rows)
-    # what runs in a Python worker reads its own module: the same code, called here with the small limits
-    monkeypatch.setattr(ngram_join, "FEW", few)
-    monkeypatch.setattr(ngram_join, "MANY", many)
-    token = np.repeat(np.arange(5), 40)
-    names = ["token", "name", "n", "place"]
-    batch = pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.tile(np.arange(40), 5)), pa.array(np.full(200, 50)), pa.array(np.zeros(200, int))], names)
-    made = [b for b in ngram_join._meet(80)(iter([batch]))]
-    pairs, left = made[0].num_rows, made[1].num_rows
-    assert (pairs, left) == (39, 200)
+    try:
+        found = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        cloudpickle.unregister_pickle_by_value(ngram_join)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(rows)
+
+
+def test_stars_of_many_classes(monkeypatch):
+    """One token of 40 classes gives a star and its rows; in parts, each part does, and a part of one row keeps it."""
+    monkeypatch.setattr(ngram_join, "FEW", 3)
+    names = ["token", "name", "n", "place", "part"]
+    name = np.tile(np.arange(40), 5)
+    for part, expected in ((np.zeros(200, int), (39, 200)), (np.where(name == 39, 2, 1), (38, 200))):
+        batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(np.arange(5), 40), name, np.full(200, 50), np.zeros(200, int), part)], names)
+        made = list(ngram_join._meet(80)(iter([batch])))
+        assert (made[0].num_rows, made[1].num_rows) == expected
 
 
 def test_join_on_documents(spark, docs, texts):
@@ -277,14 +285,6 @@ def test_quality_counts(spark, docs, texts):
         assert r.n_symbols == sum(c in "#*$%&|<>" for c in t)
 
 
-def test_long_windows_agree_with_packed_ones(spark, docs, monkeypatch):
-    expected = sorted((r.doc_id, r.n_repeat_words) for r in quality.measures(docs).collect())
-    monkeypatch.setattr(quality, "PACKED", 4)
-    assert sorted((r.doc_id, r.n_repeat_words) for r in quality.measures(docs.filter("n_chars > 60")).collect()) == [
-        x for x in expected if x[0] in {r.doc_id for r in docs.filter("n_chars > 60").select("doc_id").collect()}
-    ]
-
-
 def test_quality_against_labels(spark, docs):
     kept = {r.doc_id: r.kept for r in quality.quality_rules(docs).filter("NOT base_failed").collect()}
     labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.doc_id in kept]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import string
+from collections import Counter
 
 import pytest
 
@@ -84,3 +85,32 @@ def test_pipeline_judges_rows_not_ids(spark, tmp_path):
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     mixed = pipeline.source_mix(spark, docs, str(tmp_path))
     assert sorted(((r.doc_id, r.text) for r in mixed.collect()), key=str) == sorted(rows, key=str)
+
+
+@pytest.mark.parametrize("stage", ["language_id", "ngram_jaccard_join", "benchmark_decontamination", "source_mix", "sharding"])
+def test_every_row_of_a_stage(spark, tmp_path, stage):
+    """Null ids, no texts, a very long one, repeated rows, columns named like a stage's own, an empty table."""
+    import corpus_pipeline as pipeline
+
+    clash = ("_row", "_gone", "_id", "_copy", "_letters", "_score", "_lang_pred", "_times", "size", "name", "_key", "n_chars")
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in clash)
+    text = lambda x, n=40: " ".join(f"the {x}{i} of" for i in range(n))
+    base = [(1, text("a")), (2, text("b")), (2, text("c")), (2, text("c")), (None, text("d")), (None, text("e")), (3, None), (4, ""), (5, "12 34 56"), (6, text("f", 60_000)), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "src", *clash) for i, t in base], schema)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, text("b")), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = dict(pipeline.STAGES)[stage]
+    found = run(spark, docs, str(tmp_path))
+    got = Counter((r.doc_id, r.text) if stage != "sharding" else r.doc_id for r in found.collect())
+    gone = {
+        "language_id": [(3, None), (4, ""), (5, "12 34 56"), (None, None)],
+        "ngram_jaccard_join": [(2, text("c"))],
+        "benchmark_decontamination": [(2, text("b"))],
+        "source_mix": [(3, None), (4, ""), (None, None)],
+        "sharding": [],
+    }[stage]
+    expected = Counter(base) - Counter(gone)
+    assert got == (expected if stage != "sharding" else Counter(i for i, _ in base))
+    if stage != "sharding":
+        assert found.columns == docs.columns and all(tuple(r)[4:] == clash for r in found.collect())
+    assert run(spark, docs.limit(0), str(tmp_path)).count() == 0

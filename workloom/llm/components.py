@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from workloom.llm.runtime import materialize
+from workloom.llm.runtime import materialize, release
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
@@ -17,6 +17,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     pairs = links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
     edges = materialize(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = materialize(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "id"))
+    held = labels
     for _ in range(most):
         near = edges.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("least"))
         hooked = labels.join(near, F.col("id") == F.col("a")).select(
@@ -27,7 +28,10 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
             "id", "was", F.least("component", F.coalesce("beyond", "component")).alias("component")
         )
         after = materialize(jumped)
-        labels = after.drop("was")
+        before, labels = held, after.drop("was")
+        held = after
+        release(before)
         if not after.filter("was <> component").limit(1).count():
+            release(edges)
             return labels
     raise RuntimeError(f"components did not settle in {most} rounds")

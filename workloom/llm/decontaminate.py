@@ -1,18 +1,18 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts and test items are normalised alike: lower case, every run of characters other than letters and digits becomes one
-blank, and edits are counted in bytes of the UTF-8. An item of m bytes has an error budget of k = ``rate`` x m edits and is
+Texts and test items are normalised alike: lower case, every run of ASCII characters other than letters and digits becomes one
+blank, other characters stay, and edits are counted in bytes of the UTF-8. An item of m bytes has an error budget of k = ``rate`` x m edits and is
 split into k + 1 pieces: whatever lies within k edits of it holds at least one piece unchanged, shifted by k at most. An
 Aho-Corasick automaton finds all pieces of all items in one pass over a text; each hit with a whole part of its neighbours beside it, which
 some piece of every match has, names a window; windows of an item
 that overlap are merged, and Myers' bit-parallel search gives the least edit distance of the item to any part of a window.
+Items shorter than ``LEAST`` bytes have a budget of 0: their one piece is the whole item with a word border on either side.
 
 Items are taken in blocks of about ``BLOCK`` bytes, so what is collected and broadcast at a time is bounded; a block costs
 one pass over the texts. Texts are never shuffled, and a document's cost is its own length and hits.
 
 Defined results
-    null or empty text: no matches. null or empty items, and items shorter than ``LEAST`` bytes when normalised: match
-    nothing. Repeated items: each item_id is reported. Repeated rows, or rows that share a doc_id: one row for each doc_id and
+    null or empty text: no matches. null or empty items, or items without a letter or digit: match nothing. Repeated items: each item_id is reported. Repeated rows, or rows that share a doc_id: one row for each doc_id and
     item, the least distance. null doc_id or item_id: reported as null. Empty tables: no rows. Other columns of the inputs,
     whatever their names, are not read; ``clean`` keeps those of the documents.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from workloom.llm.runtime import returning_memory, small_batches
 
-#: Edits allowed for each byte of an item, the shortest item, and bytes of items in a block.
+#: Edits allowed for each byte of an item, the shortest item that has any, and bytes of items in a block.
 RATE, LEAST, BLOCK = 0.1, 30, 4_000_000
 #: Groups of pieces that are looked at around a hit before its window is searched.
 LEVELS = 2
@@ -94,11 +94,14 @@ class Matcher:
 
         ids: dict[str, list] = {}
         for item_id, text in items:
-            if len(t := normalised(text)) >= least:
+            if t := normalised(text):
                 ids.setdefault(t, []).append(item_id)
-        self.items = [(t, int(rate * len(t)), found) for t, found in ids.items()]
+        self.items = [(t, int(rate * len(t)) if len(t) >= least else 0, found) for t, found in ids.items()]
         pieces: dict[str, list[tuple]] = {}
         for i, (text, k, _) in enumerate(self.items):
+            if len(text) < least:
+                pieces.setdefault(f" {text} ", []).append((i, None, []))
+                continue
             cuts = [len(text) * j // (k + 1) for j in range(k + 2)]
             for j, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 pieces.setdefault(text[a:b], []).append((i, b, _beside(text, cuts, j)))
@@ -113,20 +116,24 @@ class Matcher:
         if not self.items or len(t := normalised(text)) < 1:
             return []
         windows: dict[int, list[list[int]]] = {}
-        for last, where in self.automaton.iter(t):
+        short = set()
+        for last, where in self.automaton.iter(f" {t} "):  # what it finds ends one place earlier in the text itself
             for i, end, beside in where:
-                at = last + 1
+                at = last
+                if end is None:
+                    short.add(i)
+                    continue
                 if not all(any(t.find(part, max(0, at + a), max(0, at + b)) >= 0 for a, b, part in parts) for parts in beside):
                     continue
                 pattern, k, _ = self.items[i]
-                begin = last + 1 - end - k
+                begin = at - end - k
                 spans = windows.setdefault(i, [])
                 if spans and begin <= spans[-1][1]:
                     spans[-1][0] = min(spans[-1][0], begin)
                     spans[-1][1] = max(spans[-1][1], begin + len(pattern) + 2 * k)
                 else:
                     spans.append([begin, begin + len(pattern) + 2 * k])
-        found = []
+        found = [(item_id, 0) for i in short for item_id in self.items[i][2]]
         for i, spans in windows.items():
             pattern, k, ids = self.items[i]
             if any(pattern in t[max(0, a) : b] for a, b in spans):

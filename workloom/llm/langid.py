@@ -4,9 +4,9 @@ Features are counts of byte 1- to 4-grams of the whole text (A to Z lower-cased)
 roots scaled to length one. Linear support vector machines (squared hinge loss, L2) separate families one against the rest,
 and each pair of languages of a family one against the other; most votes win, ties go to the larger sum of margins.
 
-Training reads a bounded sample of labelled rows: about ``SAMPLE`` a language, drawn by a hash of doc_id at a rate that
-follows from that language's count, so the driver holds at most ``SAMPLE`` x ``MOST_LANGUAGES`` feature rows. Prediction
-covers every row in full, and uses the text alone.
+Training reads a bounded sample of labelled rows: of each language the ``SAMPLE`` least by a hash of doc_id and text, fewer if
+there are so many languages that all together would be more than ``MOST_ROWS``, but ``LEAST_SAMPLE`` of each at least. Alike
+rows are drawn once. Every language is learned. Prediction covers every row in full, and uses the text alone.
 
 Defined results
     null text, or one without a letter: ``und``, score 0. No labelled rows to learn from: all ``und``, score 0. One language
@@ -22,14 +22,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from workloom.llm.runtime import returning_memory, small_batches
+from workloom.llm.runtime import materialize, returning_memory, small_batches
 
 DIM = 4096
 UNKNOWN = "und"
-#: Rows learned from for each language, and the most languages that are learned.
-SAMPLE, MOST_LANGUAGES = 800, 40
+#: Rows learned from for each language, for all together (128 MB of features), and for each however many languages there are.
+SAMPLE, MOST_ROWS, LEAST_SAMPLE = 800, 8000, 8
 #: Bytes of text that are counted at once.
 CHUNK = 1 << 21
 # Families of languages by code; a language not named here is a family of its own.
@@ -70,8 +70,7 @@ def features(texts: list[bytes | None]) -> np.ndarray:
 
 
 def train_svm(x: np.ndarray, y: np.ndarray, c: float = 20.0, steps: int = 150) -> np.ndarray:
-    """Weights and intercept of a linear L2-regularised squared-hinge machine; y: 1 or -1. Accelerated gradient, both classes weigh the same."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    """Weights and intercept of a linear L2-regularised squared-hinge machine; the last column of x is 1, y: 1 or -1. Accelerated gradient, both classes weigh the same."""
     weight = np.where(y > 0, 1 / max(1, (y > 0).sum()), 1 / max(1, (y < 0).sum())).astype(np.float32)
     w = v = np.zeros(x.shape[1], np.float32)
     rate, t = 1 / (1 + 2 * c * 2 * 2), 1.0
@@ -88,6 +87,7 @@ class Model:
     """Machines of the families, and of each pair of languages in a family."""
 
     def __init__(self, x: np.ndarray, langs: list[str], families: dict[str, tuple[str, ...]] = FAMILIES) -> None:
+        x = np.hstack([x, np.ones((len(x), 1), np.float32)])
         of = {lang: family for family, members in families.items() for lang in members}
         self.members: dict[str, list[str]] = {}
         for lang in sorted(set(langs)):
@@ -140,19 +140,21 @@ def train(labelled: DataFrame) -> Model | None:
     """A model from rows of doc_id, text, lang; those without a text or a language are left out."""
     small_batches(labelled.sparkSession)
     usable = labelled.filter("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
+    drawn = usable.select("text", "lang", F.xxhash64("doc_id", "text", F.lit(6)).alias("draw"))
+    distinct = drawn.groupBy("lang", "draw").agg(F.lit(1))
+    languages = distinct.select("lang").distinct().count()
+    if not languages:
         return None
-    rates = usable.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.2 * SAMPLE / r["count"])) for r in counts], "_lang string, _rate double")
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = usable.join(F.broadcast(rates), F.col("lang") == F.col("_lang")).withColumn("draw", draw).filter("draw < _rate")
-    rows = drawn.select("text", "lang", "draw").mapInArrow(_sampled, "lang string, draw double, x binary").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["draw"], r["x"]))
-    kept, held = [], {}
-    for r in rows:
-        held[r["lang"]] = held.get(r["lang"], 0) + 1
-        if held[r["lang"]] <= SAMPLE:
-            kept.append(r)
+    most = max(LEAST_SAMPLE, min(SAMPLE, MOST_ROWS // languages))
+    # Spark keeps the first rows of each language in a task before it shuffles
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    last = distinct.select("lang", "draw", place.alias("_place")).filter(F.col("_place") <= most).groupBy("lang").agg(F.max("draw").alias("_last"))
+    last = materialize(last.withColumnRenamed("lang", "_lang"))  # one row for each language
+    few = drawn.join(F.broadcast(last), (F.col("lang") == F.col("_lang")) & (F.col("draw") <= F.col("_last"))).select("text", "lang", "draw")
+    # rows that are alike have one draw: tasks drop all but one of their own before they shuffle
+    once = few.groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    kept = once.select("text", "lang", "draw").mapInArrow(_sampled, "lang string, draw long, x binary").toArrow().to_pylist()
+    kept.sort(key=lambda r: (r["lang"], r["draw"], r["x"]))
     x = np.stack([np.frombuffer(r["x"], np.float16).astype(np.float32) for r in kept])
     return Model(x, [r["lang"] for r in kept])
 

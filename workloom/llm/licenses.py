@@ -118,9 +118,11 @@ def entries(docs: DataFrame, table: DataFrame) -> DataFrame:
         F.array_min(every).cast("long").alias("first_word"),
         F.array_max(every).cast("long").alias("last_word"),
         F.sort_array(labels).alias("_base"),
-        F.posexplode(F.concat(F.array(F.lit(None).cast("long")), _runs(w))).alias("_at", "_run"),
+        F.concat(F.array(F.lit(None).cast("long")), _runs(w)).alias("_runs"),
     )
-    met = based.join(F.broadcast(table), F.col("_run") == F.col("run"), "left").filter("_at = 0 OR label IS NOT NULL")
+    # a select of its own: what it copies to each run must not have the words in it
+    each = based.select(*[c for c in based.columns if c != "_runs"], F.posexplode("_runs").alias("_at", "_run"))
+    met = each.join(F.broadcast(table), F.col("_run") == F.col("run"), "left").filter("_at = 0 OR label IS NOT NULL")
     return met.drop("_run", "run").withColumn("_at", F.nullif(F.col("_at"), F.lit(0)) - 1)
 
 

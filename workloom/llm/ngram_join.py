@@ -13,6 +13,8 @@ Documents become sets of hashed word shingles; equal sets are one class, and lin
 4. Under a token with several groups, the overlap of each query with each foreign group is bounded by the sizes and places
    that the group's union holds; only groups that can qualify are opened, and only their members that pass the same bound
    are compared. Documents of one group are connected already, so its pairs are never made.
+   A token of more than ``HOT_ROWS`` classes is dealt out by blocks of that size: each makes a star of its own, and blocks of
+   different groups meet two at a time.
 5. All candidates are compared exactly on whole sets; links become components.
 
 Defined results
@@ -46,10 +48,10 @@ FEW = 12
 MANY, BLOCK = 16_384, 2048
 #: Candidate pairs are first compared on their tokens below this hash, which bounds the overlap of the rest.
 SKETCH = np.uint64(int(0.25 * 2**64))
-#: Candidate documents are found by a broadcast of their ids up to this number (32 MB), by a shuffled join beyond.
-BROADCAST_IDS = 4_000_000
-#: Matrix rows of one task.
-TASK_ROWS = 1_000_000
+#: Candidate documents are found by a broadcast of their ids up to this number (4 MB), by a shuffled join beyond.
+BROADCAST_IDS = 500_000
+#: Matrix rows of one task, and of one token in a task.
+TASK_ROWS, HOT_ROWS = 1_000_000, 50_000
 
 _BATCHES = Iterator[pa.RecordBatch]
 
@@ -208,17 +210,25 @@ def _hub(rows: np.ndarray, name: np.ndarray, place: np.ndarray) -> int:
 
 
 def _meet(percent: int):
-    """Under each token: (kind 0) candidate pairs; (kind 1) the rows of tokens with many classes, for the matrix by groups."""
+    """Under each token: (kind 0) candidate pairs; (kind 1) the rows of tokens with many classes, for the matrix by groups.
+
+    part: 0, or for a hot token from 1 on; then what meets here is a part of its rows.
+    """
 
     def meet(batches: _BATCHES) -> _BATCHES:
-        token, name, n, place = _columns(batches, _ROW)
-        order = np.lexsort((name, token))
-        token, name, n, place = (x[order] for x in (token, name, n, place))
-        keep = np.append(True, (token[1:] != token[:-1]) | (name[1:] != name[:-1])) if len(token) else np.zeros(0, bool)
-        token, name, n, place = (x[keep] for x in (token, name, n, place))
+        token, name, n, place, block = _columns(batches, [*_ROW, "part"])
+        order = np.lexsort((name, block, token))
+        token, name, n, place, block = (x[order] for x in (token, name, n, place, block))
+        new = np.append(True, (token[1:] != token[:-1]) | (block[1:] != block[:-1])) if len(token) else np.zeros(0, bool)
+        keep = new | np.append(True, name[1:] != name[:-1]) if len(token) else new
+        new = new[keep]
+        token, name, n, place, block = (x[keep] for x in (token, name, n, place, block))
+        whole, token = token, np.cumsum(new)  # a number for each token and part
         pairs, large = _Pairs(), [np.zeros(0, np.int64)]
         begins, ends = _runs(token)
-        short = ends - begins <= FEW
+        alone = np.setdiff1d(np.flatnonzero(block > 0), np.concatenate([np.arange(a, b) for a, b in zip(begins, ends, strict=True)] or [begins]))
+        large.append(alone)  # the one row of a hot token's part
+        short = (ends - begins <= FEW) & (block[begins] == 0)
         for size in range(2, FEW + 1):  # runs of one length at once
             at = begins[short & (ends - begins == size)]
             for i in range(size if len(at) else 0):
@@ -233,8 +243,8 @@ def _meet(percent: int):
             pairs.add(np.full(len(ok), name[hub]), name[ok])
             large.append(run)
         yield _batch(0, list(pairs.all()), _ROW)
-        at = np.concatenate(large)
-        yield _batch(1, [x[at] for x in (token, name, n, place)], _ROW)
+        at = np.concatenate(large).astype(np.int64)
+        yield _batch(1, [x[at] for x in (whole, name, n, place)], _ROW)
 
     return meet
 
@@ -244,9 +254,11 @@ def _qualified(percent: int):
     or, where these could be many, (kind 1) the rows whose group has to be opened."""
 
     def qualified(batches: _BATCHES) -> _BATCHES:
-        token, name, n, place, group = _columns(batches, [*_ROW, "group"])
-        order = np.lexsort((group, token))
-        token, name, n, place, group = (x[order] for x in (token, name, n, place, group))
+        token, name, n, place, group, i, j = _columns(batches, [*_ROW, "group", "i", "j"])
+        order = np.lexsort((group, j, i, token))
+        whole, name, n, place, group, i, j = (x[order] for x in (token, name, n, place, group, i, j))
+        # a number for each token and pair of its parts
+        token = np.cumsum(np.append(True, (whole[1:] != whole[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))) if len(whole) else whole
         pairs, opened = _Pairs(), [np.zeros(0, np.int64)]
         for begin, end in zip(*_runs(token), strict=True):
             g = group[begin:end]
@@ -260,24 +272,24 @@ def _qualified(percent: int):
             step = max(1, 2_000_000 // len(run))
             few = (len(run) ** 2 - int((np.diff(np.append(at, end - begin)) ** 2).sum())) // 2 <= MANY
             needed = np.zeros(len(run), bool)
-            for q in (run[i : i + step] for i in range(0, len(run), step)):
+            for q in (run[at_q : at_q + step] for at_q in range(0, len(run), step)):
                 size, rest = n[q][:, None], (n[q] - place[q])[:, None]
                 nearest = np.clip(size, low, high)
                 fits = (100 * np.minimum(nearest, size) >= percent * np.maximum(nearest, size)) & (
                     np.minimum(rest, after) >= _least(np.maximum(size, low), percent)
                 ) & (np.arange(len(at)) != which[q - begin][:, None])
                 if few:
-                    i, j = np.nonzero(fits[:, which])
-                    i, j = q[i], run[j]
-                    ok = (i < j) & _possible(n[i], place[i], n[j], place[j], percent)
-                    pairs.add(name[i[ok]], name[j[ok]])
+                    x, y = np.nonzero(fits[:, which])
+                    x, y = q[x], run[y]
+                    ok = (x < y) & _possible(n[x], place[x], n[y], place[y], percent)
+                    pairs.add(name[x[ok]], name[y[ok]])
                 else:
                     needed[q - begin] |= fits.any(1)
                     needed |= fits.any(0)[which]
             opened.append(run[needed])
         yield _batch(0, list(pairs.all()), [*_ROW, "group"])
         at = np.concatenate(opened)
-        yield _batch(1, [x[at] for x in (token, name, n, place, group)], [*_ROW, "group"])
+        yield _batch(1, [x[at] for x in (whole, name, n, place, group)], [*_ROW, "group"])
 
     return qualified
 
@@ -406,7 +418,9 @@ def _sets_of(docs: DataFrame, classes: DataFrame, names: DataFrame, k: int) -> D
     ids = materialize(classes.join(names, "name", "left_semi").select("doc_id").distinct())
     small = ids.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").select("text")
-    return materialize(texts.mapInArrow(returning_memory(_whole_sets(k)), "name long, n long, sketch binary, tokens binary"))
+    sets = materialize(texts.mapInArrow(returning_memory(_whole_sets(k)), "name long, n long, sketch binary, tokens binary"))
+    release(ids)
+    return sets
 
 
 def _as_ids(links: DataFrame, classes: DataFrame) -> DataFrame:
@@ -434,8 +448,11 @@ def _verified(docs: DataFrame, classes: DataFrame, met: DataFrame, k: int, perce
     """The candidate pairs that are linked, as pairs of the classes' doc_ids."""
     pairs = _pairs_of(met)
     sets = _sets_of(docs, classes, _named(pairs).distinct(), k)
-    links = _as_ids(_kept(_kept(pairs, sets, "sketch", percent), sets, "tokens", percent), classes)
-    release(sets)
+    near = _kept(pairs, sets, "sketch", percent)
+    linked = _kept(near, sets, "tokens", percent)
+    links = _as_ids(linked, classes)
+    for used in (pairs, sets, near, linked):
+        release(used)
     return links
 
 
@@ -448,7 +465,8 @@ def _between_groups(docs: DataFrame, classes: DataFrame, met: DataFrame, groups:
     opened = met.filter("kind = 1").select("token", "name")
     sets = _sets_of(docs, classes, _named(pairs).union(opened.select("name")).distinct(), k)
     hubs = opened.groupBy("token").agg(F.min("name").alias("a"))
-    together = _kept(pairs, sets, "sketch", percent).union(opened.join(hubs, "token").select("a", F.col("name").alias("b")).distinct())
+    near = _kept(pairs, sets, "sketch", percent)
+    together = near.union(opened.join(hubs, "token").select("a", F.col("name").alias("b")).distinct())
     parts = components(together).withColumnRenamed("component", "part")
     blocks = parts.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     mine = F.pmod(F.col("id"), F.col("blocks")).cast("int")
@@ -460,10 +478,22 @@ def _between_groups(docs: DataFrame, classes: DataFrame, met: DataFrame, groups:
     meeting = meeting.repartition(tasks, "part", "i", "j").sortWithinPartitions("part", "i", "j")
     found = meeting.select("part", "i", "j", "name", "group", "tokens").mapInArrow(returning_memory(_joined(percent)), "a long, b long")
     links = _as_ids(found.distinct(), classes)
-    release(sets)
+    for used in (pairs, sets, near):
+        release(used)
     return links
 
 
+def _hot_parts(often: DataFrame) -> DataFrame:
+    """_hot (token), parts of the tokens of more than HOT_ROWS classes."""
+    hot = often.filter(F.col("n") > HOT_ROWS)
+    return hot.select(F.col("token").alias("_hot"), F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("parts"))
+
+
+def _dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Adds ``parts`` (null unless hot) and ``_mine``, the part of a row."""
+    return rows.join(hot, F.col("token") == F.col("_hot"), "left").drop("_hot").withColumn("_mine", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))
+
+
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of each row; percent: of the union that two linked sets share at least."""
     spark = docs.sparkSession
@@ -472,28 +502,57 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     known = docs.filter("doc_id IS NOT NULL")
     scanned = materialize(docs.mapInArrow(returning_memory(_scan(k)), "kind int, id long, token long, n long"))
     sizes = scanned.filter("kind = 0").select(F.col("id").alias("doc_id"), F.col("token").alias("name"), F.col("n").alias("n_shingles"))
-    often = scanned.filter("kind = 1").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
+    often = materialize(scanned.filter("kind = 1").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT))
     late = often.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow().column(0).to_numpy()
     frequent = spark.sparkContext.broadcast(np.sort(late.astype(np.int64).view(np.uint64)))
+    hot = materialize(_hot_parts(often))  # at most one for HOT_ROWS rows that were counted
     classes = materialize(
         sizes.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
     )
     total = sizes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0] * (100 - percent) // 100
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // TASK_ROWS)
     row = "token long, name long, n long, place long"
-    matrix = known.mapInArrow(returning_memory(_prefixes(k, percent, frequent)), row)
-    met = materialize(matrix.repartition(tasks, "token").mapInArrow(returning_memory(_meet(percent)), f"kind long, {row}"))
+    matrix = _dealt(known.mapInArrow(returning_memory(_prefixes(k, percent, frequent)), row), F.broadcast(hot))
+    matrix = matrix.select(*_ROW, F.coalesce(F.col("_mine") + 1, F.lit(0)).cast("long").alias("part"))
+    met = materialize(matrix.repartition(tasks, "token", "part").mapInArrow(returning_memory(_meet(percent)), f"kind long, {row}"))
     links = _verified(known, classes, met, k, percent)
     groups = components(links)
     by_group = met.filter("kind = 1").drop("kind").join(classes, "name").join(groups, F.col("doc_id") == F.col("id"), "left")
-    by_group = by_group.select(*_ROW, F.coalesce("component", "doc_id").alias("group"))
-    across = materialize(by_group.repartition(tasks, "token").mapInArrow(returning_memory(_qualified(percent)), f"kind long, {row}, group long"))
+    by_group = materialize(by_group.select(*_ROW, F.coalesce("component", "doc_id").alias("group")))
+    # tokens of one group alone have nothing left to compare
+    several = by_group.groupBy("token").agg(F.min("group").alias("_a"), F.max("group").alias("_b")).filter("_a <> _b").select("token")
+    left = _dealt(by_group.join(several, "token", "left_semi"), F.broadcast(hot))
+    other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
+    mine = F.coalesce("_mine", F.lit(0))
+    meeting = left.select(*_ROW, "group", mine.alias("_mine"), other.alias("_other"))
+    meeting = meeting.select(*_ROW, "group", F.least("_mine", "_other").cast("long").alias("i"), F.greatest("_mine", "_other").cast("long").alias("j"))
+    compared = meeting.repartition(tasks, "token", "i", "j").mapInArrow(returning_memory(_qualified(percent)), f"kind long, {row}, group long")
+    across = materialize(compared)
+    for used in (met, by_group, often):
+        release(used)
     more = _between_groups(known, classes, across, groups, k, percent, tasks)
+    release(across)
     if more.limit(1).count():
         groups = components(links.union(more))
+    release(links)
+    release(more)
     component = classes.join(groups, F.col("doc_id") == F.col("id"), "left").select(
         F.col("name").alias("_name"), F.coalesce("component", "doc_id").alias("_component")
     )
     found = sizes.join(component, F.col("name") == F.col("_name"), "left")
     own = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("_component"))
     return found.select("doc_id", F.col("n_shingles").cast("long"), own.alias("component_id"))
+
+
+#: DuckDB SQL for the query's rows: all pairs that share a shingle, and what links reach.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 4], ' ') END AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM b JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 80 * (x.n + y.n - both)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.c AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS c FROM r GROUP BY 1) c ON c.a = d.doc_id
+"""

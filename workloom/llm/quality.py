@@ -53,10 +53,6 @@ RULES = (
 )
 
 
-#: Up to this many windows a hash of 48 bits and a place of 16 share one long, which sorts faster than a pair.
-PACKED = 1 << 16
-
-
 def _covered(places: Column) -> Column:
     """Words under windows of three that start at these places, sorted: three each, less what the one before covers."""
     return F.aggregate(
@@ -67,36 +63,16 @@ def _covered(places: Column) -> Column:
     )
 
 
-def _packed(w: Column) -> Column:
-    """The windows of three as hash and place in one long each, sorted; null for long texts."""
-
-    def window(x: Column, i: Column) -> Column:
-        h = F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))
-        return h.bitwiseAND(F.lit(-PACKED)).bitwiseOR(i.cast("long"))
-
-    starts = F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(1)))
-    return F.when((F.size(w) >= 3) & (F.size(w) <= PACKED), F.sort_array(F.transform(starts, window)))
+def _windows(w: Column) -> Column:
+    """The windows of three as pairs of a 64-bit hash and a place, sorted."""
+    starts = F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0)))
+    return F.sort_array(F.transform(starts, lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p"))))
 
 
-def _paired(w: Column) -> Column:
-    """The same as pairs of a whole hash and a place, for texts of any length."""
-    starts = F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(1)))
-    pair = lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p"))
-    return F.when(F.size(w) > PACKED, F.sort_array(F.transform(starts, pair)))
-
-
-def _repeat_words(packed: Column, paired: Column) -> Column:
+def _repeat_words(windows: Column) -> Column:
     """Words in windows found twice or more: equal hashes stand together, so such a window equals a neighbour."""
-    same = lambda x, y: F.shiftright(x, 16) == F.shiftright(y, 16)
-    short = F.transform(
-        F.filter(packed, lambda x, i: same(x, F.get(packed, i - 1)) | same(x, F.get(packed, i + 1))),
-        lambda x: x.bitwiseAND(F.lit(PACKED - 1)).cast("int"),
-    )
-    long = F.transform(
-        F.filter(paired, lambda x, i: (x["h"] == F.get(paired, i - 1)["h"]) | (x["h"] == F.get(paired, i + 1)["h"])),
-        lambda x: x["p"],
-    )
-    return F.coalesce(_covered(short), _covered(long), F.lit(0)).cast("long")
+    twice = F.filter(windows, lambda x, i: (x["h"] == F.get(windows, i - 1)["h"]) | (x["h"] == F.get(windows, i + 1)["h"]))
+    return F.coalesce(_covered(F.transform(twice, lambda x: x["p"])), F.lit(0)).cast("long")
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -117,8 +93,7 @@ def measures(docs: DataFrame) -> DataFrame:
     counted = with_words.select(
         "*",
         F.size(w).cast("long").alias("n_words"),
-        _packed(w).alias("_packed"),
-        _paired(w).alias("_paired"),
+        _windows(w).alias("_windows"),
         F.size(F.filter(w, lambda x: F.lower(x).isin(*sorted(set(STOP_WORDS))))).alias("_stop"),
         F.size("_lines").alias("_n_lines"),
         F.size(F.array_distinct("_lines")).alias("_n_distinct"),
@@ -132,7 +107,7 @@ def measures(docs: DataFrame) -> DataFrame:
         "n_symbols",
         (F.col("_n_lines") - F.col("_n_distinct")).cast("long").alias("n_dup_lines"),
         # an id is never negative, but keeps Spark from copying all this into a filter on the result, once for each use
-        F.when(F.monotonically_increasing_id() >= 0, _repeat_words(F.col("_packed"), F.col("_paired"))).alias("n_repeat_words"),
+        F.when(F.monotonically_increasing_id() >= 0, _repeat_words(F.col("_windows"))).alias("n_repeat_words"),
         (F.col("word_chars") / per_word).alias("mean_word_chars"),
         (F.col("n_symbols") / per_word).alias("symbols_per_word"),
         (F.col("_marks") / per_word).alias("marks_per_word"),

@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {"op7_quality_rules": quality.ORACLE_SQL, "op8_license_diagonals": licenses.ORACLE_SQL}
+    return {"op4_token_group_join": ngram_join.ORACLE_SQL, "op7_quality_rules": quality.ORACLE_SQL, "op8_license_diagonals": licenses.ORACLE_SQL, "op10_source_mix": mixing.oracle_sql()}

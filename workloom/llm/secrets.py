@@ -271,8 +271,10 @@ def candidates(docs: DataFrame) -> DataFrame:
         ),
     )
     found = held.select("doc_id", "path", F.explode(F.array_compact(near)).alias("_c")).select("doc_id", "path", "_c.*")
-    parts = found.withColumn("_parts", F.split("word", _NEXT_NAME)).select("*", F.posexplode("_parts").alias("_i", "part"))
-    first, last = F.col("_i") == 0, F.col("_i") == F.size("_parts") - 1
+    split = found.withColumn("_parts", F.split("word", _NEXT_NAME)).withColumn("_n", F.size("_parts")).drop("word")
+    # neither the word nor the array of its parts may be copied to each part
+    parts = split.select("doc_id", "path", "place", "follows", "before", "after", "_n", F.posexplode("_parts").alias("_i", "part"))
+    first, last = F.col("_i") == 0, F.col("_i") == F.col("_n") - 1
     valued = parts.withColumn("_found", _values(F.col("part"), F.col("follows") & first))
     each = valued.select("*", F.explode(_chosen(F.col("_found"))).alias("value"))
     own = F.expr("substring(part, 1, instr(part, value) - 1)")

@@ -37,11 +37,11 @@ RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 250_000, 160, 4096
 
 
 def _key(text: Column) -> Column:
-    """32 bits of the text's hash, 28 of the doc_id's, 4 that part rows which are equal in both and so may change places."""
+    """32 bits of the text's hash, 16 of the doc_id's, 16 that part rows which are equal in both and so may change places."""
     of_text = F.shiftright(F.xxhash64(text), 32)
-    of_id = F.xxhash64(F.col("doc_id"), F.lit(1)).bitwiseAND(F.lit((1 << 28) - 1))
-    part = F.pmod(F.monotonically_increasing_id(), F.lit(16))
-    return F.shiftleft(of_text, 32).bitwiseOR(F.shiftleft(of_id, 4)).bitwiseOR(part)
+    of_id = F.xxhash64(F.col("doc_id"), F.lit(1)).bitwiseAND(F.lit((1 << 16) - 1))
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16))
+    return F.shiftleft(of_text, 32).bitwiseOR(F.shiftleft(of_id, 16)).bitwiseOR(part)
 
 
 def _range_of(key: Column, splitters: list[int]) -> Column:
