@@ -1,12 +1,19 @@
 """A corpus from raw documents to shards: language, near duplicates, benchmark passages, source mix, shards.
 
 Each stage takes (spark, docs, sf_dir), with docs as the stage before it left them, and returns a frame. All but the last
-return the columns of documents, whatever these are. What a stage does with nulls, empty texts, ties, repeated rows and
-empty tables follows from its operator's docstring; rows without a doc_id pass the near-duplicate stage, as they have no links.
+return the columns of documents, whatever these are and however they are named.
+
+Defined results, of every stage unless its own docstring says otherwise
+    null doc_id: a row like any other. null or empty text: goes at the language stage; the others keep it, though the mix takes
+    no document without words. Rows that share a doc_id: each judged by itself. Repeated rows: alike. Very long texts: whole.
+    Empty table: no rows. Ties: as in the operator.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from workloom.llm import decontaminate, langid, mixing, ngram_join, sharding
@@ -15,9 +22,27 @@ from workloom.llm.runtime import materialize, table
 #: Below this score the language of a text is a guess among all that were learned.
 LEAST_SCORE = 0.2
 #: Rows of a table that may be broadcast when the rows to keep are chosen; more are joined by a shuffle.
-BROADCAST_ROWS = 4_000_000
+BROADCAST_ROWS = 500_000
+#: What the stages read by name; other columns are carried under names that nothing else has.
+READ = ("doc_id", "text", "lang", "source")
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _carrying(stage: Stage) -> Stage:
+    """A stage whose own columns can't clash with those that documents has besides."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        away = {c: f"carried{i}" for i, c in enumerate(docs.columns) if c not in READ}
+        back = {new: c for c, new in away.items()}
+        found = stage(spark, docs.toDF(*[away.get(c, c) for c in docs.columns]), sf_dir)
+        return found.toDF(*[back.get(c, c) for c in found.columns])
+
+    return run
 
 
+@_carrying
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go: no text, no letter, or a score below LEAST_SCORE."""
     rows = docs.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"))
@@ -26,10 +51,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.filter((F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
 
 
+@_carrying
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the smallest doc_id. Copies of its row go too.
 
-    A document is a doc_id with a text, so that texts that share a doc_id are judged each on its own.
+    A document is a doc_id with a text, so that texts that share a doc_id are judged each on its own. Rows without a doc_id all
+    stay, as nothing tells which of them is first, and no other row goes because of them.
     """
     keyed = docs.withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
     known = keyed.filter("_row IS NOT NULL")
@@ -48,13 +75,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.drop("_row")
 
 
+@_carrying
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item go."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_carrying
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document stays as often as the mix takes it: not at all, once, or up to three times."""
+    """A document stays as often as the mix takes it: not at all, once, or up to three times. Alike rows share what they are taken."""
     parts = [x for c, kind in docs.dtypes if "map<" not in kind for x in (F.col(c), F.col(c).isNull())]
     keyed = docs.withColumn("_row", F.xxhash64(*parts)).withColumn("_row2", F.hash(*parts))
     row = ("_row", "_row2")
