@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Words for the ratings 1 to 5.
 RATING_WORDS = {1: "beginner", 2: "competent", 3: "proficient", 4: "proficient", 5: "expert"}
@@ -22,17 +22,43 @@ EDUCATION_RANKS = {
     "Doctorate": 8,
 }
 
-# The pool for each answer to (enrolled with a partner, completed a partner's program, technical experience,
-# degree or technical program, career preparation complete): R recommended, J job ready, N not job ready; a and s add the
-# accelerated or the standard track.
-POOLS = {
-    "11111": "R", "11110": "R", "11101": "R", "11100": "R", "11011": "R", "11010": "R", "11001": "R", "11000": "J",
-    "10111": "R", "10110": "R", "10101": "R", "10100": "R", "10011": "R", "10010": "J", "10001": "N", "10000": "N",
-    "01111": "R", "01110": "R", "01101": "R", "01100": "R", "01011": "R", "01010": "J", "01001": "J", "01000": "J",
-    "00111": "R", "00110": "Ja", "00101": "R", "00100": "Js", "00011": "R", "00010": "Js", "00001": "N", "00000": "N",
-}
-POOL_NAMES = {"R": "Recommended", "J": "Job Ready", "N": "Not Job Ready"}
-TRACKS = {"a": "ACCELERATED", "s": "STANDARD"}
+# Enrolled with a partner, completed a partner's program, technical experience, degree or technical program, career
+# preparation complete; then pool and track.
+POOLS = (
+    (False, False, False, False, False, "Not Job Ready", None),
+    (False, False, False, False, True, "Not Job Ready", None),
+    (False, False, False, True, False, "Job Ready", "STANDARD"),
+    (False, False, False, True, True, "Recommended", None),
+    (False, False, True, False, False, "Job Ready", "STANDARD"),
+    (False, False, True, False, True, "Recommended", None),
+    (False, False, True, True, False, "Job Ready", "ACCELERATED"),
+    (False, False, True, True, True, "Recommended", None),
+    (False, True, False, False, False, "Job Ready", None),
+    (False, True, False, False, True, "Job Ready", None),
+    (False, True, False, True, False, "Job Ready", None),
+    (False, True, False, True, True, "Recommended", None),
+    (False, True, True, False, False, "Recommended", None),
+    (False, True, True, False, True, "Recommended", None),
+    (False, True, True, True, False, "Recommended", None),
+    (False, True, True, True, True, "Recommended", None),
+    (True, False, False, False, False, "Not Job Ready", None),
+    (True, False, False, False, True, "Not Job Ready", None),
+    (True, False, False, True, False, "Job Ready", None),
+    (True, False, False, True, True, "Recommended", None),
+    (True, False, True, False, False, "Recommended", None),
+    (True, False, True, False, True, "Recommended", None),
+    (True, False, True, True, False, "Recommended", None),
+    (True, False, True, True, True, "Recommended", None),
+    (True, True, False, False, False, "Job Ready", None),
+    (True, True, False, False, True, "Recommended", None),
+    (True, True, False, True, False, "Recommended", None),
+    (True, True, False, True, True, "Recommended", None),
+    (True, True, True, False, False, "Recommended", None),
+    (True, True, True, False, True, "Recommended", None),
+    (True, True, True, True, False, "Recommended", None),
+    (True, True, True, True, True, "Recommended", None),
+)
+POOL_FLAGS = ("enrolled", "completed", "experienced", "educated", "prepared")
 
 
 def label(value: Column, labels: dict, default: str | None = None) -> Column:
@@ -56,14 +82,15 @@ def education_at_least(level: Column, least: str) -> Column:
     return F.coalesce(label(level, EDUCATION_RANKS) >= EDUCATION_RANKS[least], F.lit(False))
 
 
-def pool(*flags: Column) -> Column:
-    """Pool and track of a candidate by five answers; ('None', null) where any is missing."""
-    key = F.concat(*[f.cast("int").cast("string") for f in flags])
-    found = label(key, POOLS)
-    return F.struct(
-        F.coalesce(label(F.substring(found, 1, 1), POOL_NAMES), F.lit("None")).alias("pool"),
-        label(F.substring(found, 2, 1), TRACKS).alias("track"),
-    )
+def pools(spark: SparkSession) -> DataFrame:
+    """The decision table: five answers, pool, track."""
+    return spark.createDataFrame(list(POOLS), ", ".join(f"{f} boolean" for f in POOL_FLAGS) + ", pool string, track string")
+
+
+def assign_pools(people: DataFrame) -> DataFrame:
+    """People, with a column for each of POOL_FLAGS, with pool and track; 'None' and null where an answer is missing."""
+    found = people.join(F.broadcast(pools(people.sparkSession)), list(POOL_FLAGS), "left")  # 32 rows
+    return found.withColumn("pool", F.coalesce("pool", F.lit("None")))
 
 
 def spam_band(score: Column) -> Column:
@@ -71,6 +98,19 @@ def spam_band(score: Column) -> Column:
     return F.when(score < 0.7, "proceed").when(score <= 0.9, "flag").when(score > 0.9, "reject")
 
 
+def quality(title: Column, body: Column, keywords: tuple[str, ...]) -> Column:
+    """Quality of a posting between 0 and 1: completeness, clarity, density of keywords and coherence, a quarter each (weights are ours)."""
+    words = F.size(F.split(F.trim(F.coalesce(body, F.lit(""))), r"\s+"))
+    complete = (F.length(F.coalesce(title, F.lit(""))) > 0).cast("double") / 2 + F.least(words / 100.0, F.lit(1.0)) / 2
+    sentences = F.greatest(F.regexp_count(F.coalesce(body, F.lit("")), F.lit(r"[.!?]")), F.lit(1))
+    clear = F.when((words / sentences).between(3, 40), 1.0).otherwise(0.5)
+    held = reduce(lambda a, b: a + b, [F.lower(F.coalesce(body, F.lit(""))).contains(k).cast("int") for k in keywords])
+    dense = F.least(held / float(max(1, len(keywords))), F.lit(1.0))
+    shared = F.size(F.array_intersect(F.split(F.lower(F.coalesce(title, F.lit(""))), r"\s+"), F.split(F.lower(F.coalesce(body, F.lit(""))), r"\s+")))
+    coherent = F.when(F.length(F.coalesce(title, F.lit(""))) == 0, 0.0).otherwise(shared / F.greatest(F.size(F.array_distinct(F.split(F.lower(title), r"\s+"))), F.lit(1)))
+    return (complete + clear + dense + coherent) / 4
+
+
 def truthy(a: Column) -> Column:
     return F.coalesce(F.lower(F.trim(a)).isin("1", "true", "yes", "y", "on"), F.lit(False))
 
@@ -80,6 +120,16 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, 0).otherwise(F.round(100.0 * part / whole, 2)).cast("decimal(5,2)")
 
 
+# Words of a title by role; the first that fits counts.
+ROLES = (("data", "data|analy|machine learning"), ("security", "security|cyber"), ("support", "support|help ?desk"), ("design", "design|ux"), ("engineering", "engineer|develop|program"))
+
+
+def role(title: Column) -> Column:
+    """The role of a title; 'other' if no rule fits."""
+    low = F.lower(title)
+    return reduce(lambda w, r: w.when(low.rlike(r[1]), r[0]), ROLES, F.when(F.lit(False), None)).otherwise("other")
+
+
 def seniority(title: Column) -> Column:
     low = F.lower(title)
     return (

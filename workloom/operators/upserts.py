@@ -16,14 +16,28 @@ def insert_absent(target: DataFrame, source: DataFrame, keys: list[str]) -> Data
     return target.unionByName(source.join(target, keys, "left_anti"))
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """Source rows replace those of the same key and are added where there is none."""
-    return target.join(source, keys, "left_anti").unionByName(source)
-
-
-def update(target: DataFrame, source: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """Sets one column where the source has another value for the key; ``changed`` tells which rows."""
-    new = source.select(*keys, F.col(column).alias("_new"))
+def _once(source: DataFrame, keys: list[str], order: list[Column] | None) -> DataFrame:
+    """One row for each key: the first in the order, else the largest row by all other columns, so that reruns agree."""
+    if order:
+        return latest(source, keys, order)
+    rest = [c for c in source.columns if c not in keys]
+    if not rest:
+        return source.distinct()
+    return source.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row")).select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
+
+
+def upsert(target: DataFrame, source: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """Source rows replace those of the same key and are added where there is none. Of source rows with one key the first in the order
+    counts. Columns that the source lacks keep their value, or are null in new rows."""
+    new = _once(source, keys, order)
+    set_ = [c for c in new.columns if c not in keys]
+    both = target.join(new.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in set_], F.lit(True).alias("_met")), keys, "full")
+    return both.select(*[F.when(F.col("_met"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in set_ else F.col(c) for c in target.columns])
+
+
+def update(target: DataFrame, source: DataFrame, keys: list[str], column: str, order: list[Column] | None = None) -> DataFrame:
+    """Sets one column where the source has another value for the key; ``changed`` tells which rows. Rows are never multiplied."""
+    new = _once(source.select(*keys, F.col(column).alias("_new")), keys, order)
     both = target.join(new, keys, "left")
     changed = F.col("_new").isNotNull() & ~F.col("_new").eqNullSafe(F.col(column))
     return both.withColumn("changed", changed).withColumn(column, F.coalesce("_new", column)).drop("_new")
@@ -33,6 +47,43 @@ def delete(target: DataFrame, keys_of: DataFrame, keys: list[str]) -> DataFrame:
     return target.join(keys_of, keys, "left_anti")
 
 
+def deleted(target: DataFrame, keys_of: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that such a delete removes."""
+    return target.join(keys_of, keys, "left_semi")
+
+
+def delete_cascading(tables: dict[str, tuple[DataFrame, str]], keys_of: DataFrame, key: str) -> dict[str, DataFrame]:
+    """tables: each with the column that refers to the key. All without the rows of the keys deleted."""
+    gone = keys_of.select(F.col(key).alias("_gone")).distinct()
+    return {name: rows.join(gone, F.col(column) == F.col("_gone"), "left_anti") for name, (rows, column) in tables.items()}
+
+
+def sync_missing(target: DataFrame, source: DataFrame, parent: str, keys: list[str]) -> DataFrame:
+    """Of the parents that the source names: children it lacks go, those it has are updated or added; other parents keep theirs."""
+    named = source.select(parent).distinct()
+    kept = target.join(named, parent, "left_anti").unionByName(target.join(source.select(parent, *keys), [parent, *keys], "left_semi"))
+    return upsert(kept, source, [parent, *keys])
+
+
+def removed_or_marked(rows: DataFrame, asked: DataFrame, key: str, is_member: Column, as_of: Column) -> DataFrame:
+    """Rows asked to go: members stay with ``deleted_at``, others go."""
+    keys = asked.select(F.col(key).alias("_asked")).distinct()
+    both = rows.join(keys, F.col(key) == F.col("_asked"), "left").withColumn("deleted_at", F.when(F.col("_asked").isNotNull() & is_member, as_of))
+    return both.filter("_asked IS NULL OR deleted_at IS NOT NULL").drop("_asked")
+
+
+def without_role(roles: Column, role: str) -> Column:
+    """A list of roles in a text column without one of them."""
+    return F.array_join(F.filter(F.transform(F.split(roles, ","), lambda x: F.trim(x)), lambda x: (x != role) & (x != "")), ",")
+
+
+def found_or_created(wanted: DataFrame, known: DataFrame, keys: list[str], id_column: str) -> DataFrame:
+    """Wanted rows with the id of the known row of the same keys, or a new id that follows from the keys."""
+    new_id = F.concat(F.lit("new-"), F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]), 256), 1, 12))
+    ids = _once(known.select(*keys, F.col(id_column).cast("string").alias("_id")), keys, [F.asc("_id")])
+    return wanted.join(ids, keys, "left").withColumns({id_column: F.coalesce("_id", new_id), "created": F.col("_id").isNull()}).drop("_id")
+
+
 def sync(target: DataFrame, source: DataFrame, parent: str) -> DataFrame:
     """The children of every parent that the source names become those of the source; other parents keep theirs."""
     return target.join(source.select(parent).distinct(), parent, "left_anti").unionByName(source)

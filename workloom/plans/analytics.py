@@ -213,18 +213,34 @@ def spam_and_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", rules.spam_band((F.col("doc_id") % 11) / 10.0).alias("band"), F.round(score, 6).alias("quality_score"))
 
 
-def _pool_sql() -> str:
-    flags = "CAST(CAST(c_custkey % 2 = 0 AS INTEGER) AS VARCHAR) || CAST(c_custkey // 2 % 2 AS VARCHAR) || CAST(c_custkey // 4 % 2 AS VARCHAR) || CAST(c_custkey // 8 % 2 AS VARCHAR) || CAST(c_custkey // 16 % 2 AS VARCHAR)"
-    values = ", ".join(f"('{k}', '{rules.POOL_NAMES[v[0]]}', {repr(rules.TRACKS[v[1]]) if len(v) > 1 else 'NULL'})" for k, v in rules.POOLS.items())
-    return f"SELECT c_custkey AS person, pool, track FROM customer JOIN (VALUES {values}) t(k, pool, track) ON k = {flags}"
+_POOL_VALUES = ", ".join("(" + ", ".join("NULL" if x is None else repr(x) if isinstance(x, str) else str(x).lower() for x in row) + ")" for row in rules.POOLS)
 
 
-@query(_pool_sql())
+@query(
+    f"""
+    WITH e AS (SELECT o_custkey AS k, bool_or(o_orderstatus = 'O') AS enrolled, bool_or(o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') AS completed,
+                      bool_or(o_orderpriority = '2-HIGH') AS educated, bool_or(o_orderstatus = 'P' AND o_totalprice > 300000) AS prepared FROM orders GROUP BY 1),
+    x AS (SELECT o_custkey AS k, bool_or(l_quantity = 50) AS experienced FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1),
+    f AS (SELECT c_custkey AS person, coalesce(enrolled, false) AS a, coalesce(completed, false) AS b, coalesce(experienced, false) AS c, coalesce(educated, false) AS d, coalesce(prepared, false) AS e
+          FROM customer LEFT JOIN e ON e.k = c_custkey LEFT JOIN x ON x.k = c_custkey)
+    SELECT person, pool, track FROM f JOIN (VALUES {_POOL_VALUES}) t(a, b, c, d, e, pool, track) USING (a, b, c, d, e)
+    """
+)
 def pool_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("c_custkey")
-    bit = lambda n: F.floor(key / n) % 2 == 1
-    found = rules.pool(key % 2 == 0, bit(2), bit(4), bit(8), bit(16))
-    return table(spark, sf_dir, "customer").select(key.alias("person"), found.alias("p")).select("person", "p.pool", "p.track")
+    """The five answers from a person's education and experience rows, then the decision table. Career preparation is read through
+    education rows, so a person with none has it never complete."""
+    orders = table(spark, sf_dir, "orders")
+    status, level = F.col("o_orderstatus"), F.col("o_orderpriority")
+    education = orders.groupBy("o_custkey").agg(
+        F.bool_or(status == "O").alias("enrolled"), F.bool_or((status == "F") & (level == "1-URGENT")).alias("completed"),
+        F.bool_or(level == "2-HIGH").alias("educated"), F.bool_or((status == "P") & (F.col("o_totalprice") > 300000)).alias("prepared"),
+    )
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.bool_or(F.col("l_quantity") == 50).alias("some"))
+    work = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("_k")).agg(F.bool_or("some").alias("experienced"))
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person"))
+    both = people.join(education, F.col("person") == F.col("o_custkey"), "left").join(work, F.col("person") == F.col("_k"), "left")
+    answers = both.select("person", *[F.coalesce(f, F.lit(False)).alias(f) for f in rules.POOL_FLAGS])
+    return rules.assign_pools(answers).select("person", "pool", "track")
 
 
 @query("SELECT c_custkey AS id, round(2 * 3958.7613 * asin(least(1.0, sqrt(power(sin(radians(40 - c_custkey % 90) / 2), 2) + cos(radians(c_custkey % 90)) * cos(radians(40)) * power(sin(radians(-74 - c_custkey % 180) / 2), 2)))), 4) AS miles FROM customer")

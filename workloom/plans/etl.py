@@ -152,7 +152,7 @@ def notes_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    WITH f AS (SELECT doc_id, sha256(coalesce(source, '') || '|' || coalesce(lang, '') || '|' || coalesce(text, '')) AS fp, row_number() OVER (PARTITION BY sha256(coalesce(source, '') || '|' || coalesce(lang, '') || '|' || coalesce(text, '')) ORDER BY source, doc_id) AS rn FROM documents)
+    WITH f AS (SELECT doc_id, sha256(coalesce(source, '') || '|' || coalesce(lang, '') || '|' || coalesce(text, '')) AS fp, row_number() OVER (PARTITION BY sha256(coalesce(source, '') || '|' || coalesce(lang, '') || '|' || coalesce(text, '')) ORDER BY source NULLS FIRST, doc_id) AS rn FROM documents)
     SELECT doc_id, fp FROM f WHERE rn = 1
     """
 )

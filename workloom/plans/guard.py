@@ -1,51 +1,101 @@
-"""Guarded SQL: one SELECT over allowed tables, a hundred rows at most, checked on Catalyst's own parse tree."""
+"""Guarded SQL: one SELECT over allowed tables and functions, a hundred rows at most, within a time limit, checked on Catalyst's own
+parse tree."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
 
-MOST_ROWS = 100
+from pyspark import InheritableThread
+from pyspark.sql import DataFrame, Row, SparkSession
+
+MOST_ROWS, SECONDS = 100, 30
+#: Functions that a query may call; none of them reads anything but its arguments.
+FUNCTIONS = frozenset(
+    "abs avg bool_or cast ceil ceiling char_length coalesce concat concat_ws contains count count_if date_add date_diff date_format date_sub date_trunc datediff "
+    "day dayofmonth dayofweek dense_rank endswith extract first_value floor greatest if ifnull isnotnull isnull lag last_value lead least left length ln log lower lpad "
+    "ltrim max max_by mean median min min_by month nullif nvl percentile percentile_approx power quarter rank regexp_extract regexp_replace replace right round "
+    "row_number rpad rtrim sign split sqrt startswith stddev substr substring sum to_date to_timestamp trim trunc upper var_samp variance weekofyear year".split()
+)
 
 
 class Refused(ValueError):
     pass
 
 
+class TookTooLong(RuntimeError):
+    pass
+
+
 def _each(seq) -> list:
     return [seq.apply(i) for i in range(seq.size())]
 
 
-def relations(spark: SparkSession, text: str) -> set[str]:
-    """Tables that a query names, without its own CTEs; Refused if it isn't one query."""
+_COMMANDS = ("Command", "Insert", "Drop", "Create", "Delete", "Update", "Merge", "Alter", "Truncate", "Set", "Cache", "Describe", "Show", "Refresh", "Load", "Replace", "Table", "Explain", "Use")
+_SUBQUERIES = ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery")
+
+
+def check(spark: SparkSession, text: str, allowed: set[str], functions: frozenset[str] = FUNCTIONS) -> None:
+    """Refused unless the text is one query over allowed tables and functions.
+
+    A name is a CTE's only where that CTE is in scope: in what its WITH clause belongs to, and in CTEs that come after it. The body of
+    a CTE doesn't see its own name, nor does a table of the same name elsewhere become allowed by it.
+    """
     try:
         root = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     except Exception as error:
         raise Refused(f"not one SQL query: {str(error)[:200]}") from None
-    names, own, todo = set(), set(), [(root, True)]
-    refused = ("Command", "Insert", "Drop", "Create", "Delete", "Update", "Merge", "Alter", "Truncate", "Set", "Cache", "Describe", "Show", "Refresh", "Load", "Replace", "Table", "Explain", "Use")
-    if root.getClass().getSimpleName().startswith(refused):
+    if root.getClass().getSimpleName().startswith(_COMMANDS):
         raise Refused(f"{root.getClass().getSimpleName()} is not a SELECT")
+    tables = {a.lower() for a in allowed}
+    todo: list[tuple] = [(root, True, frozenset())]
     while todo:
-        node, is_plan = todo.pop()
+        node, is_plan, scope = todo.pop()
         kind = node.getClass().getSimpleName()
-        if kind == "UnresolvedTableValuedFunction" or kind.endswith("Command"):
+        if kind == "UnresolvedTableValuedFunction" or kind.endswith("Command") or kind == "ScriptTransformation":
             raise Refused(f"{kind} is not allowed")
-        if kind == "UnresolvedRelation":
-            names.add(".".join(_each(node.multipartIdentifier())).lower())
+        if kind == "UnresolvedRelation" and (name := ".".join(_each(node.multipartIdentifier())).lower()) not in tables | scope:
+            raise Refused(f"not allowed: {name}")
+        if kind == "UnresolvedFunction" and (name := ".".join(_each(node.nameParts())).lower()) not in functions:
+            raise Refused(f"not allowed: {name}()")
         if kind == "UnresolvedWith":
+            if node.allowRecursion():
+                raise Refused("recursion is not allowed")
             for cte in _each(node.cteRelations()):
-                own.add(cte._1().lower())
-                todo.append((cte._2(), True))
-        todo += [(x, is_plan) for x in _each(node.children())]
+                todo.append((cte._2(), True, scope))
+                scope = scope | {cte._1().lower()}
+        todo += [(x, is_plan, scope) for x in _each(node.children())]
         if is_plan:
-            todo += [(x, False) for x in _each(node.expressions())]
-        elif kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
-            todo.append((node.plan(), True))
-    return names - own
+            todo += [(x, False, scope) for x in _each(node.expressions())]
+        elif kind in _SUBQUERIES:
+            todo.append((node.plan(), True, scope))
 
 
 def run(spark: SparkSession, text: str, allowed: set[str], rows: int = MOST_ROWS) -> DataFrame:
-    """The query's first rows; Refused if it is no SELECT or names another table."""
-    if other := relations(spark, text) - {a.lower() for a in allowed}:
-        raise Refused(f"not allowed: {', '.join(sorted(other))}")
+    """The query's first rows; Refused if it is no SELECT or names another table or function."""
+    check(spark, text, allowed)
     return spark.sql(text).limit(rows)
+
+
+def answer(spark: SparkSession, text: str, allowed: set[str], rows: int = MOST_ROWS, seconds: float = SECONDS) -> list[Row]:
+    """The rows themselves; the query's jobs are cancelled and TookTooLong is raised when the time is over."""
+    found, tag = run(spark, text, allowed, rows), f"guard-{uuid.uuid4().hex}"
+    done: dict = {}
+
+    def collect() -> None:
+        spark.addTag(tag)
+        try:
+            done["rows"] = found.collect()
+        except Exception as error:  # noqa: BLE001  raised again below
+            done["error"] = error
+        finally:
+            spark.removeTag(tag)
+
+    worker = InheritableThread(target=collect, session=spark)
+    worker.start()
+    worker.join(seconds)
+    if worker.is_alive():
+        spark.interruptTag(tag)
+        raise TookTooLong(f"not done within {seconds} seconds")
+    if "error" in done:
+        raise done["error"]
+    return done["rows"]

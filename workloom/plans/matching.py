@@ -153,9 +153,19 @@ def tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_search.search(table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_name AS name"), "name", "id", "Blue")
 
 
-@query(_tiers("gre", "lower(p_name) = 'gre' OR starts_with(lower(p_name), 'gre (') OR contains(lower(p_name), '(gre)')"))
+_SKILLS = "(SELECT p_partkey AS p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN split_part(p_name, ' ', 2) WHEN 2 THEN split_part(p_name, ' ', 2) || ' (' || p_brand || ')' WHEN 3 THEN p_brand || ' (' || split_part(p_name, ' ', 2) || ')' ELSE 'the ' || p_name END AS p_name FROM part)"
+
+
+@query(
+    _tiers("ring", "lower(p_name) = 'ring' OR starts_with(lower(p_name), 'ring (') OR contains(lower(p_name), '(ring)')").replace("FROM part)", f"FROM {_SKILLS})").replace("rn <= 5", "rn <= 40").replace("LIMIT 10", "LIMIT 600")
+)
 def skill_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_search.search(table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_name AS name"), "name", "id", "gre", skill=True)
+    """Names of skills with brackets: 'Ring (x)' and 'x (ring)' are exact hits too. The caps let all tiers show."""
+    last = F.split("p_name", " ")[1]
+    kind = F.col("p_partkey") % 5
+    name = F.when(kind == 0, F.col("p_name")).when(kind == 1, last).when(kind == 2, F.concat(last, F.lit(" ("), "p_brand", F.lit(")"))).when(kind == 3, F.concat("p_brand", F.lit(" ("), last, F.lit(")")))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), name.otherwise(F.concat(F.lit("the "), "p_name")).alias("name"))
+    return text_search.search(rows, "name", "id", "Ring", most=600, exact=40, skill=True)
 
 
 @query("SELECT DISTINCT n_name AS city FROM nation WHERE n_regionkey < 3 AND lower(n_name) LIKE '%i%' ORDER BY 1 LIMIT 5")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from workloom.plans import analytics, etl, matching, read_models, reports
+from workloom.plans import analytics, etl, matching, read_models, reports, writes
 
-_PACKS = (reports, matching, etl, analytics, read_models)
+_PACKS = (reports, matching, etl, analytics, read_models, writes)
 
 QUERIES = {name: run for pack in _PACKS for name, run in pack.QUERIES.items()}
 ORACLES = {name: sql for pack in _PACKS for name, sql in pack.ORACLES.items()}

@@ -1,9 +1,10 @@
-"""A staged posting pipeline: each stage is a frame to a frame, a failing record leaves it for the quarantine, and every record leaves a log entry at every stage it reached."""
+"""A staged posting pipeline: each stage is a frame to a frame, a failing record leaves it for the quarantine, and every record leaves a
+log entry at every stage it reached."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -19,10 +20,34 @@ class Stage:
     healthy: bool = True
 
 
+@dataclass(frozen=True)
+class Mapper:
+    """How the raw columns of one source become those of a posting: an expression for each column."""
+
+    source: str
+    columns: dict[str, Column] = field(default_factory=dict)
+
+
+def mapped(raw: DataFrame, mappers: list[Mapper], names: list[str]) -> DataFrame:
+    """Raw rows, which have a source, with the columns of their source's mapper; rows of a source without one have null columns."""
+    out = raw
+    for name in names:
+        cases = F.when(F.lit(False), F.lit(None).cast("string"))
+        for m in mappers:
+            if name in m.columns:
+                cases = cases.when(F.col("source") == m.source, m.columns[name].cast("string"))
+        out = out.withColumn(f"mapped_{name}", cases)
+    return out.select(*[c for c in raw.columns if c not in names], *[F.col(f"mapped_{n}").alias(n) for n in names])
+
+
 class Unhealthy(RuntimeError):
     pass
 
 
+class Incomplete(RuntimeError):
+    pass
+
+
 def check(stages: list[Stage]) -> list[str]:
     """Names of second-phase stages that are not healthy; a first-phase stage that isn't ends the run."""
     if bad := [s.name for s in stages if not s.healthy and not s.phase2]:
@@ -30,20 +55,29 @@ def check(stages: list[Stage]) -> list[str]:
     return [s.name for s in stages if not s.healthy]
 
 
-def run(records: DataFrame, key: str, stages: list[Stage]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def run(records: DataFrame, key: str, stages: list[Stage], folder: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Finished records, quarantined ones (with ``failed_at`` and ``error_type``), and the log: correlation_id, stage, place, outcome.
 
-    All is one lazy plan: the failing stage is a column, so a record is never looked at twice.
+    A stage that can't be planned stops the records that reach it, with its error as their type, and no others: those that failed
+    before keep their reason. With a folder, the records are written there once, and all three results read that table.
     """
     skipped = check(stages)
     rows = records.withColumns({"failed_at": F.lit(None).cast("string"), "error_type": F.lit(None).cast("string")})
     for stage in stages:
         if stage.name in skipped:
             continue
-        rows = stage.run(rows)
-        if stage.fails is not None:
-            now = F.col("failed_at").isNull() & stage.fails.isNotNull()
-            rows = rows.withColumns({"error_type": F.when(now, stage.fails).otherwise(F.col("error_type")), "failed_at": F.when(now, F.lit(stage.name)).otherwise(F.col("failed_at"))})
+        try:
+            after, fails = stage.run(rows), stage.fails
+            after.schema  # noqa: B018  a stage that names unknown columns fails here
+        except Exception as error:  # noqa: BLE001  of whatever kind, it stops this stage's records only
+            after, fails = rows, F.lit(type(error).__name__)
+        rows = after
+        if fails is not None:
+            now = F.col("failed_at").isNull() & fails.isNotNull()
+            rows = rows.withColumns({"error_type": F.when(now, fails).otherwise(F.col("error_type")), "failed_at": F.when(now, F.lit(stage.name)).otherwise(F.col("failed_at"))})
+    if folder is not None:
+        rows.write.mode("overwrite").parquet(folder)
+        rows = records.sparkSession.read.schema(rows.schema).parquet(folder)
     names = [s.name for s in stages]
     place = F.coalesce(F.array_position(F.array(*map(F.lit, names)), F.col("failed_at")), F.lit(len(names) + 1))
     entries = [
@@ -55,3 +89,40 @@ def run(records: DataFrame, key: str, stages: list[Stage]) -> tuple[DataFrame, D
     ]
     log = rows.select(F.col(key).alias("correlation_id"), F.explode(F.filter(F.array(*entries), lambda e: e["place"] <= place)).alias("e")).select("correlation_id", "e.*")
     return rows.filter("failed_at IS NULL").drop("failed_at", "error_type"), rows.filter("failed_at IS NOT NULL"), log
+
+
+def write_log(log: DataFrame, path: str, postings: int, stages: int) -> tuple[int, int]:
+    """Writes the log as JSON and holds it against postings x stages; returns entries found and expected, Incomplete if some are missing."""
+    log.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    found = log.sparkSession.read.schema(log.schema).json(path).count()
+    if found != postings * stages:
+        raise Incomplete(f"{found} entries of {postings * stages}")
+    return found, postings * stages
+
+
+def completed(prompts: DataFrame, column: str, answer: Callable[[str], str], least: int = 1) -> DataFrame:
+    """Prompts with the ``answer`` that a model gives and an audit of each: attempts and error. answer runs in the tasks, on batches.
+
+    A prompt is tried three times; one that fails every time has a null answer and its error, and stops no other.
+    """
+
+    def complete(batches):
+        for batch in batches:
+            answers, attempts, errors = [], [], []
+            for prompt in batch[column]:
+                got = error = None
+                for n in range(1, 4):
+                    try:
+                        got, error = answer(prompt), None
+                        if got is not None and len(got) >= least:
+                            break
+                        got, error = None, "too short"
+                    except Exception as e:  # noqa: BLE001  a failing prompt is a row of the audit
+                        got, error = None, f"{type(e).__name__}: {e}"
+                answers.append(got)
+                attempts.append(n)
+                errors.append(error)
+            yield batch.assign(answer=answers, attempts=attempts, error=errors)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema)
+    return prompts.mapInPandas(complete, f"{kinds}, answer string, attempts int, error string")
