@@ -120,8 +120,9 @@ def entries(docs: DataFrame, table: DataFrame) -> DataFrame:
         F.sort_array(labels).alias("_base"),
         F.concat(F.array(F.lit(None).cast("long")), _runs(w)).alias("_runs"),
     )
-    # a select of its own: what it copies to each run must not have the words in it
-    each = based.select(*[c for c in based.columns if c != "_runs"], F.posexplode("_runs").alias("_at", "_run"))
+    # A select of its own, as what it copies to each run must not have the words in it. It is an outer one, though no array is empty:
+    # for others Spark puts a filter on the array's size below, with all that makes the array copied into its lambdas.
+    each = based.select(*[c for c in based.columns if c != "_runs"], F.posexplode_outer("_runs").alias("_at", "_run"))
     met = each.join(F.broadcast(table), F.col("_run") == F.col("run"), "left").filter("_at = 0 OR label IS NOT NULL")
     return met.drop("_run", "run").withColumn("_at", F.nullif(F.col("_at"), F.lit(0)) - 1)
 

@@ -270,13 +270,14 @@ def candidates(docs: DataFrame) -> DataFrame:
             ),
         ),
     )
-    found = held.select("doc_id", "path", F.explode(F.array_compact(near)).alias("_c")).select("doc_id", "path", "_c.*")
+    # Outer explodes: for others Spark puts a filter on the array's size below, with all that makes the array copied into its lambdas.
+    found = held.select("doc_id", "path", F.explode_outer(F.array_compact(near)).alias("_c")).filter("_c IS NOT NULL").select("doc_id", "path", "_c.*")
     split = found.withColumn("_parts", F.split("word", _NEXT_NAME)).withColumn("_n", F.size("_parts")).drop("word")
     # neither the word nor the array of its parts may be copied to each part
-    parts = split.select("doc_id", "path", "place", "follows", "before", "after", "_n", F.posexplode("_parts").alias("_i", "part"))
+    parts = split.select("doc_id", "path", "place", "follows", "before", "after", "_n", F.posexplode_outer("_parts").alias("_i", "part"))
     first, last = F.col("_i") == 0, F.col("_i") == F.col("_n") - 1
     valued = parts.withColumn("_found", _values(F.col("part"), F.col("follows") & first))
-    each = valued.select("*", F.explode(_chosen(F.col("_found"))).alias("value"))
+    each = valued.withColumn("_values", _chosen(F.col("_found"))).drop("_found", "_parts").select("*", F.explode_outer("_values").alias("value")).filter("value IS NOT NULL")
     own = F.expr("substring(part, 1, instr(part, value) - 1)")
     rest = F.expr("substring(part, instr(part, value) + char_length(value))")
     return each.select(
