@@ -1,9 +1,10 @@
-"""Matching and search, with embeddings as skills: label as the person, a range of vectors as the job's skills."""
+"""Matching and search, with embeddings as skills: label as the person, the first vector of each label as the job's skills."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from workloom.functions.text import norm_name
 from workloom.operators import facets, similarity, text_search
 from workloom.plans.pack import Pack
 from workloom.sources import table
@@ -12,25 +13,33 @@ query = Pack()
 QUERIES, ORACLES = query.queries, query.oracles
 
 _SIM = "round(list_cosine_similarity(CAST(j.embedding AS DOUBLE[]), CAST(s.embedding AS DOUBLE[])), 12)"
-_PAIRS = f"SELECT s.label AS seeker, s.vec_id AS seeker_skill, j.vec_id AS job_skill, {_SIM} AS sim FROM embeddings j, embeddings s WHERE j.vec_id < 8"
+_JOB = "(SELECT min(vec_id) AS vec_id, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label)"
+_PAIRS = f"SELECT s.label AS seeker, s.vec_id AS seeker_skill, j.vec_id AS job_skill, {_SIM} AS sim FROM {_JOB} j, embeddings s WHERE s.vec_id <> j.vec_id"
+_N = f"(SELECT count(*) FROM {_JOB})"
 
 
 def _job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").filter("vec_id < 8")
-    return rows.select(F.col("vec_id").alias("job_skill"), F.concat(F.lit("skill "), F.col("vec_id")).alias("job_name"), F.col("embedding").alias("job_vector"))
+    """The skills of a job: of each label the first."""
+    first = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.min("vec_id").alias("job_skill"), F.min_by("embedding", "vec_id").alias("job_vector"))
+    return first.select("job_skill", F.concat(F.lit("skill "), F.col("job_skill")).alias("job_name"), "job_vector")
 
 
 def _seekers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The skills of people, each label a person; those that the job is made of are no one's."""
     rows = table(spark, sf_dir, "embeddings")
-    return rows.select(
+    own = rows.join(rows.groupBy("label").agg(F.min("vec_id").alias("vec_id")).select("vec_id"), "vec_id", "left_anti")
+    return own.select(
         F.col("label").alias("seeker"), F.col("vec_id").alias("seeker_skill"), F.concat(F.lit("skill "), F.col("vec_id")).alias("seeker_name"), F.col("embedding").alias("seeker_vector")
     )
 
 
+_OWN = f"SELECT * FROM ({_PAIRS}) WHERE seeker_skill NOT IN (SELECT vec_id FROM {_JOB})"
+
+
 @query(
     f"""
-    WITH p AS ({_PAIRS}), b AS (SELECT seeker, job_skill, max(sim) AS best FROM p WHERE sim BETWEEN 0 AND 1 GROUP BY 1, 2)
-    SELECT seeker, round(sum(best) / 8, 6) AS score FROM b GROUP BY 1 ORDER BY sum(best) DESC, seeker LIMIT 10
+    WITH p AS ({_OWN}), b AS (SELECT seeker, job_skill, max(sim) AS best FROM p WHERE sim BETWEEN 0 AND 1 GROUP BY 1, 2)
+    SELECT seeker, round(sum(best) / {_N}, 6) AS score FROM b GROUP BY 1 ORDER BY sum(best) DESC, seeker LIMIT 10
     """
 )
 def job_to_seekers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,18 +48,18 @@ def job_to_seekers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-    WITH p AS ({_PAIRS}), b AS (SELECT seeker, job_skill, max(sim) AS best FROM p GROUP BY 1, 2)
-    SELECT seeker, round(sum(best) / 8, 6) AS score FROM b WHERE best BETWEEN 0 AND 1 GROUP BY 1 HAVING sum(best) / 8 > 0.4
+    WITH p AS ({_OWN}), b AS (SELECT seeker, job_skill, max(sim) AS best FROM p GROUP BY 1, 2)
+    SELECT seeker, round(sum(best) / {_N}, 6) AS score FROM b WHERE best BETWEEN 0 AND 1 GROUP BY 1 HAVING sum(best) / {_N} > 0.15
     """
 )
 def role_to_seekers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.role_scores(_job(spark, sf_dir), _seekers(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return similarity.role_scores(_job(spark, sf_dir), _seekers(spark, sf_dir), 0.15).withColumn("score", F.round("score", 6))
 
 
 @query(
     f"""
-    WITH p AS ({_PAIRS}), r AS (SELECT *, row_number() OVER (PARTITION BY seeker, job_skill ORDER BY sim DESC, seeker_skill) AS rn FROM p WHERE sim BETWEEN 0 AND 1)
-    SELECT seeker, round(avg(sim), 6) AS score, string_agg('skill ' || job_skill || '>skill ' || seeker_skill, ';' ORDER BY job_skill) AS matched
+    WITH p AS ({_OWN}), r AS (SELECT *, row_number() OVER (PARTITION BY seeker, job_skill ORDER BY sim DESC, seeker_skill) AS rn FROM p WHERE sim BETWEEN 0 AND 1)
+    SELECT seeker, round(avg(sim), 6) AS score, string_agg('skill ' || job_skill || '>skill ' || seeker_skill, ';' ORDER BY 'skill ' || job_skill) AS matched
     FROM r WHERE rn = 1 GROUP BY 1 ORDER BY avg(sim) DESC, seeker LIMIT 10
     """
 )
@@ -64,38 +73,69 @@ def skills_to_seekers(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
     SELECT j.vec_id AS term, s.vec_id AS neighbour, round({_SIM}, 6) AS similarity,
            CAST(row_number() OVER (PARTITION BY j.vec_id ORDER BY {_SIM} DESC, s.vec_id) AS INTEGER) AS rank
-    FROM embeddings j, embeddings s WHERE j.vec_id IN (3, 50, 77) QUALIFY rank <= 5
+    FROM embeddings j, embeddings s WHERE j.vec_id % 20 = 0 QUALIFY rank <= 5
     """
 )
 def nearest_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest skills of several terms at once, rather than one search for each."""
+    """The nearest skills of many terms at once, rather than one search for each: every twentieth vector against all."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("neighbour"), F.col("embedding").alias("row_vector"))
-    terms = rows.filter(F.col("neighbour").isin(3, 50, 77)).select(F.col("neighbour").alias("term"), F.col("row_vector").alias("term_vector"))
+    terms = rows.filter("neighbour % 20 = 0").select(F.col("neighbour").alias("term"), F.col("row_vector").alias("term_vector"))
     found = similarity.nearest(terms, rows, "neighbour", "term", "term_vector", "row_vector", 5)
     return found.select("term", "neighbour", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 @query(
+    f"""
+    SELECT s.vec_id AS id, min(j.vec_id) AS first, CAST(count(*) - 1 AS BIGINT) AS others FROM embeddings j JOIN embeddings s ON {_SIM} >= 0.5 GROUP BY 1
     """
-    WITH t AS (SELECT DISTINCT p_brand AS name FROM part), x AS (SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'Brand#' || (c_custkey % 60) WHEN 1 THEN 'BRAND# ' || (c_custkey % 60) ELSE 'other' END AS raw FROM customer)
-    SELECT id, raw, CASE WHEN e.name IS NOT NULL THEN e.name WHEN n.name IS NOT NULL THEN n.name ELSE raw END AS mapped,
-           CASE WHEN e.name IS NOT NULL THEN 'exact' WHEN n.name IS NOT NULL THEN 'normalised' ELSE 'raw' END AS match_method
-    FROM x LEFT JOIN t e ON e.name = raw LEFT JOIN t n ON lower(regexp_replace(trim(n.name), '[- ]', '', 'g')) = lower(regexp_replace(trim(raw), '[- ]', '', 'g'))
+)
+def near_duplicate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each vector the first that is near it, and how many are; the border is lower than in production, as these vectors are random."""
+    return similarity.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.5).withColumnRenamed("vec_id", "id")
+
+
+_RAW = """CASE vec_id % 5 WHEN 0 THEN 'skill ' || (vec_id // 2 * 2) WHEN 1 THEN ' Skill-' || (vec_id // 2 * 2) || ' ' ELSE 'said ' || vec_id END"""
+
+
+@query(
+    f"""
+    WITH t AS (SELECT 'skill ' || vec_id AS name, CAST(embedding AS DOUBLE[]) AS v, CASE WHEN vec_id % 4 = 0 THEN '15-' || vec_id % 100 END AS code FROM embeddings WHERE vec_id % 2 = 0),
+    r AS (SELECT vec_id AS id, {_RAW} AS raw, CASE vec_id % 5 WHEN 2 THEN list_transform(list_zip(CAST(embedding AS DOUBLE[]), list_reverse(CAST(embedding AS DOUBLE[]))), lambda x: x[1] + 0.2 * x[2]) END AS v,
+                 CASE vec_id % 5 WHEN 3 THEN '15-' || vec_id % 60 END AS code FROM embeddings),
+    n AS (SELECT lower(regexp_replace(trim(name), '[- ]', '', 'g')) AS norm, min(name) AS normal FROM t GROUP BY 1),
+    c AS (SELECT code, min(name) AS coded FROM t WHERE code IS NOT NULL GROUP BY 1),
+    s AS (SELECT r.id, t.name, round(list_cosine_similarity(r.v, t.v), 12) AS sim FROM r, t WHERE r.v IS NOT NULL QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY sim DESC, t.name) = 1),
+    b AS (SELECT r.id, raw, e.name AS e, normal AS n, s.name AS s, coded AS c FROM r LEFT JOIN t e ON e.name = raw LEFT JOIN n ON norm = lower(regexp_replace(trim(raw), '[- ]', '', 'g'))
+          LEFT JOIN s ON s.id = r.id AND sim >= 0.92 LEFT JOIN c ON c.code = r.code)
+    SELECT id, raw, coalesce(e, n, s, c, raw) AS mapped,
+           CASE WHEN e IS NOT NULL THEN 'exact' WHEN n IS NOT NULL THEN 'normalised' WHEN s IS NOT NULL THEN 'cosine' WHEN c IS NOT NULL THEN 'code' ELSE 'raw' END AS match_method FROM b
     """
 )
 def taxonomy_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A raw name is mapped by the exact name, else by the normalised one, else kept; the method is told."""
-    from workloom.functions.text import norm_name
+    """A raw name is mapped by the exact name, the normalised one, the nearest vector of 0.92 or more, the occupation code, else kept; the method is told."""
+    rows, key = table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    v = F.col("embedding").cast("array<double>")
+    even = F.floor(key / 2) * 2
+    raw = F.when(key % 5 == 0, F.concat(F.lit("skill "), even)).when(key % 5 == 1, F.concat(F.lit(" Skill-"), even, F.lit(" "))).otherwise(F.concat(F.lit("said "), key))
+    noisy = F.when(key % 5 == 2, F.zip_with(v, F.reverse(v), lambda x, y: x + 0.2 * y))
+    asked = rows.select(key.alias("id"), raw.alias("raw"), noisy.alias("vector"), F.when(key % 5 == 3, F.concat(F.lit("15-"), key % 60)).alias("code"))
+    known = rows.filter("vec_id % 2 = 0").select(F.concat(F.lit("skill "), key).alias("name"), v.alias("vector"), F.when(key % 4 == 0, F.concat(F.lit("15-"), key % 100)).alias("code"))
+    return similarity.cascade(asked, known, norm_name)
 
-    names = table(spark, sf_dir, "part").select(F.col("p_brand").alias("name")).distinct()
-    key = F.col("c_custkey")
-    raw = F.when(key % 3 == 0, F.concat(F.lit("Brand#"), key % 60)).when(key % 3 == 1, F.concat(F.lit("BRAND# "), key % 60)).otherwise("other")
-    rows = table(spark, sf_dir, "customer").select(key.alias("id"), raw.alias("raw"))
-    exact = names.select(F.col("name").alias("_exact"))
-    normal = names.select(F.col("name").alias("_normal"), norm_name(F.col("name")).alias("_norm"))
-    both = rows.join(exact, F.col("raw") == F.col("_exact"), "left").join(normal, norm_name(F.col("raw")) == F.col("_norm"), "left")
-    method = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_normal").isNotNull(), "normalised").otherwise("raw")
-    return both.select("id", "raw", F.coalesce("_exact", "_normal", "raw").alias("mapped"), method.alias("match_method"))
+
+@query(
+    """
+    WITH t AS (SELECT p_partkey AS id, 'I know ' || upper(p_name) || ', some ' || p_brand || ' and ' || p_type AS said FROM part),
+    n AS (SELECT DISTINCT p_name AS name FROM part WHERE p_size < 3 UNION SELECT DISTINCT p_brand FROM part UNION SELECT 'know')
+    SELECT DISTINCT id, name FROM t JOIN n ON contains(' ' || regexp_replace(lower(said), '[^a-z0-9#]+', ' ', 'g') || ' ', ' ' || lower(name) || ' ')
+    """
+)
+def skills_mentioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free text to names of skills by a dictionary: runs of words that are names."""
+    parts = table(spark, sf_dir, "part")
+    said = parts.select(F.col("p_partkey").alias("id"), F.concat(F.lit("I know "), F.upper("p_name"), F.lit(", some "), "p_brand", F.lit(" and "), "p_type").alias("said"))
+    names = parts.filter("p_size < 3").select(F.col("p_name").alias("name")).union(parts.select("p_brand")).union(parts.select(F.lit("know"))).distinct()
+    return similarity.mentioned(said, "id", "said", names)
 
 
 _FACETS = """FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
@@ -200,3 +240,28 @@ def skills_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set(F.col("l_partkey") % 50).alias("xs"))
     wanted = F.array(*[F.lit(x).cast("long") for x in (1, 5, 7, 11, 20, 33)])
     return rows.select("k", F.size(F.array_intersect("xs", wanted)).alias("matched"), F.size("xs").alias("n"))
+
+
+def _entity(kind: str, rel: str, name: str, key: str, term: str) -> str:
+    tier = f"CASE WHEN lower({name}) = '{term}' THEN 1 WHEN starts_with(lower({name}), '{term}') THEN 2 WHEN contains(lower({name}), '{term}') THEN 3 END"
+    return f"""SELECT * FROM (SELECT '{kind}' AS kind, CAST({key} AS VARCHAR) AS key, {name} AS name, CAST({tier} AS INTEGER) AS tier FROM {rel} WHERE {tier} IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY tier ORDER BY lower({name}), {name}, CAST({key} AS VARCHAR)) <= CASE WHEN tier = 1 THEN 5 ELSE 10 END ORDER BY tier, lower({name}), {name}, CAST({key} AS VARCHAR) LIMIT 10)"""
+
+
+@query(" UNION ALL ".join(_entity(k, r, n, i, "nation_1") for k, r, n, i in (("provider", "nation", "n_name", "n_nationkey"), ("location", "region", "r_name", "r_regionkey"))) + " UNION ALL " + _entity("company", "customer", "c_name", "c_custkey", "nation_1"))
+def entity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One term over several kinds of entities."""
+    of = {"provider": ("nation", "n_name", "n_nationkey"), "location": ("region", "r_name", "r_regionkey"), "company": ("customer", "c_name", "c_custkey")}
+    return text_search.entity_search({kind: (table(spark, sf_dir, t), name, key) for kind, (t, name, key) in of.items()}, "Nation_1")
+
+
+@query("SELECT p_partkey AS id, p_name AS name FROM part WHERE lower(p_name) IN ('red ring', 'blue widget', 'small ring')")
+def skills_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_search.among(table(spark, sf_dir, "part"), "p_name", ["Red Ring", "blue widget", "SMALL RING"]).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+
+
+@query("SELECT o_orderkey AS posting, o_orderpriority AS title FROM orders WHERE contains(lower(regexp_replace(o_orderpriority, '-', '')), '4not') OR contains(lower(o_orderstatus), '4not')")
+def jobs_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a list shows while one types: any column holds the term, hyphens apart."""
+    hit = text_search.quick_filter("4Not", F.col("o_orderpriority"), F.col("o_orderstatus"))
+    return table(spark, sf_dir, "orders").filter(hit).select(F.col("o_orderkey").alias("posting"), F.col("o_orderpriority").alias("title"))
