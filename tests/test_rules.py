@@ -30,8 +30,8 @@ def test_us_week(spark, day, week):
 
 def test_pool_table_has_an_answer_for_each_of_32_cases(spark):
     rows = [tuple(bool(b) for b in bits) for bits in product((0, 1), repeat=5)]
-    found = spark.createDataFrame(rows, "a boolean, b boolean, c boolean, d boolean, e boolean")
-    got = {tuple(r)[:5]: (r.p.pool, r.p.track) for r in found.select("*", rules.pool(*map(F.col, "abcde")).alias("p")).collect()}
+    found = rules.assign_pools(spark.createDataFrame(rows, ", ".join(f"{f} boolean" for f in rules.POOL_FLAGS)))
+    got = {tuple(r[f] for f in rules.POOL_FLAGS): (r.pool, r.track) for r in found.collect()}
     assert len(got) == 32 and all(p in ("Recommended", "Job Ready", "Not Job Ready") for p, _ in got.values())
     assert got[False, False, True, True, False] == ("Job Ready", "ACCELERATED")
     assert got[False, False, False, True, False] == ("Job Ready", "STANDARD")
@@ -40,7 +40,8 @@ def test_pool_table_has_an_answer_for_each_of_32_cases(spark):
 
 
 def test_pool_of_a_missing_answer_is_none(spark):
-    assert tuple(one(spark, rules.pool(*[F.lit(None).cast("boolean")] * 5))) == ("None", None)
+    people = spark.createDataFrame([(None,) * 5], ", ".join(f"{f} boolean" for f in rules.POOL_FLAGS))
+    assert tuple(rules.assign_pools(people).select("pool", "track").first()) == ("None", None)
 
 
 @pytest.mark.parametrize(("score", "band"), [(0.69, "proceed"), (0.7, "flag"), (0.9, "flag"), (0.91, "reject"), (None, None)])
@@ -72,6 +73,7 @@ def test_names(spark):
     assert one(spark, text.joined(F.lit("Ann"), F.lit(None).cast("string"))) == "Ann"
     assert one(spark, text.norm_name(F.lit(" Node - JS "))) == "nodejs"
     assert one(spark, text.items(F.lit("a~ b ~~ ~c"))) == ["a", "b", "c"]
+    assert one(spark, text.items(F.lit("0go~ python1 ~s2~C3"))) == ["0go", "python1", "s2", "C3"]
     assert one(spark, text.or_default(F.lit(""), "Unknown")) == "Unknown"
 
 
@@ -95,3 +97,35 @@ def test_distance(spark):
 
 def test_seniority(spark):
     assert [one(spark, rules.seniority(F.lit(t))) for t in ("Senior Dev", "Lead Engineer", "Jr. Tester", "Developer")] == ["senior", "lead", "junior", "mid"]
+
+
+def test_phones(spark):
+    assert [one(spark, text.e164(F.lit(x))) for x in ("+49 30 123456", "(206) 555-0100", "12")] == ["+4930123456", "+12065550100", None]
+    assert [one(spark, text.country_code(F.lit(x))) for x in ("+49 30 123456", "206 555")] == ["49", None]
+
+
+def test_ids_and_members(spark):
+    assert [one(spark, text.digits_or_zero(F.lit(x))) for x in ("12", "a12", "")] == [12, 0, 0]
+    assert one(spark, text.member(F.lit("b"), ("a", "b"))) == "b" and one(spark, text.member(F.lit("c"), ("a", "b"))) is None
+    assert one(spark, text.id_seed(F.lit("0000-00ff-12"))) == 255
+    assert one(spark, text.stable_id(F.lit(1), F.lit("x"))) == one(spark, text.stable_id(F.lit(1), F.lit("x"))) and len(one(spark, text.stable_id(F.lit(1)))) == 36
+
+
+@pytest.mark.parametrize(("seconds", "words"), [(0.25, "250ms"), (12.34, "12.3s"), (59.9, "59.9s"), (61.0, "1m 1s"), (3725.0, "62m 5s")])
+def test_durations(spark, seconds, words):
+    assert one(spark, dates.duration(F.lit(seconds))) == words
+
+
+def test_times(spark):
+    assert one(spark, dates.wall_time(F.lit("2024-05-06T07:08:09+02:00"))) == dt.datetime(2024, 5, 6, 7, 8, 9)
+    assert one(spark, dates.wall_time(F.lit("next week"))) is None
+    assert one(spark, dates.days_away(F.lit("2024-03-01"), F.lit("2024-02-28"))) == 2
+    assert one(spark, dates.month_start(F.lit("2024-05-06").cast("timestamp"))) == dt.datetime(2024, 5, 1)
+
+
+def test_truthy_roles_and_quality(spark):
+    assert [one(spark, rules.truthy(F.lit(x))) for x in ("Yes", " 1 ", "no", None)] == [True, True, False, False]
+    assert [one(spark, rules.role(F.lit(x))) for x in ("Data Engineer", "Cyber Analyst", "Help Desk", "Baker")] == ["data", "data", "support", "other"]
+    good = one(spark, rules.quality(F.lit("Python developer"), F.lit("A python developer writes python code every day. " * 20), ("python", "code")))
+    bad = one(spark, rules.quality(F.lit(""), F.lit(None).cast("string"), ("python",)))
+    assert 0 <= bad < 0.4 < 0.8 < good <= 1

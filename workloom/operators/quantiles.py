@@ -12,7 +12,7 @@ def exact(rows: DataFrame, groups: list[str], value: str, at: dict[str, float])
     """The groups with a column for each percentile wanted, interpolated between neighbours; null values don't count.
 
     A mergeable sketch brackets each percentile; then the values below a bracket are counted, and only those inside it are sorted,
-    about 1 in ``ACCURACY`` / 4 of a group. No group is gathered whole.
+    about 1 in ``ACCURACY`` / 4 of a group, or all of one that has ``ACCURACY`` at most. No large group is gathered whole.
     """
     rows = rows.filter(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
     margin = 2.0 / ACCURACY
@@ -21,8 +21,8 @@ def exact(rows: DataFrame, groups: list[str], value: str, at: dict[str, float])
     seen = rows.groupBy(*groups).agg(F.percentile_approx("_v", [*low, *high], ACCURACY).alias("_q"), F.count("*").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
     n, names = len(at), list(at)
     ends = lambda i, p: (
-        F.when(F.lit(p - margin <= 0), F.col("_least")).otherwise(F.col("_q")[i]),
-        F.when(F.lit(p + margin >= 1), F.col("_most")).otherwise(F.col("_q")[n + i]),
+        F.when(F.lit(p - margin <= 0) | (F.col("_n") <= ACCURACY), F.col("_least")).otherwise(F.col("_q")[i]),
+        F.when(F.lit(p + margin >= 1) | (F.col("_n") <= ACCURACY), F.col("_most")).otherwise(F.col("_q")[n + i]),
     )
     brackets = F.array(*[
         F.struct(F.lit(i).alias("i"), ends(i, p)[0].alias("low"), ends(i, p)[1].alias("high"), (F.lit(p) * (F.col("_n") - 1)).alias("rank")) for i, p in enumerate(at.values())

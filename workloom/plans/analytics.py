@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from workloom.functions import rules
+from workloom.operators import quantiles
 from workloom.plans.pack import Pack
 from workloom.sources import table
 
@@ -46,14 +47,17 @@ def stage_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
     SELECT user_id AS run, min_by(event_type, CAST(CASE event_type WHEN 'signup' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 WHEN 'error' THEN 4 ELSE 99 END AS INTEGER)) AS first_stage,
-           max(json_extract_string(props, '$.k')) AS top_label FROM events GROUP BY 1
+           max(json_extract_string(props, '$.k')) AS top_label, arg_min(json_extract_string(props, '$.k'), (ts, event_id)) FILTER (WHERE event_type = 'click') AS first_label FROM events GROUP BY 1
     """
 )
 def first_stage_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The earliest stage by a fixed order, unknown ones last, and a field of the payload."""
     order = F.coalesce(rules.label(F.col("event_type"), {s: i for i, s in enumerate(STAGES)}), F.lit(99))
     rows = _events(spark, sf_dir).groupBy(F.col("user_id").alias("run"))
-    return rows.agg(F.min_by("event_type", order).alias("first_stage"), F.max(F.get_json_object("props", "$.k")).alias("top_label"))
+    field = F.get_json_object("props", "$.k")
+    # the first event that has a label at all: those without one don't take part
+    labelled = F.when((F.col("event_type") == "click") & field.isNotNull(), F.struct("ts", "event_id"))
+    return rows.agg(F.min_by("event_type", order).alias("first_stage"), F.max(field).alias("top_label"), F.min_by(field, labelled).alias("first_label"))
 
 
 @query(
@@ -99,9 +103,9 @@ def pipeline_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def pay_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.percentile("o_totalprice", F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 0.95)]))
-    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("level")).agg(at.alias("p"))
-    return rows.select("level", *[F.round(F.col("p")[i], 4).alias(n) for i, n in enumerate(("p25", "median", "p75", "p95"))])
+    at = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
+    found = quantiles.exact(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("level"), "o_totalprice"), ["level"], "o_totalprice", at)
+    return found.select("level", *[F.round(c, 4).alias(c) for c in at])
 
 
 @query(
@@ -126,11 +130,12 @@ def dimension_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def skill_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of skills in one posting. A posting's skills are one short array, so pairs are made row by row without a self-join."""
+    """Pairs of skills in one posting: the distinct rows of posting and skill joined with themselves, so that a posting of many skills is
+    rows of a join, which Spark spills and splits, and never one row."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    sets = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_set("p_brand")).alias("s"))
-    pairs = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return sets.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("together"))
+    has = rows.select(F.col("l_orderkey").alias("k"), "p_brand").distinct()
+    both = has.withColumnRenamed("p_brand", "a").join(has.withColumnRenamed("p_brand", "b"), "k").filter("a < b")
+    return both.groupBy("a", "b").agg(F.count("*").alias("together"))
 
 
 @query(
@@ -169,14 +174,16 @@ _DAILY = "d AS (SELECT event_type AS skill, CAST(ts AS DATE) AS day, CAST(count(
     f"""
     WITH {_DAILY} SELECT skill, day, n,
       CAST(sum(n) OVER (PARTITION BY skill ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW) AS BIGINT) AS week,
-      CAST(sum(n) OVER (PARTITION BY skill ORDER BY day RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW) AS BIGINT) AS month FROM d
+      CAST(sum(n) OVER (PARTITION BY skill ORDER BY day RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW) AS BIGINT) AS month,
+      CAST(sum(n) OVER (PARTITION BY skill ORDER BY day RANGE BETWEEN INTERVAL 89 DAYS PRECEDING AND CURRENT ROW) AS BIGINT) AS quarter FROM d
     """
 )
 def skill_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts over the last 7 and 30 days; windows run over daily sums, not over events."""
+    """Counts over the last 7, 30 and 90 days; windows run over daily sums, not over events."""
     daily = _events(spark, sf_dir).groupBy(F.col("event_type").alias("skill"), F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
     by_day = Window.partitionBy("skill").orderBy(F.unix_date("day"))
-    return daily.select("skill", "day", "n", F.sum("n").over(by_day.rangeBetween(-6, 0)).alias("week"), F.sum("n").over(by_day.rangeBetween(-29, 0)).alias("month"))
+    last = {"week": 7, "month": 30, "quarter": 90}
+    return daily.select("skill", "day", "n", *[F.sum("n").over(by_day.rangeBetween(1 - days, 0)).alias(name) for name, days in last.items()])
 
 
 @query(

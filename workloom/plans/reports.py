@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from workloom.functions.dates import us_week
 from workloom.functions.rules import percent, rating_word
@@ -45,16 +45,28 @@ def posts_by_week_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
             us_week(F.col("o_orderdate")).alias("w"),
         )
     )
-    label = lambda c, all_of: F.when(F.grouping(c) == 1, F.lit(all_of)).otherwise(F.col(c).cast("string"))
-    return rows.rollup("y", "w").agg(
-        label("y", "All Years").alias("year_label"),
-        label("w", "All Weeks").alias("week_label"),
-        F.count_distinct("company").alias("companies"),
-        F.count_distinct("posting").alias("postings"),
-        F.count_distinct(F.when(F.col("status") == "O", F.col("posting"))).alias("open_postings"),
-        F.grouping("y").cast("int").alias("total_year"),
-        F.grouping("w").cast("int").alias("total_week"),
-    ).drop("y", "w")
+    sums = {"postings": F.count("posting"), "open_postings": F.count_if((F.col("status") == "O") & F.col("posting").isNotNull())}  # a posting is one row
+    return _rollup(rows, "company", "companies", sums).select(
+        F.when(F.col("total_year") == 1, "All Years").otherwise(F.col("y").cast("string")).alias("year_label"),
+        F.when(F.col("total_week") == 1, "All Weeks").otherwise(F.col("w").cast("string")).alias("week_label"),
+        "companies", "postings", "open_postings", "total_year", "total_week",
+    )
+
+
+def _rollup(rows: DataFrame, who: str, counted: str, sums: dict[str, Column], *also: Column) -> DataFrame:
+    """rollup(y, w) of sums and of distinct people: people are made distinct from week to year to all, each time from what is left, so
+    that no row is multiplied by the number of groupings and distinct counts. also: aggregates over people instead of the sums."""
+    named = {c: F.sum(c).alias(c) for c in sums}
+    weeks = rows.groupBy("y", "w", who).agg(*[c.alias(n) for n, c in sums.items()])
+    years = weeks.groupBy("y", who).agg(*named.values())
+    people = years.groupBy(who).agg(*named.values())
+    levels = ((weeks, ["y", "w"], 0, 0), (years, ["y"], 0, 1), (people, [], 1, 1))
+    parts = []
+    for level, keys, total_year, total_week in levels:
+        found = level.groupBy(*keys).agg(F.count(who).alias(counted), *(also or named.values()))
+        missing = {c: F.lit(None).cast("int") for c in ("y", "w") if c not in keys}
+        parts.append(found.withColumns({**missing, "total_year": F.lit(total_year), "total_week": F.lit(total_week)}))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,14 +93,16 @@ def enrolled_by_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _orders(spark, sf_dir).select(
         F.col("o_custkey").alias("c"), (F.col("o_orderstatus") == "F").alias("f"), F.year("o_orderdate").alias("y"), us_week(F.col("o_orderdate")).alias("w")
     )
-    people, finished = F.count_distinct("c"), F.count_distinct(F.when(F.col("f"), F.col("c")))
-    return rows.rollup("y", "w").agg(
-        F.when(F.grouping("y") == 1, "All Years").otherwise(F.col("y").cast("string")).alias("year_label"),
-        F.coalesce(F.col("w"), F.lit(999)).alias("week_order"),
-        people.alias("people"),
-        finished.alias("finished"),
-        percent(finished, people).alias("finished_pct"),
-    ).drop("y", "w")
+    # a person has finished in a period if any of its rows says so
+    found = _rollup(rows, "c", "people", {"_finished": F.count_if("f")}, F.count_if(F.col("_finished") > 0).alias("finished"))
+    ordered = found.orderBy("total_year", "y", "total_week", F.coalesce("w", F.lit(999)))
+    return ordered.select(
+        F.when(F.col("total_year") == 1, "All Years").otherwise(F.col("y").cast("string")).alias("year_label"),
+        F.coalesce("w", F.lit(999)).alias("week_order"),
+        "people",
+        "finished",
+        percent(F.col("finished"), F.col("people")).alias("finished_pct"),
+    )
 
 
 @query(
@@ -100,11 +114,12 @@ def enrolled_by_week(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def applicants_per_company(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct postings and applicants of each company, companies without any included."""
-    both = _orders(spark, sf_dir).join(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    rows = _customers(spark, sf_dir).join(both, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return rows.groupBy(F.col("c_custkey").alias("company"), F.col("c_name").alias("name")).agg(
-        F.count_distinct("o_orderkey").alias("postings"), F.count_distinct("l_suppkey").alias("applicants")
-    )
+    orders = _orders(spark, sf_dir).select("o_orderkey", "o_custkey")
+    postings = orders.groupBy("o_custkey").agg(F.count("*").alias("postings"))  # a posting is one row
+    applied = orders.join(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct(), F.col("o_orderkey") == F.col("l_orderkey"))
+    applicants = applied.select(F.col("o_custkey").alias("_c"), "l_suppkey").distinct().groupBy("_c").agg(F.count("l_suppkey").alias("applicants"))
+    rows = _customers(spark, sf_dir).join(postings, F.col("c_custkey") == F.col("o_custkey"), "left").join(applicants, F.col("c_custkey") == F.col("_c"), "left")
+    return rows.select(F.col("c_custkey").alias("company"), F.col("c_name").alias("name"), F.coalesce("postings", F.lit(0)).alias("postings"), F.coalesce("applicants", F.lit(0)).alias("applicants"))
 
 
 @query(
