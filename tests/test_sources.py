@@ -30,8 +30,8 @@ def test_csv_rules(spark, tmp_path):
     (tmp_path / "s.csv").write_text("Skill,Subcategory\n Go ,LANGUAGES\nRust,Other\n")
     known = spark.createDataFrame([(7, "Languages")], "id int, name string")
     both, missing = files.skills_csv(spark, str(tmp_path / "s.csv"), known)
-    assert [tuple(r) for r in both.orderBy("skill").collect()] == [("Go", "LANGUAGES", 7), ("Rust", "Other", None)]
-    assert [r.name for r in missing.collect()] == ["Other"]
+    found, created = [tuple(r) for r in both.orderBy("skill").collect()], missing.collect()
+    assert [r.name for r in created] == ["Other"] and found == [("Go", "LANGUAGES", "7"), ("Rust", "Other", created[0].id)]
     (tmp_path / "bad.csv").write_text("x,y\n1,2\n")
     with pytest.raises(ValueError):
         files.skills_csv(spark, str(tmp_path / "bad.csv"), known)
@@ -58,7 +58,7 @@ def test_quarantine_and_export(spark, tmp_path):
     again = spark.read.schema("id int, user_id int, title string").json(str(tmp_path / "out/posts"))
     assert counts == {"posts": 3} and again.filter("user_id IS NOT NULL OR title IS NOT NULL").count() == 0
     assert sinks.reload(spark, {"posts": table}, str(tmp_path / "load")) == {"posts": (3, 3)}
-    kept = sinks.subset(table, "id", 2, {"child": (table, "id")}, F.col("title") == "c")
+    kept = sinks.subset(table, "id", 2, {"child": (table, "id")}, [F.col("title") == "c"])
     assert {r.id for r in kept[""].collect()} == {1, 3} and kept["child"].count() == 2
 
 
@@ -79,3 +79,58 @@ def test_dead_letters(spark, tmp_path):
     streaming.route(stream, F.col("event_type") != "error", str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "cp")).awaitTermination(120)
     good, bad = (spark.read.parquet(str(tmp_path / n)).count() for n in ("good", "bad"))
     assert good + bad == source.count() and bad == source.filter("event_type = 'error'").count()
+
+
+def test_lookups_and_inline(spark, tmp_path):
+    table = files.inline(spark, [(2, "b"), (1, "a"), (3, "b")], "id int, v string")
+    assert files.by_key(table, "id", 3).first().v == "b"
+    assert files.first(table, F.col("v") == "b", "id").first().id == 2
+    table.createOrReplaceTempView("inline_table")
+    (tmp_path / "q.sql").write_text("SELECT count(*) AS n\nFROM inline_table -- all of them\n")
+    assert files.sql_file(spark, str(tmp_path / "q.sql")).first().n == 3
+
+
+def test_types_of_a_catalog(spark):
+    columns = [("id", "uniqueidentifier", False), ("name", "NVARCHAR(50)", True), ("rating", "tinyint", True), ("mean", "decimal(3,2)", True), ("at", "datetime2", True), ("v", "vector(3)", True)]
+    schema = files.schema_of(columns)
+    assert [f.dataType.simpleString() for f in schema] == ["string", "string", "smallint", "decimal(3,2)", "timestamp", "array<float>"] and not schema["id"].nullable
+    with pytest.raises(ValueError):
+        files.schema_of([("x", "geography", True)])
+    raw = spark.createDataFrame([("ab-1", "n", "3", "4.256", "2024-01-02 03:04:05", [1.0, 2.0])], "id string, name string, rating string, mean string, at string, v array<double>")
+    row = files.migrated(raw, columns).first()
+    assert (row.id, row.rating, str(row["mean"])) == ("AB-1", 3, "4.26")
+
+
+def test_appended_and_quarantined_are_counted(spark, tmp_path):
+    table = spark.range(25).selectExpr("id", "IF(id % 5 = 0, NULL, 't') AS title")
+    good, bad, checks = str(tmp_path / "good"), str(tmp_path / "bad"), {"no title": F.col("title").isNotNull()}
+    assert sinks.append(table, good, checks, bad, page=3) == (20, 5) and sinks.append(table, good, checks, bad) == (20, 5)
+    assert spark.read.parquet(good).count() == 40 and spark.read.parquet(bad).filter("error_type = 'no title'").count() == 10
+    sinks.csv(spark.createDataFrame([(1, [1, 2])], "id int, xs array<int>"), str(tmp_path / "csv"))
+    assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()] == [("1", "[1,2]")]
+
+
+def test_tables_cut_along_links(spark):
+    people = spark.createDataFrame([(1, 10), (2, 20)], "id int, company int")
+    companies = spark.createDataFrame([(10, 100), (20, 200), (30, 100)], "id int, place int")
+    places = spark.createDataFrame([(100,), (200,), (300,)], "id int")
+    cut = sinks.following({"people": people.limit(1).filter("id = 1"), "companies": companies, "places": places}, [("people", "company", "companies", "id"), ("companies", "place", "places", "id")])
+    assert {r.id for r in cut["companies"].collect()} <= {10} and {r.id for r in cut["places"].collect()} <= {100}
+
+
+def test_postings_from_a_folder(spark, tmp_path, monkeypatch):
+    (tmp_path / "north").mkdir()
+    (tmp_path / "north" / "a.json").write_text(json.dumps({"external_id": "1", "title": "Dev"}) + "\n\n" + json.dumps({"external_id": "2"}) + "\n")
+    monkeypatch.setattr(adapter.FolderAdapter, "folder", str(tmp_path))
+    source = adapter.FolderAdapter()
+    assert source.health_check() and list(source.fetch("north")) == [("folder", "1", "Dev", None, None), ("folder", "2", None, None, None)] and not list(source.fetch("south"))
+
+
+def test_sessions_of_a_stream(spark, tmp_path):
+    source = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    source.write.parquet(str(tmp_path / "in"))
+    query = streaming.sessions(streaming.read_events(spark, str(tmp_path / "in")), "6 hours", "1 day").writeStream.outputMode("append").format("memory").queryName("sessions")
+    query.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    batch = {(r.user_id, r.s.start): r.n for r in source.groupBy("user_id", F.session_window("ts", "6 hours").alias("s")).agg(F.count("*").alias("n")).collect()}
+    found = {(r.user_id, r.s.start): r.n for r in spark.table("sessions").collect()}
+    assert found and all(batch[k] == n for k, n in found.items())

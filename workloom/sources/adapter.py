@@ -6,6 +6,9 @@
 
 from __future__ import annotations
 
+import glob
+import json
+import os
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
 from importlib import import_module
@@ -24,6 +27,26 @@ class SourceAdapter(ABC):
         return True
 
 
+class FolderAdapter(SourceAdapter):
+    """Postings from JSON files, one object a line, in a folder for each region: stands in for sources that need a network.
+
+    A subclass names its ``folder`` and the ``source`` that its rows carry; fields that a line lacks are null.
+    """
+
+    folder = "."
+    source = "folder"
+
+    def health_check(self) -> bool:
+        return os.path.isdir(self.folder)
+
+    def fetch(self, region: str) -> Iterator[tuple]:
+        for path in sorted(glob.glob(os.path.join(glob.escape(self.folder), glob.escape(region), "*.json"))):
+            with open(path, encoding="utf-8") as lines:
+                for line in filter(str.strip, lines):
+                    row = json.loads(line)
+                    yield (self.source, *(row.get(c) for c in ("external_id", "title", "company", "raw_text")))
+
+
 class Region(InputPartition):
     def __init__(self, name: str) -> None:
         self.name = name

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -31,20 +31,49 @@ def null_marked_csv(spark: SparkSession, path: str, schema: StructType | str) ->
 
 
 def skills_csv(spark: SparkSession, path: str, subcategories: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """An upload of skill, subcategory: the header is checked, subcategories are looked up whatever their case. Returns the
-    skills with their subcategory's id, and the names that aren't known yet."""
+    """An upload of skill, subcategory: the header is checked, subcategories are looked up whatever their case and created where there is
+    none, under an id that follows from the name. Returns the skills with their subcategory's id, and the subcategories created."""
     rows = spark.read.option("header", True).csv(path)
     if [c.strip().lower() for c in rows.columns] != ["skill", "subcategory"]:
         raise ValueError(f"expected the columns skill and subcategory, found {rows.columns}")
     clean = rows.toDF("skill", "subcategory").select(*[F.trim(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("skill", "subcategory")])
-    known = subcategories.select(F.col("id").alias("subcategory_id"), F.lower("name").alias("_key"))
-    both = clean.join(known, F.lower("subcategory") == F.col("_key"), "left").drop("_key")
-    missing = both.filter("subcategory_id IS NULL AND subcategory <> ''").select(F.col("subcategory").alias("name")).distinct()
-    return both, missing
+    known = subcategories.groupBy(F.lower("name").alias("_key")).agg(F.min(F.col("id").cast("string")).alias("_id"))
+    new = clean.filter("subcategory <> ''").groupBy(F.lower("subcategory").alias("_key")).agg(F.min("subcategory").alias("name")).join(known, "_key", "left_anti")
+    created = new.select(F.concat(F.lit("new-"), F.substring(F.sha2("_key", 256), 1, 12)).alias("id"), "name", "_key")
+    ids = known.unionByName(created.select("_key", F.col("id").alias("_id")))
+    both = clean.join(ids, F.lower("subcategory") == F.col("_key"), "left").select("skill", "subcategory", F.col("_id").alias("subcategory_id"))
+    return both, created.drop("_key")
+
+
+# Types of the relational source and what they are here.
+TYPES = {
+    "uniqueidentifier": "string", "varchar": "string", "nvarchar": "string", "char": "string", "nchar": "string", "text": "string", "ntext": "string",
+    "bit": "boolean", "tinyint": "smallint", "smallint": "smallint", "int": "int", "bigint": "bigint", "float": "double", "real": "float",
+    "datetime": "timestamp", "datetime2": "timestamp", "datetimeoffset": "timestamp", "date": "date", "vector": "array<float>", "varbinary": "binary",
+}
+
+
+def schema_of(columns: list[tuple[str, str, bool]]) -> StructType:
+    """The schema for a catalog's columns: name, declared type (with its size, as decimal(3,2)) and whether it may be null."""
+    fields = []
+    for name, declared, nullable in columns:
+        base, _, size = declared.strip().lower().partition("(")
+        kind = f"decimal({size or '18,0)'}" if base in ("decimal", "numeric") else TYPES.get(base)
+        if kind is None:
+            raise ValueError(f"no type here for {declared} of {name}")
+        fields.append(StructField(name, StructType.fromDDL(f"x {kind}")[0].dataType, nullable))
+    return StructType(fields)
+
+
+def migrated(rows: DataFrame, columns: list[tuple[str, str, bool]]) -> DataFrame:
+    """Rows cast to the schema of a catalog; ids in upper case, as the source writes them."""
+    kinds = {name: declared.lower() for name, declared, _ in columns}
+    return rows.select(*[(F.upper(f.name) if kinds[f.name] == "uniqueidentifier" else F.col(f.name)).cast(f.dataType).alias(f.name) for f in schema_of(columns)])
 
 
 def jdbc(spark: SparkSession, url: str, name: str, key: str, low: int, high: int, parts: int) -> DataFrame:
     """A table of a relational database, read in parallel by ranges of a numeric key."""
+    # the catalog of the source gives columns and types: schema_of and migrated turn them into those of the target
     options = {"url": url, "dbtable": name, "partitionColumn": key, "lowerBound": low, "upperBound": high, "numPartitions": parts}
     return spark.read.format("jdbc").options(**{k: str(v) for k, v in options.items()}).load()
 
@@ -58,6 +87,11 @@ def inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def by_key(rows: DataFrame, key: str, value) -> DataFrame:
+    """The row of a key; the filter reaches the scan, which skips what can't hold it."""
+    return rows.filter(F.col(key) == value)
+
+
 def first(rows: DataFrame, predicate: Column, key: str) -> DataFrame:
     """The matching row of the smallest key."""
     return rows.filter(predicate).orderBy(key).limit(1)

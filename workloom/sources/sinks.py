@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
 def split_valid(rows: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
@@ -15,8 +15,24 @@ def split_valid(rows: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame,
     return marked.filter("error_type IS NULL").drop("error_type"), marked.filter("error_type IS NOT NULL")
 
 
-def append(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+def append(rows: DataFrame, path: str, checks: dict[str, Column], quarantine: str, page: int = 1000) -> tuple[int, int]:
+    """Adds the rows that pass every check, at most ``page`` to a file, and the others to the quarantine; returns how many of each.
+
+    Counts are those of the write itself, so nothing is read twice.
+    """
+    good, bad = split_valid(rows, checks)
+    counts = []
+    for part, to in ((good, path), (bad, quarantine)):
+        seen = Observation()
+        part.observe(seen, F.count("*").alias("n")).write.mode("append").option("maxRecordsPerFile", page).parquet(to)
+        counts.append(seen.get["n"])
+    return counts[0], counts[1]
+
+
+def csv(rows: DataFrame, path: str) -> None:
+    """A report for a spreadsheet: a header, ISO times, lists and structs as JSON."""
+    flat = [F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f.name) for f in rows.schema]
+    rows.select(*flat).write.mode("overwrite").option("header", True).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss").csv(path)
 
 
 def reload(spark: SparkSession, tables: dict[str, DataFrame], folder: str) -> dict[str, tuple[int, int]]:
@@ -42,9 +58,19 @@ def export(tables: dict[str, DataFrame], folder: str, private: set[str], null_ke
     return counts
 
 
-def subset(parents: DataFrame, key: str, n: int, children: dict[str, tuple[DataFrame, str]], preferred: Column | None = None) -> dict[str, DataFrame]:
-    """n parents, preferred ones first and then by key, with the child rows that point to them."""
-    order = [F.desc(F.coalesce(preferred, F.lit(False)))] if preferred is not None else []
+def subset(parents: DataFrame, key: str, n: int, children: dict[str, tuple[DataFrame, str]], preferred: list[Column] | None = None) -> dict[str, DataFrame]:
+    """n parents with the child rows that point to them: those of the first preference, then of the next, then fillers, each by key."""
+    order = [F.desc(F.coalesce(p, F.lit(False))) for p in preferred or []]
     kept = parents.orderBy(*order, key).limit(n)
     keys = kept.select(F.col(key).alias("_key"))
     return {"": kept} | {name: rows.join(keys, F.col(fk) == F.col("_key"), "left_semi") for name, (rows, fk) in children.items()}
+
+
+def following(rows: dict[str, DataFrame], links: list[tuple[str, str, str, str]]) -> dict[str, DataFrame]:
+    """Tables cut to what is referred to: each link (from table, its column, to table, its key) in turn keeps the rows of the one that the
+    other, as cut so far, points to."""
+    cut = dict(rows)
+    for source, column, target, key in links:
+        wanted = cut[source].select(F.col(column).alias("_key")).distinct()
+        cut[target] = cut[target].join(wanted, F.col(key) == F.col("_key"), "left_semi")
+    return cut
