@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from workloom.llm import decontaminate, langid, licenses, mixing, ngram_join, quality, secrets, sharding, token_counts, token_records
 from workloom.llm.queries import tokenizer_file
@@ -60,12 +65,40 @@ def operators(spark):
 
 
 ROWS = {"decontaminate": 2, "clean": 8, "secrets": 0}
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LICENSE_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+#: By operator: columns, and what they hold for a row of DOCS; other columns depend on other rows.
+VALUES = {
+    "sharding": (("doc_id", "size", "text_crc32", "law"), lambda i, t: (i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode()), "bytes")),
+    "join": (("doc_id", "n_shingles"), lambda i, t: (i, len({tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}) if (w := WORD.findall((t or "").lower())) else 0)),
+    "licenses": (("doc_id", "n_words", "n_base", "labels", "score"), lambda i, t: (i, len(LICENSE_WORD.findall(t or "")), 0, "", 0.0)),
+    "counts": (("doc_id", "n_words"), lambda i, t: (i, len(WORD.findall(t or "")))),
+    "quality": (("doc_id", "n_words", "word_chars"), lambda i, t: (i, len(w := WORD.findall(t or "")), sum(map(len, w)))),
+    "mixing": (("doc_id", "size", "source"), None),
+    "langid": (("doc_id", "held_out"), lambda i, t: (i, i is not None and zlib.crc32(str(i).encode()) % 4 == 2)),
+}
 
 
 @pytest.mark.parametrize("name", ["sharding", "decontaminate", "clean", "records", "join", "secrets", "langid", "quality", "licenses", "counts", "mixing"])
 def test_odd_rows_and_empty_tables(spark, docs, none, name):
     run = operators(spark)[name]
-    assert run(docs).count() == ROWS.get(name, len(DOCS))
+    found = run(docs).collect()
+    assert len(found) == ROWS.get(name, len(DOCS))
+    if name in VALUES:
+        columns, value = VALUES[name]
+        expected = [value(i, t) for i, t, *_ in DOCS] if value else [(i, len(WORD.findall(t or "")), s) for i, t, _, s in DOCS]
+        assert sorted((tuple(r[c] for c in columns) for r in found), key=str) == sorted(expected, key=str)
+    if name == "records":
+        plain = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+        ids = [(i, np.array([*plain.encode(t or "", add_special_tokens=False).ids, 2], "<u4")) for i, t, *_ in DOCS]
+        assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in found), key=str) == sorted(((i, len(x), zlib.crc32(x.tobytes())) for i, x in ids), key=str)
+        placed = sorted(found, key=lambda r: r.start)
+        assert [r.start for r in placed[1:]] == [r.start + r.n_tokens for r in placed[:-1]] and placed[0].start == 0
+        assert [r.doc_id for r in placed] == [None, None, 1, 1, 2, 3, 4, 5, 6, 7, 8]
+    if name == "decontaminate":
+        assert sorted(tuple(r) for r in found) == [(1, 1, 0), (8, 1, 0)]
+    if name == "clean":
+        assert sorted((r.doc_id, r.text) for r in found if r.doc_id)[:1] == [(5, LONG)] or {r.doc_id for r in found} == {2, 3, 4, 5, 6, 7, None}
     assert run(none).count() == 0
 
 
