@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from workloom.functions import rules, text
-from workloom.operators import upserts
+from workloom.operators import facets, upserts
 from workloom.plans import stages
 from workloom.plans.pack import Pack
 from workloom.plans.read_models import listed
@@ -213,3 +213,54 @@ def pools_written_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 def classified_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = rules.label(F.col("p_partkey") % 6, {0: "Data ", 1: "Cyber ", 2: "Helpdesk ", 3: "UX ", 4: "Software Engineer "}, "")
     return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), rules.role(F.concat(kind, "p_name")).alias("role"))
+
+
+_LEVELS = tuple(rules.EDUCATION_RANKS)
+
+
+@query(
+    "SELECT c_custkey AS person, coalesce(rank >= 4, false) AS certified, said IN ('1', 'true', 'yes', 'y', 'on') AS agreed FROM (SELECT c_custkey, "
+    "CASE WHEN c_custkey % 11 < 9 THEN c_custkey % 11 END AS rank, CASE c_custkey % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'true' WHEN 2 THEN 'no' WHEN 3 THEN '1' ELSE '' END AS said FROM customer)"
+)
+def certified_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a level of education is a certificate or more, false for unknown ones; what counts as yes."""
+    key = F.col("c_custkey")
+    level = F.coalesce(F.get(F.array(*map(F.lit, _LEVELS)), (key % 11).cast("int")), F.lit("Bootcamp"))
+    said = rules.label(key % 5, {0: "Yes", 1: " TRUE", 2: "no", 3: "1"}, "")
+    return _t(spark, sf_dir, "customer").select(key.alias("person"), rules.education_at_least(level, "Certificate").alias("certified"), rules.truthy(said).alias("agreed"))
+
+
+@query(
+    """
+    SELECT o_orderkey AS posting, CASE WHEN o_orderkey % 4 < 3 THEN CAST(o_orderkey % 90 + 30 AS DOUBLE) * 1000 END AS least, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderkey % 90 + 50 AS DOUBLE) * 1000 WHEN 3 THEN NULL ELSE CAST(o_orderkey % 90 + 30 AS DOUBLE) * 1000 END AS most,
+           CASE o_orderkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'GBP' END AS currency, CASE o_orderkey % 4 WHEN 0 THEN 'year' WHEN 1 THEN 'month' WHEN 2 THEN 'hour' END AS period FROM orders
+    """
+)
+def salaries_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Salaries given as text: least, most, currency and period."""
+    key = F.col("o_orderkey")
+    low, high = (key % 90 + 30).cast("string"), (key % 90 + 50).cast("string")
+    forms = {0: F.concat(F.lit("$"), low, F.lit("k - $"), high, F.lit(",000 per year")), 1: F.concat(F.lit("EUR "), low, F.lit(",000 monthly")), 2: F.concat(F.lit("£"), low, F.lit("000.00/hr"))}
+    said = rules.label(key % 4, forms, "competitive")
+    return _t(spark, sf_dir, "orders").select(key.alias("posting"), text.salary(said).alias("s")).select("posting", "s.*")
+
+
+@query("SELECT o_orderkey AS posting, CASE WHEN o_orderkey % 7 = 0 THEN true ELSE o_orderdate > TIMESTAMP '1998-01-01' END AS is_active FROM orders")
+def active_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not yet expired, or without an end."""
+    until = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate"))
+    return _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("posting"), facets.active(until, "1998-01-01").alias("is_active"))
+
+
+@query(
+    """
+    SELECT p_partkey AS id, round((complete + clear + dense + coherent) / 4, 6) AS quality FROM (
+      SELECT p_partkey, 0.5 + least(len(w) / 100.0, 1) / 2 AS complete, CASE WHEN len(w) BETWEEN 3 AND 40 THEN 1.0 ELSE 0.5 END AS clear,
+             (CAST(contains(lower(body), 'red') AS INTEGER) + CAST(contains(lower(body), 'ring') AS INTEGER)) / 2.0 AS dense, len(list_intersect(list_distinct(string_split(lower(p_name), ' ')), string_split(lower(body), ' '))) / CAST(len(list_distinct(string_split(lower(p_name), ' '))) AS DOUBLE) AS coherent
+      FROM (SELECT p_partkey, p_name, body, string_split(body, ' ') AS w FROM (SELECT p_partkey, p_name, 'We sell ' || CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_type END || ' of ' || p_brand AS body FROM part)))
+    """
+)
+def posting_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completeness, clarity, density of keywords and coherence of title and body, a quarter each."""
+    body = F.concat(F.lit("We sell "), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(F.col("p_type")), F.lit(" of "), "p_brand")
+    return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.round(rules.quality(F.col("p_name"), body, ("red", "ring")), 6).alias("quality"))
