@@ -94,7 +94,7 @@ def test_every_row_of_a_stage(spark, tmp_path, stage):
 
     clash = ("_row", "_gone", "_id", "_copy", "_letters", "_score", "_lang_pred", "_times", "size", "name", "_key", "n_chars")
     schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in clash)
-    text = lambda x, n=40: " ".join(f"the {x}{i} of" for i in range(n))
+    text = lambda x, n=40: " ".join(f"the {5 * x}{i} of" for i in range(n))
     base = [(1, text("a")), (2, text("b")), (2, text("c")), (2, text("c")), (None, text("d")), (None, text("e")), (3, None), (4, ""), (5, "12 34 56"), (6, text("f", 60_000)), (None, None)]
     docs = spark.createDataFrame([(i, t, "en", "src", *clash) for i, t in base], schema)
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
