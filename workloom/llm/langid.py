@@ -4,8 +4,8 @@ Features are counts of byte 1- to 4-grams of the whole text (A to Z lower-cased)
 roots scaled to length one. Linear support vector machines (squared hinge loss, L2) separate families one against the rest,
 and each pair of languages of a family one against the other; most votes win, ties go to the larger sum of margins.
 
-Training reads a bounded sample of labelled rows: of each language the ``SAMPLE`` least by a hash of doc_id and text, fewer if
-there are so many languages that all together would be more than ``MOST_ROWS``, but ``LEAST_SAMPLE`` of each at least. Alike
+Training reads a bounded sample of labelled rows: of each language about ``SAMPLE``, drawn by a hash of doc_id and text, fewer if
+there are so many languages that all together would be more than ``MOST_ROWS``, but about ``LEAST_SAMPLE`` of each at least. Alike
 rows are drawn once. Every language is learned. Prediction covers every row in full, and uses the text alone.
 
 Defined results
@@ -22,7 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from workloom.llm.runtime import materialize, returning_memory, small_batches
 
@@ -141,16 +141,16 @@ def train(labelled: DataFrame) -> Model | None:
     small_batches(labelled.sparkSession)
     usable = labelled.filter("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
     drawn = usable.select("text", "lang", F.xxhash64("doc_id", "text", F.lit(6)).alias("draw"))
-    distinct = drawn.groupBy("lang", "draw").agg(F.lit(1))
-    languages = distinct.select("lang").distinct().count()
+    counts = materialize(drawn.select("lang", "draw").distinct().groupBy("lang").count())  # one row for each language
+    languages = counts.count()
     if not languages:
         return None
     most = max(LEAST_SAMPLE, min(SAMPLE, MOST_ROWS // languages))
-    # Spark keeps the first rows of each language in a task before it shuffles
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
-    last = distinct.select("lang", "draw", place.alias("_place")).filter(F.col("_place") <= most).groupBy("lang").agg(F.max("draw").alias("_last"))
-    last = materialize(last.withColumnRenamed("lang", "_lang"))  # one row for each language
-    few = drawn.join(F.broadcast(last), (F.col("lang") == F.col("_lang")) & (F.col("draw") <= F.col("_last"))).select("text", "lang", "draw")
+    # draws are spread evenly over all 64-bit numbers: about so many of a language lie below this one, and hardly ever fewer than most
+    aim = most + 3 * most**0.5 + 5
+    below = (F.lit(aim) / F.col("count") * float(1 << 64) - float(1 << 63)).cast("long")
+    cut = counts.select(F.col("lang").alias("_lang"), F.when(F.col("count") > aim, below).otherwise(F.lit((1 << 63) - 1)).alias("_cut"))
+    few = drawn.join(F.broadcast(cut), (F.col("lang") == F.col("_lang")) & (F.col("draw") <= F.col("_cut"))).select("text", "lang", "draw")
     # rows that are alike have one draw: tasks drop all but one of their own before they shuffle
     once = few.groupBy("lang", "draw").agg(F.min("text").alias("text"))
     kept = once.select("text", "lang", "draw").mapInArrow(_sampled, "lang string, draw long, x binary").toArrow().to_pylist()
