@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from workloom.llm import decontaminate, langid, licenses, mixing, ngram_join, quality, secrets, sharding, token_counts, token_records
+from workloom.llm import decontaminate, divergence, langid, licenses, mixing, ngram_join, quality, secrets, sharding, spelling, token_counts, token_records, warc
 from workloom.llm.runtime import documents, table
 
 
@@ -70,9 +70,29 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mixing.label_weights(table(spark, sf_dir, "labels"))).drop("source")
 
 
+def op11_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: run for name, run in globals().items() if name.startswith("op") and callable(run)}
 
 
 def oracles() -> dict[str, str]:
-    return {"op4_token_group_join": ngram_join.ORACLE_SQL, "op7_quality_rules": quality.ORACLE_SQL, "op8_license_diagonals": licenses.ORACLE_SQL, "op10_source_mix": mixing.oracle_sql()}
+    return {
+        "op4_token_group_join": ngram_join.ORACLE_SQL,
+        "op7_quality_rules": quality.ORACLE_SQL,
+        "op8_license_diagonals": licenses.ORACLE_SQL,
+        "op10_source_mix": mixing.oracle_sql(),
+        "op11_content_addressed_warc": warc.ORACLE_SQL,
+        "op12_spelling_variants": spelling.ORACLE_SQL,
+        "op13_source_divergence": divergence.ORACLE_SQL,
+    }
