@@ -3,8 +3,13 @@
 A stated set of vectors (the terms of a query, the skills of a job) is held against all rows, in blocks: each side is packed into
 matrices of at most ``BLOCK`` vectors of length one where it is read, every block of the one meets every block of the other, and a
 product of two matrices is reduced at once (to the best k of each term, to the best of each person, to what is near), so pairs are
-never rows. Spark chooses by size whether the blocks of one side are broadcast. Similarities are rounded to 12 places, as the two
-sides of a pair may sum in another order.
+never rows. Blocks are written once and then read by whatever meets them; if one side is a block at most, by count, it is broadcast instead.
+Near duplicates and nearest neighbours among very many vectors are a matter of ``cells``, which opens only blocks that can qualify.
+Similarities are rounded to 12 places, as the two sides of a pair may sum in another order.
+
+Defined results
+    Vectors that are null, empty or zero, or hold a null or what isn't a number, are left out. Vectors of different lengths have no similarity:
+    a block holds vectors of one length, and blocks of different lengths give no rows. Ties go to the smaller key.
 """
 
 from __future__ import annotations
@@ -15,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from workloom.sources.scratch import written
+
 #: Vectors of a block: 2,000 of 1,536 doubles are 25 MB, and a product of two blocks 32 MB.
 BLOCK = 2000
 
@@ -27,19 +34,18 @@ def _packed(rows: DataFrame, vector: str, side: str) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(start, BLOCK)
-                part = part.filter(part.column(vector).is_valid())
-                if not part.num_rows:
-                    continue
-                v = part.column(vector)
-                matrix = v.flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                norms = np.linalg.norm(matrix, axis=1)
-                some = norms > 0
-                if not some.any():
-                    continue
-                kept = part.filter(pa.array(some))
-                unit = matrix[some] / norms[some, None]
-                lists = [pa.ListArray.from_arrays([0, kept.num_rows], kept.column(c)) for c in others]
-                yield pa.RecordBatch.from_arrays([*lists, pa.array([unit.tobytes()], pa.binary())], [*(f"{side}_{c}" for c in others), f"{side}_matrix"])
+                sizes = np.array([len(x) if x.is_valid else 0 for x in part.column(vector)])
+                for size in np.unique(sizes[sizes > 0]):
+                    same = part.filter(pa.array(sizes == size))
+                    matrix = same.column(vector).flatten().to_numpy(zero_copy_only=False).reshape(same.num_rows, size)
+                    norms = np.linalg.norm(matrix, axis=1)
+                    some = (norms > 0) & np.isfinite(norms)
+                    if not some.any():
+                        continue
+                    kept = same.filter(pa.array(some))
+                    unit = matrix[some] / norms[some, None]
+                    lists = [pa.ListArray.from_arrays([0, kept.num_rows], kept.column(c)) for c in others]
+                    yield pa.RecordBatch.from_arrays([*lists, pa.array([unit.tobytes()], pa.binary())], [*(f"{side}_{c}" for c in others), f"{side}_matrix"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([*(f"`{side}_{c}` array<{kinds[c]}>" for c in others), f"{side}_matrix binary"])
@@ -56,10 +62,13 @@ def _compared(terms: DataFrame, rows: DataFrame, reduce: Callable, schema: str)
                 lists = {name: x.values for name, x in of.items() if not name.endswith("_matrix")}
                 n, m = len(next(v for k, v in lists.items() if k.startswith("r_"))), len(next(v for k, v in lists.items() if k.startswith("t_")))
                 r, t = (np.frombuffer(of[f"{s}_matrix"].as_buffer()).reshape(k, -1) for s, k in (("r", n), ("t", m)))
-                yield reduce(np.round(r @ t.T, 12), lists)
+                if r.shape[1] == t.shape[1]:
+                    yield reduce(np.round(r @ t.T, 12), lists)
 
     # the one place where blocks, not rows, meet without a key
-    return rows.crossJoin(terms).mapInArrow(compare, schema)
+    if (terms.agg(F.sum(F.size(terms.columns[0]))).first()[0] or 0) <= BLOCK:
+        return rows.crossJoin(F.broadcast(terms)).mapInArrow(compare, schema)
+    return written(rows).crossJoin(written(terms)).mapInArrow(compare, schema)
 
 
 def _ranks(keys: pa.Array) -> np.ndarray:

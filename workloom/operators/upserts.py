@@ -58,10 +58,16 @@ def delete_cascading(tables: dict[str, tuple[DataFrame, str]], keys_of: DataFram
     return {name: rows.join(gone, F.col(column) == F.col("_gone"), "left_anti") for name, (rows, column) in tables.items()}
 
 
-def sync_missing(target: DataFrame, source: DataFrame, parent: str, keys: list[str]) -> DataFrame:
-    """Of the parents that the source names: children it lacks go, those it has are updated or added; other parents keep theirs."""
-    named = source.select(parent).distinct()
-    kept = target.join(named, parent, "left_anti").unionByName(target.join(source.select(parent, *keys), [parent, *keys], "left_semi"))
+def sync_missing(target: DataFrame, source: DataFrame, parent: str, keys: list[str], parents: DataFrame | None = None) -> DataFrame:
+    """Of the parents that are synced: children that the source lacks go, those it has are updated or added; other parents keep theirs.
+
+    parents: those that are synced, in a column of the same name. A parent whose new list is empty is in there alone, and loses all its
+    children; without ``parents`` only those count that the source names.
+    """
+    named = source.select(parent)
+    if parents is not None:
+        named = named.unionByName(parents.select(F.col(parent).cast(source.schema[parent].dataType).alias(parent)))
+    kept = target.join(named.distinct(), parent, "left_anti").unionByName(target.join(source.select(parent, *keys), [parent, *keys], "left_semi"))
     return upsert(kept, source, [parent, *keys])
 
 
@@ -84,9 +90,10 @@ def found_or_created(wanted: DataFrame, known: DataFrame, keys: list[str], id_co
     return wanted.join(ids, keys, "left").withColumns({id_column: F.coalesce("_id", new_id), "created": F.col("_id").isNull()}).drop("_id")
 
 
-def sync(target: DataFrame, source: DataFrame, parent: str) -> DataFrame:
-    """The children of every parent that the source names become those of the source; other parents keep theirs."""
-    return target.join(source.select(parent).distinct(), parent, "left_anti").unionByName(source)
+def sync(target: DataFrame, source: DataFrame, parent: str, parents: DataFrame | None = None) -> DataFrame:
+    """The children of every parent that is synced become those of the source; other parents keep theirs. parents: as in ``sync_missing``."""
+    named = source.select(parent) if parents is None else source.select(parent).unionByName(parents.select(F.col(parent).cast(source.schema[parent].dataType).alias(parent)))
+    return target.join(named.distinct(), parent, "left_anti").unionByName(source)
 
 
 def orphans(children: DataFrame, parents: DataFrame, key: str, parent_key: str) -> DataFrame:

@@ -1,23 +1,35 @@
 """A staged posting pipeline: each stage is a frame to a frame, a failing record leaves it for the quarantine, and every record leaves a
-log entry at every stage it reached."""
+log entry at every stage it reached.
+
+A stage is made of expressions, or of a function on batches of records. The function may raise: a record that makes it raise, or that it gives
+no answer for, stops there with the error's type, and no other record notices. Expressions are to be of the kind that can't raise (``try_divide``,
+``try_cast`` and so on), as Spark ends the job for one that does."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 
 @dataclass(frozen=True)
 class Stage:
-    """run: columns to add. fails: an error type where a record stops here, null elsewhere. phase2: may be skipped."""
+    """run: columns to add. fails: an error type where a record stops here, null elsewhere. phase2: may be skipped.
+
+    each: instead of run, a function from a batch of records to a frame with the columns of ``adds`` (a schema), a row for each record, in the
+    order of their index; a record whose row is missing has no answer.
+    """
 
     name: str
     run: Callable[[DataFrame], DataFrame] = lambda rows: rows
     fails: Column | None = None
     phase2: bool = False
     healthy: bool = True
+    each: Callable[[pd.DataFrame], pd.DataFrame] | None = None
+    adds: str = ""
 
 
 @dataclass(frozen=True)
@@ -55,6 +67,43 @@ def check(stages: list[Stage]) -> list[str]:
     return [s.name for s in stages if not s.healthy]
 
 
+def _answers(each: Callable[[pd.DataFrame], pd.DataFrame], records: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, pd.Series]]:
+    """What a function gives for records, and the error of each that has none. A batch that raises is halved until the record that does is alone,
+    so that f failing ones of n cost f * log2(n) further calls."""
+    if not len(records):
+        return
+    try:
+        found = each(records)
+    except Exception as error:  # noqa: BLE001  of whatever kind, it is this record's alone
+        if len(records) > 1:
+            half = len(records) // 2
+            yield from _answers(each, records.iloc[:half])
+            yield from _answers(each, records.iloc[half:])
+        else:
+            yield pd.DataFrame(index=records.index), pd.Series(type(error).__name__, index=records.index)
+        return
+    found = pd.DataFrame() if found is None else found[~found.index.duplicated()]
+    yield found.reindex(records.index), pd.Series(None, index=records.index, dtype=object).mask(~records.index.isin(found.index), "no answer")
+
+
+def isolated(rows: DataFrame, each: Callable[[pd.DataFrame], pd.DataFrame], adds: str) -> DataFrame:
+    """Rows with the columns that ``each`` adds, and ``stage_error``: the type of the error that a record made it raise, or 'no answer'; null
+    columns where there is an error. Records that failed before (``failed_at``) are not shown to it."""
+    new = StructType.fromDDL(adds).names
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch.reset_index(drop=True)
+            live = batch[batch["failed_at"].isna()] if "failed_at" in batch else batch
+            parts = list(_answers(each, live.copy()))
+            found = pd.concat([f for f, _ in parts]).reindex(batch.index) if parts else pd.DataFrame(index=batch.index)
+            errors = pd.concat([e for _, e in parts]).reindex(batch.index) if parts else pd.Series(None, index=batch.index, dtype=object)
+            yield batch.assign(**{c: found[c] if c in found else None for c in new}, stage_error=errors)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInPandas(answer, f"{kinds}, {adds}, stage_error string")
+
+
 def run(records: DataFrame, key: str, stages: list[Stage], folder: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Finished records, quarantined ones (with ``failed_at`` and ``error_type``), and the log: correlation_id, stage, place, outcome.
 
@@ -66,6 +115,12 @@ def run(records: DataFrame, key: str, stages: list[Stage], folder: str | None =
     for stage in stages:
         if stage.name in skipped:
             continue
+        if stage.each is not None:
+            answered = isolated(rows, stage.each, stage.adds)
+            fails = F.coalesce(F.col("stage_error"), stage.fails) if stage.fails is not None else F.col("stage_error")
+            now = F.col("failed_at").isNull() & fails.isNotNull()
+            rows = answered.withColumns({"error_type": F.when(now, fails).otherwise(F.col("error_type")), "failed_at": F.when(now, F.lit(stage.name)).otherwise(F.col("failed_at"))}).drop("stage_error")
+            continue
         try:
             after, fails = stage.run(rows), stage.fails
             after.schema  # noqa: B018  a stage that names unknown columns fails here
