@@ -25,8 +25,10 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from operator import itemgetter
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -38,6 +40,8 @@ LEAST, TOP = 30, 50
 WHOLE = 2_000_000
 #: Different terms (or terms of groups) that a task counts before it hands its sums on.
 HELD = 400_000
+#: Languages whose sums may be broadcast.
+LANGUAGES = 200_000
 #: Slices that the sources of a language are dealt to when they meet.
 SLICES = 16
 #: Bytes of UTF-8: A to Z become small, the rest of ASCII but a to z are delimiters, all else stays.
@@ -68,14 +72,15 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _rows(found: dict[tuple, Counter]) -> Iterator[pa.RecordBatch]:
     for (block, lang), counts in found.items():
         n = len(counts)
-        terms = pa.array([t.decode() for t in counts], pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array([lang] * n, pa.string()), terms, pa.array(counts.values(), pa.int64())], ["block", "lang", "term", "n"])
+        terms = pa.array(list(map(bytes.decode, counts)), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(block, pa.int64()), n), pa.repeat(lang, n), terms, pa.array(counts.values(), pa.int64())], ["block", "lang", "term", "n"])
 
 
-def _automaton(terms: list[str]) -> ahocorasick.Automaton | None:
+def _automaton(terms: list[tuple[str, int]]) -> ahocorasick.Automaton | None:
+    """Finds terms between delimiters and gives their numbers."""
     made = ahocorasick.Automaton()
-    for i, term in enumerate(terms):
-        made.add_word(f" {term} ", i)
+    for term, number in terms:
+        made.add_word(f" {term} ", number)
     if not terms:
         return None
     made.make_automaton()
@@ -83,41 +88,42 @@ def _automaton(terms: list[str]) -> ahocorasick.Automaton | None:
 
 
 class _Recount:
-    """Occurrences of kept terms by language and source."""
+    """Occurrences of kept terms by source; a term's number tells its language."""
 
     def __init__(self) -> None:
-        self.terms: dict[str, list[str]] = {}
+        self.terms: dict[str, list[tuple[str, int]]] = {}
         self.made: dict[str, ahocorasick.Automaton | None] = {}
-        self.counts: dict[tuple, Counter] = defaultdict(Counter)
+        self.counts: dict[str, Counter] = defaultdict(Counter)
 
-    def keep(self, terms: dict[str, list[str]]) -> None:
+    def keep(self, terms: dict[str, list[tuple[str, int]]]) -> None:
         self.terms, self.made = terms, {}
 
     def read(self, lang: str, source: str, text: pa.StringScalar) -> None:
         if lang not in self.made:
             self.made[lang] = _automaton(self.terms.get(lang, []))
         if (machine := self.made[lang]) is not None:
-            self.counts[lang, source].update(value for _, value in machine.iter(f" {_normal(text).decode()} "))
+            self.counts[source].update(map(_NUMBER, machine.iter(f" {_normal(text).decode()} ")))
 
     def full(self) -> bool:
         return sum(map(len, self.counts.values())) > HELD
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        for (lang, source), counts in self.counts.items():
-            known, n = self.terms[lang], len(counts)
-            terms = pa.array([known[i] for i in counts], pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), terms, pa.array(counts.values(), pa.int64())], ["lang", "source", "term", "n"])
+        for source, counts in self.counts.items():
+            n = len(counts)
+            ids, sums = np.fromiter(counts, np.int64, n), np.fromiter(counts.values(), np.int64, n)
+            yield pa.RecordBatch.from_arrays([pa.repeat(source, n), pa.array(ids), pa.array(sums)], ["source", "id", "n"])
         self.counts.clear()
 
 
-_COUNTED = "lang string, source string, term string, n long"
+_NUMBER = itemgetter(1)  # of a match: where it ends, and the term's number
+_COUNTED = "source string, id long, n long"
 
 
 def _recounted_whole(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """Texts where they are, with all kept terms, whose characters the caller has counted."""
-    terms: dict[str, list[str]] = defaultdict(list)
-    for row in kept.select("lang", "term").toLocalIterator():
-        terms[row.lang].append(row.term)
+    terms: dict[str, list[tuple[str, int]]] = defaultdict(list)
+    for row in kept.toLocalIterator():
+        terms[row.lang].append((row.term, row.id))
     shared = docs.sparkSession.sparkContext.broadcast(dict(terms))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,20 +143,19 @@ def _recounted_in_blocks(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """Texts in blocks, each after the kept terms that it holds."""
     blocks = materialize(docs.withColumn("block", F.spark_partition_id().cast("long")))
     own = blocks.select("block", "lang", "text").mapInArrow(_terms, "block long, lang string, term string, n long").select("block", "lang", "term").distinct()
-    own = own.join(kept.select("lang", "term"), ["lang", "term"])
-    rows = own.select("block", "lang", F.lit(None).cast("string").alias("source"), F.col("term").alias("text"), F.lit(True).alias("is_term")).unionByName(blocks.withColumn("is_term", F.lit(False)))
-    ordered = rows.repartition("block").sortWithinPartitions("block", F.desc("is_term"))
+    own = own.join(kept, ["lang", "term"])
+    rows = own.select("block", "lang", F.lit(None).cast("string").alias("source"), F.col("term").alias("text"), "id").unionByName(blocks.withColumn("id", F.lit(None).cast("long")))
+    ordered = rows.repartition("block").sortWithinPartitions("block", F.col("id").isNull())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, at, begun, terms = _Recount(), None, True, defaultdict(list)
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("block", "lang", "source", "is_term")]
-            for block, lang, source, is_term, text in zip(*columns, batch.column("text"), strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("block", "lang", "source", "id")]
+            for block, lang, source, number, text in zip(*columns, batch.column("text"), strict=True):
                 if block != at:
-                    yield from found.rows()
                     at, begun, terms = block, False, defaultdict(list)
-                if is_term:
-                    terms[lang].append(text.as_py())
+                if number is not None:
+                    terms[lang].append((text.as_py(), number))
                     continue
                 if not begun:
                     found.keep(terms)
@@ -163,6 +168,12 @@ def _recounted_in_blocks(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return ordered.mapInArrow(returning_memory(count), _COUNTED)
 
 
+def _by_language(rows: DataFrame) -> DataFrame:
+    """A table with a row for each language, written, and broadcast if it has few."""
+    rows = materialize(rows)
+    return F.broadcast(rows) if rows.count() <= LANGUAGES else rows
+
+
 def _share(count: Column, total: Column) -> Column:
     """1 + floor(10^9 * count / total) in whole numbers: long division in two steps, so that no product overflows."""
     high = count * 100_000
@@ -178,18 +189,19 @@ def divergence(docs: DataFrame, least: int = LEAST, top: int = TOP, whole: int =
     small_batches(docs.sparkSession)
     docs = _documents(docs)
     first = docs.select(F.lit(0).cast("long").alias("block"), "lang", "text").mapInArrow(returning_memory(_terms), "block long, lang string, term string, n long")
-    kept = materialize(first.groupBy("lang", "term").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("lang", "term"))
+    known = first.groupBy("lang", "term").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    kept = materialize(known.select("lang", "term", F.monotonically_increasing_id().alias("id")))  # written, so the numbers stay
     size = kept.agg(F.coalesce(F.sum(F.length("term")), F.lit(0))).first()[0]
     counted = _recounted_whole(docs, kept) if size <= whole else _recounted_in_blocks(docs, kept)
-    posts = materialize(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")))
+    posts = materialize(counted.groupBy("source", "id").agg(F.sum("n").alias("n")).join(kept, "id").select("lang", "source", "term", "n"))
 
-    kinds = kept.groupBy("lang").agg(F.count("*").alias("v"))
+    kinds = _by_language(kept.groupBy("lang").agg(F.count("*").alias("v")))
     seen = docs.select("lang", "source").distinct().join(posts.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left")
     groups = seen.join(kinds, "lang", "left").select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("v", F.lit(0)).alias("v"))
     groups = materialize(groups.withColumn("p0", F.when(F.col("v") > 0, _p(F.lit(0).cast("long"), F.col("total"), F.col("v"))).otherwise(0)))
     shares = posts.join(groups.drop("p0"), ["lang", "source"]).select("lang", "source", "term", "n", "v", _p(F.col("n"), F.col("total"), F.col("v")).alias("p"))
     shares = materialize(shares)
-    return _pairs(shares, groups).unionByName(_favoured(shares, top))
+    return _pairs(shares, groups).unionByName(_favoured(shares, groups, top))
 
 
 def _pairs(shares: DataFrame, groups: DataFrame) -> DataFrame:
@@ -223,12 +235,12 @@ def _order() -> Window:
     return Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
 
 
-def _favoured(shares: DataFrame, top: int) -> DataFrame:
+def _favoured(shares: DataFrame, groups: DataFrame, top: int) -> DataFrame:
     """The terms that a source gives a larger share than its language does; ranks to ``top``."""
-    terms = shares.groupBy("lang", "term").agg(F.sum("n").alias("all"))
-    totals = shares.groupBy("lang").agg(F.sum("n").alias("_total"))
-    known = shares.join(terms, ["lang", "term"]).join(totals, "lang").withColumn("q", _p(F.col("all"), F.col("_total"), F.col("v")))
-    more = known.filter("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
+    totals = _by_language(groups.groupBy("lang").agg(F.sum("total").alias("_total"), F.max("v").alias("_v")))
+    whole = shares.groupBy("lang", "term").agg(F.sum("n").alias("all")).join(totals, "lang")
+    q = whole.select("lang", "term", _p(F.col("all"), F.col("_total"), F.col("_v")).alias("q"))
+    more = shares.join(q, ["lang", "term"]).filter("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     return more.withColumn("rank", F.row_number().over(_order())).filter(F.col("rank") <= top)
 
 
