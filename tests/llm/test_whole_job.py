@@ -114,3 +114,35 @@ def test_every_row_of_a_stage(spark, tmp_path, stage):
     if stage != "sharding":
         assert found.columns == docs.columns and all(tuple(r)[4:] == clash for r in found.collect())
     assert run(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_survivors_follow_from_the_table(spark, tmp_path):
+    """Rows alike in doc_id and text but not in the rest, in another order each time; copies without a doc_id; maps that can't be compared."""
+    import corpus_pipeline as pipeline
+
+    text = lambda x: " ".join(f"{x}{i}" for i in range(30))
+    rows = [(7, text("a"), "en", "b"), (7, text("a"), "de", "a"), (7, text("a"), None, "a"), (None, text("d"), "en", "z"), (None, text("d"), "en", "y"), (None, text("d") + " more", "en", "x"), (9, text("d") + " more", "en", "w"), (None, " ", "en", "q"), (None, None, "en", "q")]
+    docs = spark.createDataFrame([(*r, {"k": i}) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, extra map<string,int>")
+    expected = {(7, None, "a"), (9, "en", "w"), (None, "en", "q")}
+    for seed in (1, 2):
+        found = pipeline.near_duplicates(spark, docs.orderBy(F.rand(seed)), str(tmp_path)).collect()
+        assert {(r.doc_id, r.lang, r.source) for r in found} == expected and len(found) == 4
+
+
+def test_a_row_taken_very_often_is_made_by_many_tasks(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as pipeline
+
+    monkeypatch.setattr(pipeline, "REPEATS", 4)
+    docs = spark.createDataFrame([(1, "alike words here", "en", "x")] * 23 + [(2, "other words", "en", "x")], "doc_id long, text string, lang string, source string")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    mixed = pipeline.source_mix(spark, docs, str(tmp_path))
+    assert Counter(r.doc_id for r in mixed.collect()) == {1: 23, 2: 1} and mixed.columns == docs.columns
+
+
+def test_source_mix_parts_words_as_the_contract_says(spark):
+    odd = ["a\x0bb\x0cc\rd", "a\tb\nc d", "\x1fa\x1cb", " a b", " \r ", "x\x85y", None, ""]
+    docs = spark.createDataFrame([(i, t, f"s{i % 3}") for i, t in enumerate(odd * 3)], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    found = mixing.mix(docs, mixing.label_weights(labels)).drop("source")
+    same_rows(found.withColumn("target", F.round("target", 6)), f"SELECT * REPLACE (round(target, 6) AS target) FROM ({mixing.oracle_sql()})", documents=docs, labels=labels)
+    assert {r.size for r in found.filter("doc_id = 0").collect()} == {4}

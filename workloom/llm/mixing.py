@@ -125,7 +125,7 @@ def oracle_sql(seed: int = 10, most: int = 3) -> str:
     """DuckDB SQL for the query's rows: one window over each source where the operator has buckets."""
     return rf"""
 WITH l AS (SELECT doc_id, max(quality) AS q FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
-d AS (SELECT documents.doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '')) AS size, md5(text) AS digest,
+d AS (SELECT documents.doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size, md5(text) AS digest,
              CASE WHEN q IS NULL THEN 1.0 WHEN q > 0 THEN {GOOD} ELSE {BAD} END::DOUBLE AS weight FROM documents LEFT JOIN l ON l.doc_id = documents.doc_id),
 c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, digest) - 1 AS copy FROM d),
 u AS (SELECT *, (CAST('0x' || substr(md5(concat_ws('|', '{seed}', coalesce(CAST(doc_id AS VARCHAR), 'null'), coalesce(digest, 'null'), CAST(copy AS VARCHAR))), 1, 12) AS BIGINT) + 0.5::DOUBLE) / (1::BIGINT << 48) AS unit FROM c),
