@@ -505,14 +505,15 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     often = materialize(scanned.filter("kind = 1").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT))
     late = often.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow().column(0).to_numpy()
     frequent = spark.sparkContext.broadcast(np.sort(late.astype(np.int64).view(np.uint64)))
-    hot = materialize(_hot_parts(often))  # at most one for HOT_ROWS rows that were counted
+    hot = materialize(_hot_parts(often))  # one for HOT_ROWS rows that were counted, at most; beyond a number that is counted they are joined by a shuffle
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot
     classes = materialize(
         sizes.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
     )
     total = sizes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0] * (100 - percent) // 100
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // TASK_ROWS)
     row = "token long, name long, n long, place long"
-    matrix = _dealt(known.mapInArrow(returning_memory(_prefixes(k, percent, frequent)), row), F.broadcast(hot))
+    matrix = _dealt(known.mapInArrow(returning_memory(_prefixes(k, percent, frequent)), row), hot)
     matrix = matrix.select(*_ROW, F.coalesce(F.col("_mine") + 1, F.lit(0)).cast("long").alias("part"))
     met = materialize(matrix.repartition(tasks, "token", "part").mapInArrow(returning_memory(_meet(percent)), f"kind long, {row}"))
     links = _verified(known, classes, met, k, percent)
@@ -521,7 +522,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     by_group = materialize(by_group.select(*_ROW, F.coalesce("component", "doc_id").alias("group")))
     # tokens of one group alone have nothing left to compare
     several = by_group.groupBy("token").agg(F.min("group").alias("_a"), F.max("group").alias("_b")).filter("_a <> _b").select("token")
-    left = _dealt(by_group.join(several, "token", "left_semi"), F.broadcast(hot))
+    left = _dealt(by_group.join(several, "token", "left_semi"), hot)
     other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
     mine = F.coalesce("_mine", F.lit(0))
     meeting = left.select(*_ROW, "group", mine.alias("_mine"), other.alias("_other"))

@@ -11,7 +11,7 @@ whole numbers, so that sums are exact. A character that no piece covers is writt
 
 Defined results
     null text, or no words: n_words 0, n_tokens 0. null doc_id: carried through. Repeated rows: counted each. Empty table: no
-    rows. Very long words: scored like any other, in proportion to their length. Other columns of the input, whatever their
+    rows. Very long words: scored like any other, in proportion to their length. Ties: of equal scores the fewer pieces, so none is left in a count. Other columns of the input, whatever their
     names, are not read and not returned.
 """
 
@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from workloom.llm.runtime import small_batches
+
 #: Pre-tokens whose counts a Python worker holds before it starts anew.
 CACHE = 500_000
 MARK = "▁"
@@ -116,5 +118,6 @@ def _counter(path: str):
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_words, n_tokens; path: a vocabulary file that executors can read."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(_counter(path), "doc_id long, n_words long, n_tokens long")
