@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from workloom.llm import decontaminate, langid, mixing, ngram_join, sharding
 from workloom.llm.runtime import materialize, table
@@ -23,6 +23,8 @@ from workloom.llm.runtime import materialize, table
 LEAST_SCORE = 0.2
 #: Rows of a table that may be broadcast when the rows to keep are chosen; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Times that one task repeats a row.
+REPEATS = 1000
 #: What the stages read by name; other columns are carried under names that nothing else has.
 READ = ("doc_id", "text", "lang", "source")
 
@@ -51,28 +53,34 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.filter((F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
 
 
+def _ordered(docs: DataFrame) -> Column:
+    """What orders rows by all their columns; maps and variants by their text."""
+    return F.struct(*[F.to_json(c) if kind.startswith("map<") else F.col(c).cast("string") if "variant" in kind else F.col(c) for c, kind in docs.dtypes])
+
+
 @_carrying
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the smallest doc_id. Copies of its row go too.
+    """One document of each group of near duplicates stays: the smallest doc_id; one without a doc_id only if the group has no other.
 
-    A document is a doc_id with a text, so that texts that share a doc_id are judged each on its own. Rows without a doc_id all
-    stay, as nothing tells which of them is first, and no other row goes because of them.
+    A document is a doc_id with a text, so that texts that share a doc_id are judged each on its own. Of rows that share both, the
+    smallest by all columns stays. Rows without a doc_id are told apart by their text; those that have no word either all stay.
     """
-    keyed = docs.withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    by_text = F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(F.lit("no doc_id"), "text"))
+    keyed = docs.withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")).otherwise(by_text))
     known = keyed.filter("_row IS NOT NULL")
     found = ngram_join.jaccard_join(known.select(F.col("_row").alias("doc_id"), "text"))
     linked = found.filter("component_id <> doc_id").select("component_id", F.col("doc_id").alias("_gone"))
     linked = materialize(linked.unionByName(linked.select("component_id", F.col("component_id").alias("_gone"))).distinct())
     small = linked.count() <= BROADCAST_ROWS
     members = known.select("doc_id", "_row").join(F.broadcast(linked) if small else linked, F.col("_row") == F.col("_gone"))
-    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("_gone"))
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_last"), "doc_id", "_row"))["_row"].alias("_gone"))
     gone = materialize(linked.select("_gone").join(first.select("_gone"), "_gone", "left_anti"))
     kept = keyed.join(F.broadcast(gone) if small else gone, F.col("_row") == F.col("_gone"), "left_anti")
     again = materialize(kept.groupBy("_row").count().filter("count > 1 AND _row IS NOT NULL").select("_row"))
     if again.limit(1).count():
-        repeated = kept.join(again, "_row", "left_semi").dropDuplicates(["_row"])
-        kept = kept.join(again, "_row", "left_anti").unionByName(repeated)
-    return kept.drop("_row")
+        repeated = kept.join(again, "_row", "left_semi").groupBy("_row").agg(F.min_by(F.struct(*docs.columns), _ordered(docs)).alias("_first"))
+        kept = kept.join(again, "_row", "left_anti").unionByName(repeated.select(*[F.col("_first")[c].alias(c) for c in docs.columns], "_row"))
+    return kept.select(*docs.columns)
 
 
 @_carrying
@@ -96,8 +104,14 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small = times.count() <= BROADCAST_ROWS
     both = keyed.join(F.broadcast(times) if small else times, [*row])
     if times.filter("_alike > 1").limit(1).count():
-        both = both.filter("_alike = 1").unionByName(both.filter("_alike > 1").dropDuplicates([*row]))
-    return both.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
+        first = both.filter("_alike > 1").groupBy(*row).agg(F.min_by(F.struct(*docs.columns, "_times"), _ordered(docs)).alias("_first"))
+        both = both.filter("_alike = 1").select(*docs.columns, *row, "_times").unionByName(first.select("_first.*", *row))
+    blocks = both.withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_times") - 1) / REPEATS).cast("int"))))
+    if times.filter(F.col("_times") > REPEATS).limit(1).count():  # very many of one row are made by many tasks
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        blocks = blocks.filter(F.col("_times") <= REPEATS).unionByName(blocks.filter(F.col("_times") > REPEATS).repartition(parts, *row, "_block"))
+    each = F.array_repeat(F.lit(1), F.least(F.lit(REPEATS), F.col("_times") - F.col("_block") * REPEATS))
+    return blocks.select(*docs.columns, F.explode(each).alias("_copy")).drop("_copy")
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
