@@ -49,6 +49,7 @@ def skills_csv(spark: SparkSession, path: str, subcategories: DataFrame) -> tupl
 TYPES = {
     "uniqueidentifier": "string", "varchar": "string", "nvarchar": "string", "char": "string", "nchar": "string", "text": "string", "ntext": "string",
     "bit": "boolean", "tinyint": "smallint", "smallint": "smallint", "int": "int", "bigint": "bigint", "float": "double", "real": "float",
+    "integer": "int", "double": "double", "double precision": "double", "boolean": "boolean", "clob": "string", "blob": "binary", "timestamp": "timestamp",
     "datetime": "timestamp", "datetime2": "timestamp", "datetimeoffset": "timestamp", "date": "date", "vector": "array<float>", "varbinary": "binary",
 }
 
