@@ -172,21 +172,22 @@ def skill_scores(skills: DataFrame, seekers: DataFrame, k: int = 10) -> DataFram
     return whole.orderBy(F.desc("score"), "seeker").limit(k)
 
 
-def cascade(rows: DataFrame, taxonomy: DataFrame, norm: Callable[[Column], Column], least: float = 0.92) -> DataFrame:
+def cascade(rows: DataFrame, taxonomy: DataFrame | Taxonomy, norm: Callable[[Column], Column] | None = None, least: float = 0.92) -> DataFrame:
     """Maps names to a taxonomy: by the exact name, the normalised one, the nearest vector if near enough, the occupation code; else the name stays.
 
-    rows: id, raw, vector, code; taxonomy: name, vector, code. Returns id, raw, mapped, match_method. Of several names with one
+    rows: id, raw, vector, code; taxonomy: name, vector, code, or a store of them. Returns id, raw, mapped, match_method. Of several names with one
     normalised form or code the first counts.
     """
-    exact = taxonomy.select(F.col("name").alias("_exact")).distinct()
-    normal = taxonomy.groupBy(norm(F.col("name")).alias("_norm")).agg(F.min("name").alias("_normal"))
-    coded = taxonomy.filter("code IS NOT NULL").groupBy(F.col("code").alias("_code")).agg(F.min("name").alias("_coded"))
-    both = rows.join(exact, F.col("raw") == F.col("_exact"), "left").join(normal, norm(F.col("raw")) == F.col("_norm"), "left")
-    open_ = both.filter("_exact IS NULL AND _normal IS NULL AND vector IS NOT NULL").select("id", "vector")
-    near = nearest(open_, taxonomy.select("name", F.col("vector").alias("_v")), "name", "id", "vector", "_v", 1).filter(F.col("similarity") >= least)
-    both = both.join(near.select(F.col("id").alias("_id"), F.col("name").alias("_near")), F.col("id") == F.col("_id"), "left").join(coded, F.col("code") == F.col("_code"), "left")
-    method = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_normal").isNotNull(), "normalised").when(F.col("_near").isNotNull(), "cosine").when(F.col("_coded").isNotNull(), "code")
-    return both.select("id", "raw", F.coalesce("_exact", "_normal", "_near", "_coded", "raw").alias("mapped"), method.otherwise("raw").alias("match_method"))
+    store = taxonomy if isinstance(taxonomy, Taxonomy) else Taxonomy(taxonomy, norm or F.lower, least)
+    found = lambda answers, by: answers.select(F.col("name").alias(f"_{by}"), F.col("skill").alias(by))
+    raw = rows.select(F.col("raw").alias("name"))
+    both = rows.join(found(store.by_name(raw), "exact"), F.col("raw") == F.col("_exact"), "left").join(found(store.by_normal_name(raw), "normal"), F.col("raw") == F.col("_normal"), "left")
+    open_ = both.filter("exact IS NULL AND normal IS NULL AND vector IS NOT NULL").select(F.col("id").alias("name"), "vector")
+    both = both.join(found(store.by_vector(open_), "near"), F.col("id") == F.col("_near"), "left")
+    coded = found(store.by_code(rows.select(F.col("id").alias("name"), "code").filter("code IS NOT NULL")), "coded")
+    both = both.join(coded, F.col("id") == F.col("_coded"), "left")
+    method = F.when(F.col("exact").isNotNull(), "exact").when(F.col("normal").isNotNull(), "normalised").when(F.col("near").isNotNull(), "cosine").when(F.col("coded").isNotNull(), "code")
+    return both.select("id", "raw", F.coalesce("exact", "normal", "near", "coded", "raw").alias("mapped"), method.otherwise("raw").alias("match_method"))
 
 
 def mentioned(texts: DataFrame, key: str, text: str, names: DataFrame, longest: int = 3) -> DataFrame:
@@ -199,6 +200,47 @@ def mentioned(texts: DataFrame, key: str, text: str, names: DataFrame, longest:
     return each.select(key, F.explode_outer("_runs").alias("_run")).join(known, F.col("_run") == F.col("_name")).select(key, "name")
 
 
+def parsed(texts: DataFrame, key: str, text: str, names: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """key, said, skill, similarity: the names that a text mentions, each mapped to the nearest skill of the taxonomy.
+
+    names: name and vector, the dictionary that mentions are found by; taxonomy: skill and vector. A name is looked up once, whatever the number of texts
+    that mention it; one without a vector, or without any skill of its length, has no row. Ties go to the smaller skill.
+    """
+    found = mentioned(texts, key, text, names.select("name")).distinct()
+    asked = names.join(found.select("name").distinct(), "name", "left_semi").dropDuplicates(["name"])
+    near = nearest(asked.select(F.col("name").alias("said"), F.col("vector").alias("_of")), taxonomy.select("skill", F.col("vector").alias("_v")), "skill", "said", "_of", "_v", 1)
+    return found.withColumnRenamed("name", "said").join(near.drop("rank"), "said").select(key, "said", "skill", "similarity")
+
+
+class Taxonomy:
+    """The four lookups of a store of skills (name, vector, code), each from a frame of what is asked, by name or id, to a frame of name and skill.
+
+    Subclasses may keep the skills elsewhere, or look one of the four up in another way, as by an index of ``cells``; ``cascade`` asks them in turn.
+    """
+
+    def __init__(self, skills: DataFrame, norm: Callable[[Column], Column], least: float = 0.92) -> None:
+        self.skills, self.norm, self.least = skills, norm, least
+
+    def by_name(self, asked: DataFrame) -> DataFrame:
+        """asked: name."""
+        return asked.select("name").distinct().join(self.skills.select("name").distinct(), "name").select("name", F.col("name").alias("skill"))
+
+    def by_normal_name(self, asked: DataFrame) -> DataFrame:
+        known = self.skills.groupBy(self.norm(F.col("name")).alias("_norm")).agg(F.min("name").alias("skill"))
+        return asked.select("name").distinct().join(known, self.norm(F.col("name")) == F.col("_norm")).select("name", "skill")
+
+    def by_vector(self, asked: DataFrame) -> DataFrame:
+        """asked: name, vector; the nearest skill, if it is near enough."""
+        own = asked.select("name", F.col("vector").alias("_of")).dropDuplicates(["name"])
+        near = nearest(own.withColumnRenamed("name", "_asked"), self.skills.select(F.col("name").alias("skill"), F.col("vector").alias("_v")), "skill", "_asked", "_of", "_v", 1)
+        return near.filter(F.col("similarity") >= self.least).select(F.col("_asked").alias("name"), "skill")
+
+    def by_code(self, asked: DataFrame) -> DataFrame:
+        """asked: name, code."""
+        known = self.skills.filter("code IS NOT NULL").groupBy("code").agg(F.min("name").alias("skill"))
+        return asked.select("name", "code").distinct().join(known, "code").select("name", "skill")
+
+
 def from_text(a: Column) -> Column:
     """A vector written as '[1,2,...]'; null if it isn't one."""
     return F.from_json(a, "array<double>")

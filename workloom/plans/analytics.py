@@ -188,14 +188,15 @@ def skill_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-    WITH {_DAILY}, w AS (SELECT *, lag(n) OVER (PARTITION BY skill ORDER BY day) AS before, avg(n) OVER (PARTITION BY skill) AS mean, stddev_samp(n) OVER (PARTITION BY skill) AS dev FROM d)
-    SELECT skill, day, n, CASE WHEN before IS NULL THEN 'first' WHEN n > 1.2 * before THEN 'emerging' WHEN n < 0.8 * before THEN 'declining' ELSE 'steady' END AS trend, round((n - mean) / dev, 4) AS z FROM w
+    WITH {_DAILY}, w AS (SELECT *, lag(n) OVER (PARTITION BY skill ORDER BY day) AS before, avg(n) OVER l AS mean, stddev_samp(n) OVER l AS dev FROM d WINDOW l AS (PARTITION BY skill ORDER BY day ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING))
+    SELECT skill, day, n, CASE WHEN before IS NULL THEN 'first' WHEN n > 1.2 * before THEN 'emerging' WHEN n < 0.8 * before THEN 'declining' ELSE 'steady' END AS trend, round((n - mean) / nullif(dev, 0), 4) AS z FROM w
     """
 )
 def skill_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = _events(spark, sf_dir).groupBy(F.col("event_type").alias("skill"), F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    whole, order = Window.partitionBy("skill"), Window.partitionBy("skill").orderBy("day")
-    rows = daily.withColumns({"before": F.lag("n").over(order), "mean": F.avg("n").over(whole), "dev": F.stddev("n").over(whole)})
+    order = Window.partitionBy("skill").orderBy("day")
+    last = order.rowsBetween(-28, -1)  # what came before alone
+    rows = daily.withColumns({"before": F.lag("n").over(order), "mean": F.avg("n").over(last), "dev": F.nullif(F.stddev("n").over(last), F.lit(0.0))})
     trend = F.when(F.col("before").isNull(), "first").when(F.col("n") > 1.2 * F.col("before"), "emerging").when(F.col("n") < 0.8 * F.col("before"), "declining").otherwise("steady")
     return rows.select("skill", "day", "n", trend.alias("trend"), F.round((F.col("n") - F.col("mean")) / F.col("dev"), 4).alias("z"))
 

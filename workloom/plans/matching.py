@@ -138,6 +138,26 @@ def skills_mentioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.mentioned(said, "id", "said", names)
 
 
+@query(
+    f"""
+    WITH n AS (SELECT 'skill ' || vec_id AS name, embedding FROM embeddings WHERE vec_id % 2 = 1), t AS (SELECT 'skill ' || vec_id AS skill, embedding FROM embeddings WHERE vec_id % 2 = 0),
+    s AS (SELECT vec_id AS id, 'Has SKILL ' || vec_id || ', also skill ' || (vec_id + 7) || ' and Skill ' || (vec_id * 3 % 400) AS said FROM embeddings),
+    m AS (SELECT DISTINCT id, name FROM s JOIN n ON contains(' ' || replace(lower(said), ',', ' ') || ' ', ' ' || name || ' ')),
+    r AS (SELECT j.name AS name, s.skill, {_SIM} AS sim FROM n j, t s WHERE j.name IN (SELECT name FROM m) QUALIFY row_number() OVER (PARTITION BY j.name ORDER BY sim DESC, s.skill) = 1)
+    SELECT id, m.name AS said, skill, round(sim, 6) AS similarity FROM m JOIN r ON r.name = m.name
+    """
+)
+def skills_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free text to skills: the names it mentions, and for each the nearest skill of the taxonomy, looked up once for all texts."""
+    rows, key = table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    name = F.concat(F.lit("skill "), key)
+    said = F.concat(F.lit("Has SKILL "), key, F.lit(", also skill "), key + 7, F.lit(" and Skill "), key * 3 % 400)
+    names = rows.filter("vec_id % 2 = 1").select(name.alias("name"), F.col("embedding").alias("vector"))
+    taxonomy = rows.filter("vec_id % 2 = 0").select(name.alias("skill"), F.col("embedding").alias("vector"))
+    found = similarity.parsed(rows.select(key.alias("id"), said.alias("said_text")), "id", "said_text", names, taxonomy)
+    return found.select("id", "said", "skill", F.round("similarity", 6).alias("similarity"))
+
+
 _FACETS = """FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
     WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_totalprice BETWEEN 50000 AND 250000 AND lower(n_name) LIKE '%a%'
       AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30) AND (c_mktsegment = 'BUILDING' OR c_acctbal > 1000)"""

@@ -70,18 +70,20 @@ def postings_with_applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-    SELECT o_custkey AS company, CAST(count(*) AS BIGINT) AS postings, CAST(count(*) FILTER (WHERE o_orderstatus = 'O') AS BIGINT) AS active_postings,
-           CAST(coalesce(sum(n), 0) AS BIGINT) AS candidates, string_agg(o_orderkey || ':' || coalesce(n, 0), ',' ORDER BY o_orderkey) AS by_posting
-    FROM orders LEFT JOIN {_APPLICANTS} ON l_orderkey = o_orderkey GROUP BY 1
+    SELECT o_custkey AS company, o_orderkey AS posting, o_orderstatus = 'O' AS active, CAST(coalesce(n, 0) AS BIGINT) AS applicants,
+           CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS place, CAST(count(*) OVER w AS BIGINT) AS postings,
+           CAST(count(*) FILTER (WHERE o_orderstatus = 'O') OVER w AS BIGINT) AS active_postings, CAST(coalesce(sum(n) OVER w, 0) AS BIGINT) AS candidates
+    FROM orders LEFT JOIN {_APPLICANTS} ON l_orderkey = o_orderkey WINDOW w AS (PARTITION BY o_custkey)
     """
 )
 def company_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three levels: applicants to postings, postings to companies; the sum of the lists' sizes beside them."""
-    both = _t(spark, sf_dir, "orders").join(_applicants(spark, sf_dir), F.col("o_orderkey") == F.col("_posting"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return both.groupBy(F.col("o_custkey").alias("company")).agg(
-        F.count("*").alias("postings"), F.count_if(F.col("o_orderstatus") == "O").alias("active_postings"), F.sum("n").alias("candidates"),
-        listed([F.col("o_orderkey")], F.concat_ws(":", "o_orderkey", "n")).alias("by_posting"),
-    )
+    """Three levels: applicants to postings, postings to companies. A row for each posting with its place in its company and the company's sums, so that a
+    company of very many postings is never one row."""
+    both = _t(spark, sf_dir, "orders").join(_applicants(spark, sf_dir), F.col("o_orderkey") == F.col("_posting"), "left")
+    rows = both.select(F.col("o_custkey").alias("company"), F.col("o_orderkey").alias("posting"), (F.col("o_orderstatus") == "O").alias("active"), F.coalesce("n", F.lit(0)).alias("applicants"))
+    sums = rows.groupBy(F.col("company").alias("_c")).agg(F.count("*").alias("postings"), F.count_if("active").alias("active_postings"), F.sum("applicants").alias("candidates"))
+    place = F.row_number().over(Window.partitionBy("company").orderBy("posting"))
+    return rows.withColumn("place", place).join(sums, F.col("company") == F.col("_c")).drop("_c")
 
 
 @query(

@@ -9,6 +9,7 @@ from workloom.functions.rules import percent, rating_word
 from workloom.functions.text import joined, or_default
 from workloom.plans.pack import Pack
 from workloom.sources import table
+from workloom.sources.scratch import written
 
 query = Pack()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -57,7 +58,8 @@ def _rollup(rows: DataFrame, who: str, counted: str, sums: dict[str, Column], *a
     """rollup(y, w) of sums and of distinct people: people are made distinct from week to year to all, each time from what is left, so
     that no row is multiplied by the number of groupings and distinct counts. also: aggregates over people instead of the sums."""
     named = {c: F.sum(c).alias(c) for c in sums}
-    weeks = rows.groupBy("y", "w", who).agg(*[c.alias(n) for n, c in sums.items()])
+    # three levels read it, so it is written: what it is made of runs once
+    weeks = written(rows.groupBy("y", "w", who).agg(*[c.alias(n) for n, c in sums.items()]))
     years = weeks.groupBy("y", who).agg(*named.values())
     people = years.groupBy(who).agg(*named.values())
     levels = ((weeks, ["y", "w"], 0, 0), (years, ["y"], 0, 1), (people, [], 1, 1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from workloom.functions import dates, rules, text
-from workloom.operators import transitions, upserts
+from workloom.operators import similarity, transitions, upserts
 from workloom.plans.pack import Pack
 from workloom.sources import table
 
@@ -52,14 +52,21 @@ def case_management(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT DISTINCT lower(p_name) AS name FROM part WHERE p_partkey % 3 = 0 AND lower(p_name) NOT IN (SELECT lower(p_name) FROM part WHERE p_partkey % 3 = 1 AND p_size < 20)
+    WITH g AS (SELECT DISTINCT lower(p_name || CASE WHEN p_partkey % 2 = 0 THEN ' ' || p_brand ELSE '' END) AS name FROM part WHERE p_partkey % 3 = 0),
+    k AS (SELECT lower(p_name) AS name, min(CAST(p_partkey AS VARCHAR)) AS id FROM part WHERE p_partkey % 3 = 1 AND p_size < 20 GROUP BY 1)
+    SELECT name, coalesce(id, 'new-' || substr(sha256(name), 1, 12)) AS id, id IS NULL AS created, CASE WHEN id IS NULL THEN 64 END AS dimensions, CASE WHEN id IS NULL THEN TRUE END AS own_vector FROM g LEFT JOIN k USING (name)
     """
 )
 def created_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the skills given, those that don't exist yet whatever their case, once each."""
-    given = _t(spark, sf_dir, "part").filter("p_partkey % 3 = 0").select(F.lower("p_name").alias("name")).distinct()
-    known = _t(spark, sf_dir, "part").filter("p_partkey % 3 = 1 AND p_size < 20").select(F.lower("p_name").alias("name"))
-    return given.join(known, "name", "left_anti")
+    """Skills given by name: those that exist keep their id, whatever their case; the others get one that follows from the name, and a vector."""
+    own = F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" "), "p_brand")).otherwise(""))
+    given = _t(spark, sf_dir, "part").filter("p_partkey % 3 = 0").select(F.lower(own).alias("name")).distinct()
+    known = _t(spark, sf_dir, "part").filter("p_partkey % 3 = 1 AND p_size < 20").select(F.lower("p_name").alias("name"), F.col("p_partkey").cast("string").alias("id"))
+    made = upserts.found_or_created(given, known, ["name"], "id")
+    vector = F.when(F.col("created"), similarity.hash_embedding(F.col("name")))
+    embedded = made.withColumn("embedding", vector)
+    same = F.array_max(F.zip_with("embedding", similarity.hash_embedding(F.upper("name")), lambda x, y: F.abs(x - y))) == 0
+    return embedded.select("name", "id", "created", F.when(F.col("created"), F.size("embedding")).alias("dimensions"), F.when(F.col("created"), same).alias("own_vector"))
 
 
 @query("SELECT l_orderkey AS posting, l_linenumber AS line FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 45)")
