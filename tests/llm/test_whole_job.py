@@ -8,6 +8,10 @@ import string
 from collections import Counter
 
 import pytest
+from against_sql import same_rows
+from pyspark.sql import functions as F
+
+from workloom.llm import mixing
 
 
 @pytest.mark.parametrize("alphabet", [string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_letters])
@@ -146,3 +150,18 @@ def test_source_mix_parts_words_as_the_contract_says(spark):
     found = mixing.mix(docs, mixing.label_weights(labels)).drop("source")
     same_rows(found.withColumn("target", F.round("target", 6)), f"SELECT * REPLACE (round(target, 6) AS target) FROM ({mixing.oracle_sql()})", documents=docs, labels=labels)
     assert {r.size for r in found.filter("doc_id = 0").collect()} == {4}
+
+
+def test_secrets_in_addresses(spark):
+    """The user part of an address is a value of its own; what stands for a password is none."""
+    from workloom.llm import secrets
+
+    kept = ["see postgres://user:s3cr3tPassw0rd@db.example.com/prod now", "redis://:9fKd82hQp@cache/0 and on", "amqp://svc-1:Zx81LmQ9vT@10.0.0.7/ then", "set token=ghp_abcdefghijklmnopqrstuvwxyzABCDEF0123 here", "api_key: 9fKd82hQpLm3xZ"]
+    left = ["https://user:password@host.example.com/x", "commit 3f2504e04f8941d39a0c0305e82c3301aabbccdd done", "class RequestHandlerFactory2 here", "page id 2024-001-558899", "the url http://example.com:8080/a/b@def", "mail someone@example.com: hello"]
+    docs = spark.createDataFrame([(i, t, "src/app.py") for i, t in enumerate(kept + left)], "doc_id long, text string, path string")
+    looked_at = {(r.doc_id, r.value) for r in secrets.candidates(docs).collect()}
+    assert {(0, "s3cr3tPassw0rd"), (1, "9fKd82hQp"), (2, "Zx81LmQ9vT"), (5, "password")} <= looked_at
+    assert not any("@" in v for i, v in looked_at if i < 3)
+    found = {(r.doc_id, r.value_sha256) for r in secrets.secrets(docs).collect()}
+    values = ["s3cr3tPassw0rd", "9fKd82hQp", "Zx81LmQ9vT", "ghp_abcdefghijklmnopqrstuvwxyzABCDEF0123", "9fKd82hQpLm3xZ"]
+    assert found == {(i, hashlib.sha256(v.encode()).hexdigest()) for i, v in enumerate(values)}

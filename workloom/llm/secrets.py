@@ -3,8 +3,9 @@
 Candidates are all runs of 12 or more characters with a digit anywhere, and whatever has ``KEYED_LEAST`` or more characters and
 follows a key name, an equals sign or a colon, in the same word or as the next one. A word is cut where a further name with
 its sign begins, so each of its values is a candidate. A key's value may hold any characters but blanks and quotes, and ends
-with its last letter or digit; it ends before a comma, semicolon or ampersand if what stands there is such a run already. What
-is no secret is left to the forest.
+with its last letter or digit; it ends before a comma, semicolon or ampersand if what stands there is such a run already. The
+password of a login in an address (scheme://user:password@host) is a candidate from 6 characters on. What is no secret is left to
+the forest.
 
 Features of a candidate: length, kinds of characters, how much likelier its character transitions are in secrets than in other
 values (a table of conditional frequencies, counted in the labelled findings), changes of character class, share of distinct
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
+from functools import reduce
 from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -75,6 +77,8 @@ _OPEN, _LAST = r"[\"'`(\[{<]{0,8}", r"[\p{L}\p{N}]={0,2}"
 _NAMED_VALUE = rf"{_NAMES}[\"'\])]{{0,8}}[=:]+>?{_OPEN}([^\"'`]{{{KEYED_LEAST - 1},}}{_LAST})"
 _SIGNED_VALUE = rf"[=:](?!//){_OPEN}([^\"'`=:]{{{KEYED_LEAST - 1},}}{_LAST})[^\p{{L}}\p{{N}}]*$"
 _WORD_VALUE = rf"^{_OPEN}([^\"'`]{{{KEYED_LEAST - 1},}}{_LAST})"
+#: The password of a login in an address, up to the at sign before the host.
+_LOGIN = r"[A-Za-z][A-Za-z0-9+.\-]{1,20}://[^/@:\"'`]{0,80}:([^/@\"'`]{6,})@[A-Za-z0-9.\[]"
 
 #: Kinds of characters in a transition: 26 letters whatever their case, digits, all others.
 KINDS = 28
@@ -110,7 +114,8 @@ def _coverage(dictionary: Iterable[str]) -> Column:
     """Characters under words of the dictionary, at each place the longest."""
     words = sorted({w.lower() for w in dictionary if w})
     lengths = sorted({len(w) for w in words}, reverse=True)
-    at = lambda i, n: F.array_join(F.slice("_low", i + 1, F.lit(n)), "")
+    low = F.lower("value")
+    at = lambda i, n: low.substr(i + 1, F.lit(n))
     longest = lambda x, i: F.when(~x.between("a", "z"), 0).otherwise(F.coalesce(*[F.when(at(i, n).isin([w for w in words if len(w) == n]), n) for n in lengths], F.lit(0)))
     places = F.transform("_low", lambda x, i: F.struct((i + 1).alias("at"), longest(x, i).alias("n")))
     start = F.struct(F.lit(0).alias("sum"), F.lit(1).alias("open"))
@@ -144,6 +149,7 @@ def features(transitions: list[float], dictionary: Iterable[str]) -> dict[str, C
         "dictionary": _coverage(dictionary) / n,
         "uuid": value.rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-").cast("double"),
         "prefix": value.rlike("^" + _PREFIX).cast("double"),
+        "login": (before.rlike(r"://[^/@\s]{0,80}:$") & after.startswith("@")).cast("double"),
         "for": beside(before, FOR),
         "against": beside(before, AGAINST),
         "against_after": beside(after, AGAINST),
@@ -172,6 +178,7 @@ def synthetic_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     prose = F.concat(*map(syllable, (16, 17, 18)), F.when(i % 3 == 0, syllable(19)).otherwise(""), pick(20, ("", "", "s", "en", "e")))
     prose = F.rpad(F.when(F.pmod(F.xxhash64(i, F.lit(21)), F.lit(3)) == 0, F.initcap(prose)).otherwise(prose), F.greatest(F.lit(KEYED_LEAST), F.char_length(prose)), "e")
     near = F.concat(plain, F.lit(" "), pick(22, ("password:", "the key", "token", "an access", "secret:", "note:", "auth", "key =", "api_key", "result:", "type=")))
+    login = F.concat(plain, F.lit(" "), pick(42, ("postgres", "mysql", "redis", "amqp", "https", "ftp", "mongodb+srv")), F.lit("://"), pick(43, ("user", "admin", "app", "root", "svc-1", "")), F.lit(":"))
     name = F.concat(F.initcap(word(5)), F.initcap(word(6)), F.initcap(word(7)), pick(8, ("", "2", "V1", "64", "Impl")))
     kinds = (
         (F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)), plain, 1),
@@ -200,10 +207,15 @@ def synthetic_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (F.concat(pick(30, ("//www.", "https://", "http://", "/")), prose, pick(31, (".com/", ".org/", "/")), syllable(32), F.lit("/"), F.substring(digits, 1, 3)), pick(33, ("http:", "url:", "see", "href=")), 0),
         (F.concat(pick(34, ("+49-", "+1-", "2024-", "(030)")), F.substring(digits, 1, 3), pick(35, ("-", "/", ".")), F.substring(digits, 4, 6)), pick(36, ("call:", "phone:", "date:", "")), 0),
         (F.concat_ws("-", F.lit("2024"), F.substring(digits, 1, 2), F.substring(digits, 3, 2), F.substring(digits, 5, 6)), plain, 0),
+        (F.substring(base64, 1, (6 + F.pmod(F.xxhash64(i, F.lit(45)), F.lit(20))).cast("int")), login, 1),
+        (F.concat(F.substring(base64, 2, 5), F.substring(digits, 1, 2), F.substring(small, 3, 4), pick(49, tuple("!_-.$0123"))), login, 1),
+        (pick(50, ("password", "changeme", "yourpassword", "secret", "example", "placeholder", "user-password", "xxxxxxxx", "PASSWORD", "pass-word-here")), login, 0),
     )
     kind = F.pmod(i, F.lit(len(kinds))).cast("int")
-    chosen = lambda j: F.element_at(F.array(*[F.lit(k[j]) if j == 2 else k[j] for k in kinds]), kind + 1)
-    after = F.when((chosen(2) == 0) & (i % 7 == 0), pick(40, ("is the commit", "(sha1)", "checksum of", "as example"))).otherwise(pick(41, ("", "of the", "and on", '","user":"bob"}', "&x=1", ",x")))
+    # a condition for each kind, so that a row makes its own alone
+    chosen = lambda j: reduce(lambda w, k: w.when(kind == k[0], F.lit(k[1][j]) if j == 2 else k[1][j]), enumerate(kinds), F.when(F.lit(False), F.lit(None)))
+    at_login = F.when(kind >= len(kinds) - 3, pick(44, ("@db.example.com/prod", "@localhost:5432/app", "@10.0.0.7/", "@mail.example.org:993", "@cache/0")))
+    after = F.when(at_login.isNotNull(), at_login).when((chosen(2) == 0) & (i % 7 == 0), pick(40, ("is the commit", "(sha1)", "checksum of", "as example"))).otherwise(pick(41, ("", "of the", "and on", '","user":"bob"}', "&x=1", ",x")))
     return spark.range(n).select(chosen(0).alias("value"), chosen(1).alias("before"), after.alias("after"), path.alias("path"), chosen(2).alias("label"))
 
 
@@ -241,15 +253,17 @@ def _values(part: Column, follows: Column) -> Column:
         some(F.regexp_extract(part, _NAMED_VALUE, 1)), some(F.regexp_extract(part, _SIGNED_VALUE, 1)), F.when(follows, some(F.regexp_extract(part, _WORD_VALUE, 1)))
     )
     of = lambda pattern: F.array_distinct(F.transform(F.regexp_extract_all(part, F.lit(pattern), 0), lambda x: F.btrim(x, F.lit("."))))
-    return F.struct(keyed.alias("keyed"), of(_PREFIXED).alias("known"), F.filter(of(_RUN), lambda x: F.char_length(x) >= 12).alias("plain"))
+    login = F.array_distinct(F.regexp_extract_all(part, F.lit(_LOGIN), 1))
+    return F.struct(keyed.alias("keyed"), login.alias("login"), of(_PREFIXED).alias("known"), F.filter(of(_RUN), lambda x: F.char_length(x) >= 12).alias("plain"))
 
 
 def _chosen(found: Column) -> Column:
     """The key's value and the runs outside it; the runs alone where one tells its kind by a known prefix, or is followed by a mark that ends values."""
-    keyed, known = found["keyed"], found["known"]
+    keyed, login = found["keyed"], found["login"]
+    known = F.concat(login, F.filter(found["known"], lambda x: ~F.exists(login, lambda y: y.contains(x))))
     runs = F.concat(known, F.filter(found["plain"], lambda x: ~F.exists(known, lambda y: x.contains(y))))
     ends = lambda x: F.exists(F.array(*map(F.lit, ",;&")), lambda m: keyed.startswith(F.concat(x, m)))
-    instead = F.exists(runs, lambda x: (keyed != x) & keyed.contains(x) & (x.rlike("^" + _PREFIX) | ends(x)))
+    instead = F.exists(runs, lambda x: (keyed != x) & keyed.contains(x) & (x.rlike("^" + _PREFIX) | ends(x) | F.array_contains(login, x)))
     return F.when(keyed.isNull() | instead, runs).otherwise(F.concat(F.array(keyed), F.filter(runs, lambda x: ~keyed.contains(x))))
 
 
