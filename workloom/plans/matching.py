@@ -241,12 +241,12 @@ def events_past_and_upcoming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", facets.upcoming(F.col("ts"), "2024-01-20").alias("is_upcoming"), facets.past(F.col("ts"), "2024-01-20").alias("is_past"))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n FROM events e WHERE EXISTS (SELECT 1 FROM events r WHERE r.user_id = e.user_id AND r.event_type = 'purchase') AND NOT EXISTS (SELECT 1 FROM events r WHERE r.user_id = e.user_id AND r.event_type = 'error')")
+@query("SELECT event_id, user_id FROM events e WHERE EXISTS (SELECT 1 FROM events r WHERE r.user_id = e.user_id AND r.event_type = 'purchase' AND r.event_id % 7 = 0) AND NOT EXISTS (SELECT 1 FROM events r WHERE r.user_id = e.user_id AND r.event_type = 'error' AND r.event_id % 29 = 0)")
 def registered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with some related row of one kind and none of another."""
-    rows = table(spark, sf_dir, "events")
-    who = lambda kind: rows.filter(F.col("event_type") == kind).select("user_id")
-    return rows.join(who("purchase"), "user_id", "left_semi").join(who("error"), "user_id", "left_anti").agg(F.count("*").alias("n"))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    who = lambda kind, n: rows.filter((F.col("event_type") == kind) & (F.col("event_id") % n == 0)).select("user_id")
+    return rows.join(who("purchase", 7), "user_id", "left_semi").join(who("error", 29), "user_id", "left_anti").select("event_id", "user_id")
 
 
 @query(

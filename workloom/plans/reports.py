@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from workloom.functions.dates import us_week
 from workloom.functions.rules import percent, rating_word
@@ -82,7 +82,7 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
     SELECT CASE WHEN grouping(y) = 1 THEN 'All Years' ELSE CAST(y AS VARCHAR) END AS year_label, coalesce(w, 999) AS week_order,
-           CAST(count(DISTINCT c) AS BIGINT) AS people,
+           CAST(row_number() OVER (ORDER BY grouping(y), y, grouping(w), coalesce(w, 999)) AS INTEGER) AS place, CAST(count(DISTINCT c) AS BIGINT) AS people,
            CAST(count(DISTINCT CASE WHEN f THEN c END) AS BIGINT) AS finished,
            CAST(CASE WHEN count(DISTINCT c) = 0 THEN 0 ELSE round(100.0 * count(DISTINCT CASE WHEN f THEN c END) / count(DISTINCT c), 2) END AS DECIMAL(5,2)) AS finished_pct
     FROM (SELECT o_custkey AS c, o_orderstatus = 'F' AS f, year(o_orderdate) AS y,
@@ -97,10 +97,12 @@ def enrolled_by_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # a person has finished in a period if any of its rows says so
     found = _rollup(rows, "c", "people", {"_finished": F.count_if("f")}, F.count_if(F.col("_finished") > 0).alias("finished"))
-    ordered = found.orderBy("total_year", "y", "total_week", F.coalesce("w", F.lit(999)))
-    return ordered.select(
+    # totals come after what they sum up; there are as many rows as weeks
+    place = F.row_number().over(Window.orderBy("total_year", "y", "total_week", F.coalesce("w", F.lit(999))))
+    return found.withColumn("place", place).orderBy("place").select(
         F.when(F.col("total_year") == 1, "All Years").otherwise(F.col("y").cast("string")).alias("year_label"),
         F.coalesce("w", F.lit(999)).alias("week_order"),
+        "place",
         "people",
         "finished",
         percent(F.col("finished"), F.col("people")).alias("finished_pct"),
@@ -290,10 +292,10 @@ def segment_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT CAST(count(*) FILTER (WHERE o_orderstatus = 'O') AS BIGINT) AS active, CAST(count(*) FILTER (WHERE o_orderstatus <> 'O') AS BIGINT) AS inactive,
-           CAST(count(*) AS BIGINT) AS total FROM orders
+    SELECT o_custkey AS company, CAST(count(*) FILTER (WHERE o_orderstatus = 'O') AS BIGINT) AS active, CAST(count(*) FILTER (WHERE o_orderstatus <> 'O') AS BIGINT) AS inactive,
+           CAST(count(*) AS BIGINT) AS total FROM orders GROUP BY 1
     """
 )
 def status_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     inactive = F.col("o_orderstatus").isin("F", "P")
-    return _orders(spark, sf_dir).agg(F.count_if(~inactive).alias("active"), F.count_if(inactive).alias("inactive"), F.count("*").alias("total"))
+    return _orders(spark, sf_dir).groupBy(F.col("o_custkey").alias("company")).agg(F.count_if(~inactive).alias("active"), F.count_if(inactive).alias("inactive"), F.count("*").alias("total"))

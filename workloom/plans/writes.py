@@ -78,16 +78,17 @@ def feedback_of_known_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
     WITH gone AS (SELECT n_nationkey AS k FROM nation WHERE n_regionkey = 1)
-    SELECT 'nation' AS name, CAST(count(*) AS BIGINT) AS n FROM nation WHERE n_nationkey NOT IN (SELECT k FROM gone)
-    UNION ALL SELECT 'customer', count(*) FROM customer WHERE c_nationkey NOT IN (SELECT k FROM gone)
-    UNION ALL SELECT 'supplier', count(*) FROM supplier WHERE s_nationkey NOT IN (SELECT k FROM gone)
+    SELECT 'nation' AS name, CAST(n_nationkey AS BIGINT) AS id FROM nation WHERE n_nationkey NOT IN (SELECT k FROM gone)
+    UNION ALL SELECT 'customer', c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT k FROM gone)
+    UNION ALL SELECT 'supplier', s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT k FROM gone)
     """
 )
 def provider_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A provider goes with its addresses and programs."""
+    """A provider goes with its addresses and programs: what is left of each table."""
     tables = {"nation": (_t(spark, sf_dir, "nation"), "n_nationkey"), "customer": (_t(spark, sf_dir, "customer"), "c_nationkey"), "supplier": (_t(spark, sf_dir, "supplier"), "s_nationkey")}
     gone = _t(spark, sf_dir, "nation").filter("n_regionkey = 1")
-    left = [rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, rows in upserts.delete_cascading(tables, gone, "n_nationkey").items()]
+    keys = {"nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey"}
+    left = [rows.select(F.lit(name).alias("name"), F.col(keys[name]).cast("long").alias("id")) for name, rows in upserts.delete_cascading(tables, gone, "n_nationkey").items()]
     return left[0].unionByName(left[1]).unionByName(left[2])
 
 
@@ -106,12 +107,12 @@ def children_synced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upserts.sync_missing(old, new, "parent", ["child"], edited)
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(min(l_shipdate) AS DATE) AS first_day, CAST(max(l_shipdate) AS DATE) AS last_day FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
+@query("SELECT l_orderkey AS parent, CAST(count(*) AS BIGINT) AS n, CAST(min(l_shipdate) AS DATE) AS first_day, CAST(max(l_shipdate) AS DATE) AS last_day FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') GROUP BY 1")
 def deleted_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a delete by keys removes, for the report of it."""
+    """What a delete by keys removes, for the report of it, by parent."""
     keys = _t(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
     rows = upserts.deleted(_t(spark, sf_dir, "lineitem"), keys, ["l_orderkey"])
-    return rows.agg(F.count("*").alias("n"), F.to_date(F.min("l_shipdate")).alias("first_day"), F.to_date(F.max("l_shipdate")).alias("last_day"))
+    return rows.groupBy(F.col("l_orderkey").alias("parent")).agg(F.count("*").alias("n"), F.to_date(F.min("l_shipdate")).alias("first_day"), F.to_date(F.max("l_shipdate")).alias("last_day"))
 
 
 @query(
