@@ -100,3 +100,17 @@ def test_a_stage_that_always_raises_or_answers_nothing(spark):
         done, failed, _ = stages.run(records, "n", [stages.Stage("s", each=each, adds="x int")])
         assert done.count() == 0 and {r.error_type for r in failed.collect()} == {error}
     assert stages.run(records.limit(0), "n", [stages.Stage("s", each=raises, adds="x int")])[0].count() == 0
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 1000])
+def test_states_whatever_the_chunk(spark, monkeypatch, chunk):
+    monkeypatch.setattr(transitions, "CHUNK", chunk)
+    asks = [*transitions.SEEKER, *transitions.EMPLOYER, "Unheard of"]
+    rows = [(i % 3, i, asks[(i * 7 + i // 5) % 6], "seeker" if (i // 2) % 3 else "employer", i < 60) for i in range(100)]
+    expected = {}
+    for app, _, wants, who, live in rows:
+        state_, legal, n = expected.get(app, ("", 0, 0))
+        ok = (who == "seeker" and wants in transitions.SEEKER and live and state_ in transitions.EARLY) or (who == "employer" and wants in transitions.EMPLOYER and state_ != "")
+        expected[app] = (wants if ok else state_, legal + ok, n + 1)
+    found = transitions.final_states(spark.createDataFrame(rows, "application long, n long, asked string, who string, live boolean"), "application", ["n"])
+    assert {r.application: (r.state, r.legal, r.asked) for r in found.collect()} == expected
