@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from workloom.operators import cells, similarity, trigrams, upserts
+from workloom.operators import cells, similarity, text_search, trigrams, upserts
 from workloom.plans import guard
 
 
@@ -174,3 +174,34 @@ def test_guard_knows_tables_by_their_own_name(spark, guarded, tmp_path):
             guard.run(spark, "SELECT x FROM guarded_table", {"ok_t"})
     finally:
         spark.sql("DROP TABLE guarded_table")
+
+
+def test_every_attempt_is_logged(spark, guarded, tmp_path):
+    log = f"{tmp_path}/audit"
+    assert guard.ask(spark, "SELECT id FROM ok_t", {"ok_t"}, log, who="ann").rows[0].id == 0
+    refused = guard.ask(spark, "DROP VIEW ok_t", {"ok_t"}, log)
+    assert refused.outcome == "refused" and refused.rows == [] and spark.catalog.tableExists("ok_t")
+    mended = guard.ask(spark, "SELECT idd FROM ok_t", {"ok_t"}, log, correct=lambda text, error: text.replace("idd", "id"))
+    assert mended.outcome == "answered" and mended.attempts == 2 and len(mended.rows) == 5
+    again = guard.ask(spark, "SELECT * FROM secret_t", {"ok_t"}, log, correct=lambda text, error: "SELECT * FROM behind")
+    assert again.outcome == "refused" and again.attempts == 2
+    failed = guard.ask(spark, "SELECT 1 / (id - id) AS x FROM ok_t", {"ok_t"}, log)
+    assert failed.outcome == "failed" and failed.error
+    rows = spark.read.parquet(log).orderBy("at").collect()
+    assert [(r.outcome, r.attempt, r.n_rows) for r in rows] == [("answered", 1, 5), ("refused", 1, 0), ("refused", 1, 0), ("answered", 2, 5), ("refused", 1, 0), ("refused", 2, 0), ("failed", 1, 0)]
+    assert rows[0].who == "ann" and all(r.seconds >= 0 for r in rows)
+
+
+def test_what_takes_too_long_gives_what_has_come(spark, tmp_path):
+    spark.range(2000).createOrReplaceTempView("allowed")
+    slow = "SELECT count(*) FROM allowed a JOIN allowed b ON a.id <> b.id JOIN allowed c ON b.id <> c.id WHERE power(a.id, 0.5) + sqrt(b.id) + ln(c.id + 1) < 0"
+    answer = guard.ask(spark, slow, {"allowed"}, f"{tmp_path}/audit", seconds=2)
+    assert (answer.outcome, answer.is_partial, answer.rows) == ("partial", True, [])
+
+
+@pytest.mark.parametrize("skill", [False, True])
+def test_tiered_search_is_the_same_through_the_index(spark, names, skill):
+    rows = spark.createDataFrame(list(enumerate(NAMES)), "key int, name string")
+    for term in ("java", "a", "number 1", "zzz"):
+        expected = [tuple(r) for r in text_search.search(rows, "name", "key", term, 12, 2, skill).collect()]
+        assert [tuple(r) for r in names.tiered(term, 12, 2, skill).collect()] == expected

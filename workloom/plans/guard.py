@@ -3,7 +3,11 @@ parse tree."""
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from py4j.java_gateway import is_instance_of
 from pyspark import InheritableThread
@@ -11,6 +15,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 
 MOST_ROWS, SECONDS = 100, 30
+#: The log of attempts.
+AUDIT = "at timestamp, who string, query string, attempt int, outcome string, error string, n_rows int, seconds double"
 #: Functions that a query may call; none of them reads anything but its arguments.
 FUNCTIONS = frozenset(
     "abs avg between bool_or cast ceil ceiling char_length coalesce concat concat_ws contains count count_if date_add date_diff date_format date_sub date_trunc datediff "
@@ -198,3 +204,66 @@ def answer(spark: SparkSession, text: str, allowed: set[str], rows: int = MOST_R
     if "error" in done:
         raise done["error"]
     return done["rows"]
+
+
+@dataclass
+class Answer:
+    """rows: what was found, cut to the limit; is_partial: the time was over before all of it was; outcome: answered, partial, refused or failed."""
+
+    rows: list[Row]
+    is_partial: bool
+    outcome: str
+    error: str | None
+    attempts: int
+
+
+def _gathered(spark: SparkSession, found: DataFrame, seconds: float) -> tuple[list[Row], bool]:
+    """Rows as they come, and whether the time was over before the last; the jobs behind them are cancelled then."""
+    tag, rows, done = f"guard-{uuid.uuid4().hex}", [], {}
+
+    def gather() -> None:
+        spark.addTag(tag)
+        try:
+            for row in found.toLocalIterator():
+                rows.append(row)
+            done["all"] = True
+        except Exception as error:  # noqa: BLE001  raised again below
+            done["error"] = error
+        finally:
+            spark.removeTag(tag)
+
+    worker = InheritableThread(target=gather, session=spark)
+    worker.start()
+    worker.join(seconds)
+    if worker.is_alive():
+        spark.interruptTag(tag)
+        return list(rows), True
+    if "error" in done:
+        raise done["error"]
+    return rows, False
+
+
+def ask(
+    spark: SparkSession, text: str, allowed: set[str], log: str, correct: Callable[[str, str], str] | None = None, rows: int = MOST_ROWS, seconds: float = SECONDS, who: str | None = None
+) -> Answer:
+    """An answer to someone's SQL, whatever it is: nothing is raised, and every attempt is a row of the log.
+
+    A query that is refused or fails may be corrected once: ``correct`` gets it with its error and gives another, which is looked at like any other. What
+    takes too long gives what has come by then.
+    """
+    asked, answer = text, Answer([], False, "refused", None, 0)
+    for attempt in (1, 2):
+        began, answer = time.monotonic(), Answer([], False, "refused", None, attempt)
+        try:
+            answer.rows, answer.is_partial = _gathered(spark, run(spark, asked, allowed, rows), seconds)
+            answer.outcome = "partial" if answer.is_partial else "answered"
+        except Refused as error:
+            answer.error = str(error)[:500]
+        except Exception as error:  # noqa: BLE001  a query that fails is an outcome
+            answer.outcome, answer.error = "failed", f"{type(error).__name__}: {str(error)[:500]}"
+        entry = (datetime.now(timezone.utc), who, asked, attempt, answer.outcome, answer.error, len(answer.rows), round(time.monotonic() - began, 3))
+        spark.createDataFrame([entry], AUDIT).coalesce(1).write.mode("append").parquet(log)
+        if answer.error is None or correct is None:
+            break
+        asked = correct(asked, answer.error)
+    return answer
