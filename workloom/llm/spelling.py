@@ -9,7 +9,8 @@ last half, and only words of one block (those that stand together because they s
 ``BLOCK`` words is subdivided in the same way: the edit lies in what its words don't share, the middle, and leaves one half of that as it
 is; the block's words go to the blocks of their middle's first half and of its last half. This ends, as a middle of one code point can't
 be split, and the words of such a block are no more than the alphabet twice over. Blocks are scanned by sort-merge joins of the dictionary with
-itself; candidates are verified by edit distance before they become rows, and each is found in one block only.
+itself; candidates are verified by edit distance before they become rows. A pair that shares both halves, as some insertions in the middle do, is found
+in both blocks and made one.
 
 Each word's near words are then counted, the most frequent becomes its form if it is ``RATIO`` times as frequent, and forms are followed to
 their root by doubling the steps: a chain of forms grows ``RATIO``-fold each step, so a few rounds suffice.
@@ -97,11 +98,10 @@ def _keyed(rows: DataFrame) -> DataFrame:
 
 def _verified(blocks: DataFrame) -> DataFrame:
     """word, near, n, near_n of both words of each near pair of a block."""
-    a = blocks.select("block", "m", "head", "tail", "word", "n")
+    a = blocks.select("block", "m", "word", "n")
     b = blocks.select("block", F.col("word").alias("near"), F.col("n").alias("near_n"))
     shorter = (F.length("word") == F.col("m")) & ((F.length("near") > F.col("m")) | (F.col("word") < F.col("near")))
-    # of a pair that shares the first half and the last, as some insertions in the middle do, the block of the first half counts
-    return a.join(b, "block").filter(shorter & (F.levenshtein("word", "near", 1) == 1)).select("m", "head", "tail", "word", "n", "near", "near_n")
+    return a.join(b, "block").filter(shorter & (F.levenshtein("word", "near", 1) == 1)).select("word", "n", "near", "near_n")
 
 
 def near_pairs(vocabulary: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -123,7 +123,7 @@ def near_pairs(vocabulary: DataFrame, block: int = BLOCK) -> DataFrame:
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
-    return pairs.select("word", "n", "near", "near_n").distinct()
+    return pairs.distinct()
 
 
 def _followed(edges: DataFrame) -> DataFrame:
