@@ -4,8 +4,8 @@ Both keep one small row of state for each key in the state store (RocksDB, so th
 whenever it changes, with a version that counts the key's changes. ``current`` reads the last version of each key: after any number of
 batches, and restarts from the checkpoint, it is what a batch over all rows would give.
 
-State ends: that of a posting when no copy of it has come for a while, that of an application when its posting has expired and the
-watermark has passed, so that nothing can change it any more. Rows later than the watermark are dropped by Spark before they get here.
+A posting's state ends when no copy of it has come for a while. An application's stays when its posting has expired, as its employer may move it
+still; it is closed to its seeker then. Rows later than the watermark are dropped by Spark before they get here.
 """
 
 from __future__ import annotations
