@@ -134,3 +134,28 @@ def test_sessions_of_a_stream(spark, tmp_path):
     batch = {(r.user_id, r.s.start): r.n for r in source.groupBy("user_id", F.session_window("ts", "6 hours").alias("s")).agg(F.count("*").alias("n")).collect()}
     found = {(r.user_id, r.s.start): r.n for r in spark.table("sessions").collect()}
     assert found and all(batch[k] == n for k, n in found.items())
+
+
+@pytest.mark.parametrize("size", [1, 3, 100])
+def test_json_arrays_come_back_whole(spark, tmp_path, size):
+    odd = [(1, 'a "quoted"\nline', [1, 2]), (2, None, None), (None, "", []), (2, "é ]", [3])]
+    table = spark.createDataFrame(odd, "id long, title string, xs array<int>").coalesce(1)
+    sinks.json_arrays(table, str(tmp_path / "seed"), size)
+    parts = [json.loads(p.read_text()) for p in (tmp_path / "seed").glob("part-*")]
+    assert sorted(map(len, parts)) == sorted(min(size, 4 - i) for i in range(0, 4, size))
+    found = files.json_array(spark, str(tmp_path / "seed"), table.schema)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(odd, key=str)
+    sinks.json_arrays(table.limit(0), str(tmp_path / "none"), size)
+    assert files.json_array(spark, str(tmp_path / "none"), table.schema).count() == 0
+
+
+def test_a_folder_by_its_address(spark, tmp_path):
+    (tmp_path / "north").mkdir()
+    (tmp_path / "north" / "b.json").write_text('{"external_id": "2", "title": "Zoë"}\n', encoding="utf-8")
+    (tmp_path / "north" / "a.json").write_text('{"external_id": "1"}\n')
+    (tmp_path / "north" / "a.txt").write_text("no posting")
+    source = adapter.FolderAdapter()
+    source.configure({"folder": f"file://{tmp_path}/"})
+    assert [r[1:3] for r in source.fetch("north")] == [("1", None), ("2", "Zoë")] and source.latest("north") == 2 and not list(source.fetch("west"))
+    source.configure({"folder": f"file://{tmp_path}/none"})
+    assert not source.health_check()

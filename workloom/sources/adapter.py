@@ -15,7 +15,7 @@ name. The folder is opened by pyarrow's file systems: stores that these don't kn
 from __future__ import annotations
 
 import contextlib
-import glob
+import io
 import json
 import os
 import time
@@ -55,7 +55,8 @@ class SourceAdapter(ABC):
 class FolderAdapter(SourceAdapter):
     """Postings from JSON files, one object a line, in a folder for each region: stands in for sources that need a network.
 
-    The option ``folder``, or a subclass, names the folder, a subclass the ``source`` that its rows carry; fields that a line lacks are null. As a stream: files are never changed,
+    The option ``folder``, or a subclass, names the folder, a subclass the ``source`` that its rows carry; fields that a line lacks are null. The folder is opened by pyarrow's file systems.
+    As a stream: files are never changed,
     and new ones have names that come after all others.
     """
 
@@ -65,12 +66,22 @@ class FolderAdapter(SourceAdapter):
     def configure(self, options: dict[str, str]) -> None:
         self.folder = options.get("folder", self.folder)
 
+    def _store(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(_uri(self.folder.rstrip("/")))
+
     def health_check(self) -> bool:
-        return os.path.isdir(self.folder)
+        store, root = self._store()
+        return store.get_file_info(root).type.name == "Directory"
 
     def fetch(self, region: str) -> Iterator[tuple]:
-        for path in sorted(glob.glob(os.path.join(glob.escape(self.folder), glob.escape(region), "*.json"))):
-            with open(path, encoding="utf-8") as lines:
+        from pyarrow import fs
+
+        store, root = self._store()
+        found = store.get_file_info(fs.FileSelector(f"{root}/{region}", allow_not_found=True))
+        for path in sorted(f.path for f in found if f.is_file and f.base_name.endswith(".json")):
+            with store.open_input_stream(path) as raw, io.TextIOWrapper(raw, encoding="utf-8") as lines:
                 for line in filter(str.strip, lines):
                     row = json.loads(line)
                     yield (self.source, *(row.get(c) for c in ("external_id", "title", "company", "raw_text")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
@@ -35,6 +38,19 @@ def csv(rows: DataFrame, path: str) -> None:
     rows.select(*flat).write.mode("overwrite").option("header", True).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss").csv(path)
 
 
+def json_arrays(rows: DataFrame, path: str, size: int = 1000) -> None:
+    """Files of one JSON array each, of ``size`` records at most; nulls are written. Rows stay where they are."""
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, size):
+                records = batch.column(0).slice(i, size).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([f"[{','.join(records)}]"])], ["value"])
+
+    records = rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}))
+    records.mapInArrow(joined, "value string").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
 def reload(spark: SparkSession, tables: dict[str, DataFrame], folder: str) -> dict[str, tuple[int, int]]:
     """Replaces tables in the order given (parents first); returns rows expected and found of each."""
     found = {}
