@@ -55,9 +55,8 @@ class SourceAdapter(ABC):
 class FolderAdapter(SourceAdapter):
     """Postings from JSON files, one object a line, in a folder for each region: stands in for sources that need a network.
 
-    The option ``folder``, or a subclass, names the folder, a subclass the ``source`` that its rows carry; fields that a line lacks are null. The folder is opened by pyarrow's file systems.
-    As a stream: files are never changed,
-    and new ones have names that come after all others.
+    The option ``folder``, or a subclass, names the folder, a subclass the ``source`` that its rows carry; fields that a line lacks are null. The folder
+    is opened by pyarrow's file systems. As a stream: files are never changed, and new ones have names that come after all others.
     """
 
     folder = "."
