@@ -99,6 +99,18 @@ def test_searches_find_what_a_scan_finds(spark, names):
     assert found == [(i, *h) for i, t in enumerate(TERMS) for h in scanned(t)]
 
 
+def test_a_name_of_many_keys_is_indexed_once(spark, tmp_path):
+    rows = [(i, NAMES[i % 5]) for i in range(900)]
+    trigrams.build(spark.createDataFrame(rows, "k int, name string"), "k", "name", str(tmp_path), buckets=2)
+    index = trigrams.Index(spark, str(tmp_path), 2)
+    assert index.grams.count() == len({(n, n.lower()[i : i + m]) for n in NAMES[:5] for m in (1, 2, 3) for i in range(len(n) - m + 1)})
+    terms = spark.createDataFrame([(i, ("java", "c", "zzz")[i % 3]) for i in range(9)], "term_id int, term string")
+    found = sorted((r.term_id, r.key, r.tier) for r in index.search(terms).collect())
+    low = [(k, n.lower()) for k, n in rows]
+    assert found == sorted((i, k, 1 if n == t else 2 if n.startswith(t) else 3) for i in range(9) for t in [("java", "c", "zzz")[i % 3]] for k, n in low if t in n)
+    assert index.lookup("java").count() == sum("java" in n for _, n in low)
+
+
 @pytest.mark.parametrize("term", TERMS)
 def test_one_search_opens_only_its_buckets(names, term):
     found = names.lookup(term)
