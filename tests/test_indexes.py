@@ -50,6 +50,18 @@ def test_nearest_are_those_of_a_scan(spark, clustered, index, k):
     assert found == sorted(expected)
 
 
+def test_tiles_are_sent_once_each_and_not_by_pairs_of_blocks(spark, clustered, monkeypatch):
+    found = []
+    for tiles, product in ((1, 10_000), (3, 100)):
+        monkeypatch.setattr(cells, "TILES", tiles)
+        monkeypatch.setattr(cells, "PRODUCT", product)
+        index = cells.Cells(clustered[0], "k", "v", 24, cells=20, block=32)
+        assert index.tiles == tiles and "Join" not in index.near_duplicates(0.92)._jdf.queryExecution().toString()
+        terms = clustered[0].filter("k % 90 = 0").toDF("t", "tv")
+        found.append((sorted(map(tuple, index.near_duplicates(0.92).collect())), sorted((r.t, r["rank"], r.key) for r in index.nearest(terms, "t", "tv", 4).collect())))
+    assert found[0] == found[1]
+
+
 def test_an_index_of_nothing_and_of_one(spark):
     none = spark.createDataFrame([], "k int, v array<double>")
     assert cells.Cells(none, "k", "v", 3).near_duplicates(0.5).count() == 0

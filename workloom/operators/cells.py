@@ -6,7 +6,7 @@ block is a ring: no vector of it is nearer to the centre than its ``low`` or far
 
 What need not be opened follows from the triangle inequality. Two vectors of cosine similarity s are sqrt(2 - 2 s) apart, so a ring can hold
 something within r of a vector that is D from its centre only if low - r <= D <= high + r, and two rings only if their centres are no
-farther apart than both their highs and r. Near duplicates open the pairs of blocks that pass; nearest neighbours first search the
+farther apart than both their highs and r. Blocks are dealt to tiles, tiles meet in one task for each pair, and there near duplicates open the pairs of blocks that pass; nearest neighbours first search the
 term's own cell, take the distance of the k-th found there as r, and then open the blocks that pass. Nothing else can hold a better one, so results
 are those of a comparison of all pairs, whatever the centres are; how many pairs are opened depends on how the vectors lie.
 
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from workloom.operators.similarity import BLOCK
@@ -28,6 +29,8 @@ from workloom.sources.scratch import folder, written
 
 #: Vectors that the centres are made from, steps of k-means, and what rounding may add to a distance.
 SAMPLE, STEPS, SLACK = 8192, 8, 1e-6
+#: Tiles that the blocks are dealt to, as long as one is no more than TILE bytes; numbers of a product of two matrices.
+TILES, TILE, PRODUCT = 12, 32_000_000, 4_000_000
 
 
 def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +92,9 @@ class Cells:
     def __init__(self, rows: DataFrame, key: str, vector: str, dim: int, cells: int | None = None, block: int = BLOCK) -> None:
         self.spark: SparkSession = rows.sparkSession
         self.kind, self.dim, self.block = dict(rows.dtypes)[key], dim, block
-        n = cells or max(1, min(SAMPLE, int(rows.count() ** 0.5)))
+        total = rows.count()
+        n = cells or max(1, min(SAMPLE, int(total**0.5)))
+        self.tiles = max(TILES, -(-total * dim * 8 // TILE))
         self.centres = centres(rows, key, vector, dim, n)
         placed = written(_placed(rows, key, vector, self.centres, dim))
         # a cell of very many vectors is ordered in parts of its own: by ranges of the distance, and equal distances by the key's hash
@@ -139,83 +144,107 @@ class Cells:
         far = (apart > F.col("high") + F.col("other_high") + r) | (F.col("low") > apart + F.col("other_high") + r) | (F.col("other_low") > apart + F.col("high") + r)
         return met.filter(~far).select("id", "other_id", "n", "other_n")
 
+    def _tiled(self) -> DataFrame:
+        """The blocks with their tile, by hash. So much of the work is one task, and each block is sent to as many as there are tiles, not to each block it meets."""
+        return self.blocks.withColumn("_tile", F.pmod(F.xxhash64("id"), F.lit(self.tiles)).cast("int"))
+
     def near_duplicates(self, least: float) -> DataFrame:
         """key, first (the smallest key at least so similar, itself included), others (how many there are besides)."""
-        opened = self.pairs_opened(least).select("id", "other_id")
-        a = self.blocks.select("id", "n", "keys", "units")
-        b = a.toDF("other_id", "other_n", "other_keys", "other_units")
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    of = {c: batch.column(c)[i] for c in batch.schema.names}
-                    m, n = of["n"].as_py(), of["other_n"].as_py()
-                    one, two = of["units"].values.to_numpy().reshape(m, -1), of["other_units"].values.to_numpy().reshape(n, -1)
-                    close = np.round(one @ two.T, 12) >= least
-                    yield from _firsts(close, of["keys"].values, of["other_keys"].values)
-                    if of["id"] != of["other_id"]:
-                        yield from _firsts(close.T, of["other_keys"].values, of["keys"].values)
-
-        found = opened.join(a, "id").join(b, "other_id").mapInArrow(compare, f"key {self.kind}, first {self.kind}, n long")
+        radius, around, dim = float(np.sqrt(max(0.0, 2 - 2 * least))) + SLACK, self.spark.sparkContext.broadcast(self.centres), self.dim
+
+        def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+            a, b = _Rings(left, dim), _Rings(right, dim)
+            apart = _apart(around.value[a.cell], around.value[b.cell])
+            # from the centre of the one, the other's ring lies between apart - high and apart + high
+            near = (apart <= a.high[:, None] + b.high[None, :] + radius) & (a.low[:, None] <= apart + b.high[None, :] + radius) & (b.low[None, :] <= apart + a.high[:, None] + radius)
+            same = a.id[:, None] == b.id[None, :]
+            if same.any():  # a tile with itself: each pair of blocks once
+                near &= a.id[:, None] <= b.id[None, :]
+            first, n = np.full(len(a.keys), len(b.keys)), np.zeros(len(a.keys), np.int64)
+            first_b, n_b = np.full(len(b.keys), len(a.keys)), np.zeros(len(b.keys), np.int64)
+            for i in range(len(a.id)):
+                own = np.flatnonzero(a.ring == i)  # in the order of keys, as all rows of a tile
+                cols = np.flatnonzero(near[i][b.ring])
+                for start in range(0, len(cols), step := max(1, PRODUCT // len(own))):
+                    at = cols[start : start + step]
+                    close = np.round(a.units[own] @ b.units[at].T, 12) >= least
+                    hit = close.any(1)
+                    first[own[hit]] = np.minimum(first[own[hit]], at[close[hit].argmax(1)])
+                    n[own] += close.sum(1)
+                    close[:, same[i][b.ring[at]]] = False  # a block with itself is counted already
+                    hit = close.any(0)
+                    first_b[at[hit]] = np.minimum(first_b[at[hit]], own[close[:, hit].argmax(0)])
+                    n_b[at] += close.sum(0)
+            some, some_b = np.flatnonzero(n), np.flatnonzero(n_b)
+            keys = [pa.concat_arrays([x.take(pa.array(i)), y.take(pa.array(j))]) for x, i, y, j in ((a.keys, some, b.keys, some_b), (b.keys, first[some], a.keys, first_b[some_b]))]
+            return pa.Table.from_arrays([*keys, pa.array(np.concatenate([n[some], n_b[some_b]]))], ["key", "first", "n"])
+
+        one = self._tiled().withColumn("_other", F.explode(F.sequence(F.col("_tile"), F.lit(self.tiles - 1))))
+        two = self._tiled().withColumnRenamed("_tile", "_other").withColumn("_tile", F.explode(F.sequence(F.lit(0), F.col("_other"))))
+        found = one.groupBy("_tile", "_other").cogroup(two.groupBy("_tile", "_other")).applyInArrow(compare, f"key {self.kind}, first {self.kind}, n long")
         return found.groupBy("key").agg(F.min("first").alias("first"), (F.sum("n") - 1).alias("others"))
 
     def nearest(self, terms: DataFrame, term_key: str, term_vector: str, k: int) -> DataFrame:
         """The k vectors nearest to each term, with ``similarity`` and ``rank``."""
         kind = dict(terms.dtypes)[term_key]
         placed = written(_placed(terms, term_key, term_vector, self.centres, self.dim).withColumnRenamed("key", "term"))
-        own = self._best(placed.select("term", "cell", "unit"), kind, k)
+        own = written(self._best(placed.select("term", "cell", "unit", F.lit(None).cast("double").alias("reach")), placed.count(), kind, k))
         kth = own.groupBy("term").agg(F.min("similarity").alias("_s"), F.count("*").alias("_n"))
         reach = F.when(F.col("_n") < k, 2.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("_s")))) + SLACK
         # a term whose own centre has no vectors has no bound yet
-        wide = placed.join(kth, "term", "left").select("term", F.col("cell").alias("_own"), "unit", F.coalesce(reach, F.lit(2.0 + SLACK)).alias("reach"))
-        around, reach_of = self.spark.sparkContext.broadcast(self.centres), self.spark.sparkContext.broadcast(self._reach())
-
-        def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for start in range(0, batch.num_rows, 64):
-                    part = batch.slice(start, 64)
-                    unit = part.column("unit").flatten().to_numpy().reshape(part.num_rows, -1)
-                    away = _apart(unit, around.value)
-                    i, j = np.nonzero(away <= part.column("reach").to_numpy()[:, None] + reach_of.value[None, :])
-                    at = pa.array(i)
-                    yield pa.RecordBatch.from_arrays([part.column("term").take(at), part.column("_own").take(at), pa.array(j.astype(np.int32)), pa.array(away[i, j]), part.column("reach").take(at)], ["term", "_own", "cell", "away", "reach"])
-
-        ways = wide.mapInArrow(reached, f"term {kind}, _own int, cell int, away double, reach double")
-        ring = self.blocks.select("id", "cell", "low", "high")
-        opened = ways.filter("cell <> _own").join(ring, "cell").filter("low - reach <= away AND away <= high + reach").select("term", "id")
-        more = self._best(opened.join(placed.select("term", "unit"), "term"), kind, k)
+        wide = placed.join(kth, "term", "left").select("term", "cell", "unit", F.coalesce(reach, F.lit(2.0 + SLACK)).alias("reach"))
+        more = self._best(wide, placed.count(), kind, k)
         order = Window.partitionBy("term").orderBy(F.desc("similarity"), "key")
         return own.unionByName(more).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumnRenamed("term", term_key)
 
-    def _best(self, asked: DataFrame, kind: str, k: int) -> DataFrame:
-        """term, key, similarity: of each block that a term opens (asked: term, unit and a cell or a block's id) its best k."""
-        by = "id" if "id" in asked.columns else "cell"
-        dealt = asked.withColumn("_deal", F.floor((F.row_number().over(Window.partitionBy(by).orderBy("term")) - 1) / self.block))
-        packed = dealt.groupBy(by, "_deal").agg(F.collect_list(F.struct("term", "unit")).alias("_t"))
-        met = packed.select(by, F.col("_t.term").alias("terms"), F.flatten("_t.unit").alias("asked")).join(self.blocks.select("id", "cell", "n", "keys", "units"), by)
-
-        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    of = {c: batch.column(c)[i].values if c in ("terms", "asked", "keys", "units") else None for c in batch.schema.names}
-                    keys, names = of["keys"], of["terms"]
-                    s = np.round(of["units"].to_numpy().reshape(len(keys), -1) @ of["asked"].to_numpy().reshape(len(names), -1).T, 12)
-                    # keys of a block are in order, so a stable sort leaves ties to the smaller
-                    top = np.argsort(-s, axis=0, kind="stable")[:k]
-                    j = np.repeat(np.arange(len(names)), len(top))
-                    at = top.T.ravel()
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(j)), keys.take(pa.array(at)), pa.array(s[at, j])], ["term", "key", "similarity"])
-
-        found = met.mapInArrow(best, f"term {kind}, key {self.kind}, similarity double")
+    def _best(self, asked: DataFrame, n: int, kind: str, k: int) -> DataFrame:
+        """term, key, similarity: of each tile the best k for each of n terms (asked: term, cell, unit, reach), from the rings that are within its reach; without one, from those of its own cell, else from those of other cells."""
+        around, dim, parts = self.spark.sparkContext.broadcast(self.centres), self.dim, max(1, -(-n * self.dim * 8 // TILE))
+
+        def best(left: pa.Table, right: pa.Table) -> pa.Table:
+            rings, order = _Rings(right, dim), np.argsort(left.column("cell").to_numpy(), kind="stable")
+            left = left.take(pa.array(order)).combine_chunks()
+            units, cell = left.column("unit").combine_chunks().flatten().to_numpy().reshape(left.num_rows, dim), left.column("cell").to_numpy()
+            reach = left.column("reach").to_numpy(zero_copy_only=False)
+            rows, hits, sims = [], [], []
+            for start in range(0, len(cell), step := max(1, min(64, PRODUCT // max(1, len(rings.keys))))):
+                u, c, r = units[start : start + step], cell[start : start + step], reach[start : start + step, None]
+                away = _apart(u, around.value[rings.cell])
+                own, first = c[:, None] == rings.cell[None, :], np.isnan(r)
+                opened = np.where(first, own, ~own & (rings.low[None, :] - r <= away) & (away <= rings.high[None, :] + r))
+                at = np.flatnonzero(opened.any(0)[rings.ring])
+                s = np.where(opened[:, rings.ring[at]], np.round(u @ rings.units[at].T, 12), -np.inf)
+                for t in range(len(c)):
+                    line = s[t]
+                    some = np.flatnonzero(line >= np.partition(line, -k)[-k]) if len(line) > k else np.arange(len(line))
+                    some = some[np.isfinite(line[some])]
+                    # rows of a tile are in the order of keys, so a stable sort leaves ties to the smaller
+                    top = some[np.argsort(-line[some], kind="stable")[:k]]
+                    rows.append(np.full(len(top), start + t))
+                    hits.append(at[top])
+                    sims.append(line[top])
+            put = lambda x, kind: np.concatenate([np.zeros(0, kind), *x])
+            return pa.Table.from_arrays([left.column("term").combine_chunks().take(pa.array(put(rows, np.int64))), rings.keys.take(pa.array(put(hits, np.int64))), pa.array(put(sims, float))], ["term", "key", "similarity"])
+
+        to = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        terms = asked.withColumn("_part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")).withColumn("_tile", to(self.tiles))
+        rows = self._tiled().withColumn("_part", to(parts))
+        found = terms.groupBy("_part", "_tile").cogroup(rows.groupBy("_part", "_tile")).applyInArrow(best, f"term {kind}, key {self.kind}, similarity double")
         order = Window.partitionBy("term").orderBy(F.desc("similarity"), "key")
         return found.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k).drop("_rank")
 
 
-def _firsts(close: np.ndarray, keys: pa.Array, others: pa.Array) -> Iterator[pa.RecordBatch]:
-    """Of each row that is close to any: the first of the others, which are in order, and how many."""
-    some = np.flatnonzero(close.any(1))
-    if len(some):
-        yield pa.RecordBatch.from_arrays([keys.take(pa.array(some)), others.take(pa.array(close[some].argmax(1))), pa.array(close[some].sum(1))], ["key", "first", "n"])
+class _Rings:
+    """The blocks of a tile as one matrix: its rows in the order of their keys, each with the place of its ring."""
+
+    def __init__(self, blocks: pa.Table, dim: int) -> None:
+        blocks = blocks.combine_chunks()
+        flat = lambda c: blocks.column(c).combine_chunks().flatten()
+        self.id, self.cell, self.low, self.high, n = (blocks.column(c).to_numpy() for c in ("id", "cell", "low", "high", "n"))
+        keys = flat("keys")
+        order = pc.sort_indices(keys)
+        self.keys, self.ring = keys.take(order), np.repeat(np.arange(len(n)), n)[order.to_numpy()]
+        self.units = flat("units").to_numpy().reshape(len(keys), dim)[order.to_numpy()]
 
 
 def share_opened(index: Cells, least: float) -> float:
