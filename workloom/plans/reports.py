@@ -179,7 +179,8 @@ def overall_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity").join(_orders(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
     of = lambda status: F.avg(F.when(F.col("o_orderstatus") == status, F.col("l_quantity")))
     both = lines.groupBy("o_custkey").agg(of("O").alias("a"), of("F").alias("b"))
-    word = lambda c: F.coalesce(F.round(c, 2).cast("decimal(5,2)").cast("string"), F.lit("N/A"))
+    # as SQL rounds a double: of 1.005, which is a little less, Spark's round makes 1.01
+    word = lambda c: F.coalesce((F.round(c * 100) / 100).cast("decimal(5,2)").cast("string"), F.lit("N/A"))
     urgent = _orders(spark, sf_dir).filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("u"))
     people = _customers(spark, sf_dir).join(urgent, F.col("c_custkey") == F.col("u"), "left_semi")
     return people.join(both, F.col("c_custkey") == F.col("o_custkey"), "left").select(
