@@ -98,6 +98,28 @@ def test_names_mentioned(spark):
     assert rows(similarity.mentioned(said, "id", "said", names), "name") == [(1, "C++"), (1, "Go."), (1, "machine learning")]
 
 
+@pytest.mark.parametrize(("most", "join"), [(100, "BroadcastHashJoin"), (1, "SortMergeJoin")])
+def test_the_dictionary_is_broadcast_by_its_count_and_never_the_texts(spark, monkeypatch, most, join):
+    monkeypatch.setattr(similarity, "NAMES", most, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1" if most > 1 else "1g")
+    try:
+        said = spark.createDataFrame([(i, f"I know Go and skill {i % 3}") for i in range(30)], "id int, said string")
+        found = similarity.mentioned(said, "id", "said", spark.createDataFrame([("Go",), ("skill 1",), ("Skill 2",)], "name string"))
+        assert join in found._jdf.queryExecution().toString() and found.count() == 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_averages_are_rounded_as_sql_rounds_them(spark, tmp_path):
+    from workloom.plans import reports
+
+    spark.createDataFrame([(1,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, 1, "O", "1-URGENT")], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 10.0 + (i < 3)) for i in range(40)], "l_orderkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    # the mean is the double next to 10.075, which is less
+    assert [tuple(r) for r in reports.overall_averages(spark, str(tmp_path)).collect()] == [(1, "10.07", "N/A")]
+
+
 def test_tiers(spark):
     names = ["Java", "java", "Javascript", "Java (EE)", "Learn Java", "Spring (java)", "C"]
     table = spark.createDataFrame(list(enumerate(names)), "id int, name string")

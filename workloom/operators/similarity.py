@@ -24,6 +24,8 @@ from workloom.sources.scratch import written
 
 #: Vectors of a block: 2,000 of 1,536 doubles are 25 MB, and a product of two blocks 32 MB.
 BLOCK = 2000
+#: Names of a dictionary that is broadcast.
+NAMES = 100_000
 
 
 def _packed(rows: DataFrame, vector: str, side: str) -> DataFrame:
@@ -196,8 +198,11 @@ def mentioned(texts: DataFrame, key: str, text: str, names: DataFrame, longest:
     words = texts.select(key, w.alias("_w"))
     runs = lambda n: F.transform(F.slice("_w", 1, F.greatest(F.size("_w") - (n - 1), F.lit(0))), lambda x, i: F.array_join(F.slice("_w", i + 1, n), " "))
     each = words.select(key, F.array_distinct(F.flatten(F.array(*[runs(n) for n in range(1, longest + 1)]))).alias("_runs"))
-    known = names.select(F.col("name"), F.lower("name").alias("_name")).distinct()
-    return each.select(key, F.explode_outer("_runs").alias("_run")).join(known, F.col("_run") == F.col("_name")).select(key, "name")
+    known = written(names.select(F.col("name"), F.lower("name").alias("_name")).distinct())
+    # counted first, as Spark goes by the size of files, and would take the runs of all texts for the smaller side
+    said = each.select(key, F.explode_outer("_runs").alias("_run"))
+    said, known = (said, F.broadcast(known)) if known.limit(NAMES + 1).count() <= NAMES else (said.hint("merge"), known)
+    return said.join(known, F.col("_run") == F.col("_name")).select(key, "name")
 
 
 def parsed(texts: DataFrame, key: str, text: str, names: DataFrame, taxonomy: DataFrame) -> DataFrame:
