@@ -259,3 +259,12 @@ def test_percentiles_are_exact(spark):
     found = {r.g: tuple(r)[1:] for r in quantiles.exact(table, ["g"], "v", {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.95, "e": 1.0}).collect()}
     assert found["hot"] == pytest.approx(tuple(np.percentile(values, [0, 25, 50, 95, 100])), abs=1e-12)
     assert found["small"] == (1.0, 1.25, 1.5, 1.95, 2.0) and found["one"] == (7.0,) * 5 and found[None] == (3.0,) * 5 and "none" not in found
+
+
+def test_roles_are_dealt_before_their_lists_are_opened(spark, tmp_path, monkeypatch):
+    from workloom.plans import reference_data
+
+    monkeypatch.setattr(reference_data, "ROLES", 1, raising=False)
+    spark.createDataFrame([(i, "red bolt", "Brand#1", i, "SMALL") for i in range(9)], "p_partkey long, p_name string, p_brand string, p_size int, p_type string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert reference_data._listed_skills(spark, str(tmp_path)).rdd.getNumPartitions() == 9
+    assert reference_data.rebuilt_role_skills(spark, str(tmp_path)).groupBy().sum("links").first()[0] == 36

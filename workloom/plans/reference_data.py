@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from workloom.functions import rules, text
 from workloom.operators import facets, upserts
+from workloom.operators.similarity import NAMES
 from workloom.plans import stages
 from workloom.plans.pack import Pack
 from workloom.plans.read_models import listed
 from workloom.sources import table
+from workloom.sources.scratch import written
 
 query = Pack()
 QUERIES, ORACLES = query.queries, query.oracles
+#: Roles of one task.
+ROLES = 50_000
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +30,9 @@ _NORM = "lower(regexp_replace(trim(name), '[- ]', '', 'g'))"
 
 def _listed_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """role, name: the items of lists with blanks around them, digits at their ends, blank items and spellings that differ."""
-    parts = _t(spark, sf_dir, "part")
+    parts = _t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_type")
+    # dealt by role first: a small file may hold very many rows, and their items would all be one task's
+    parts = parts.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-parts.count() // ROLES)), "p_partkey")
     said = F.concat(F.col("p_partkey") % 3, "p_name", F.lit("~ "), "p_brand", F.lit(" ~"), "p_size", F.lit("D "), "p_type", F.lit("~~ ~"), F.upper("p_name"))
     return parts.select(F.col("p_partkey").alias("role"), F.explode(text.items(said)).alias("name"))
 
@@ -50,7 +56,9 @@ def canonical_listed_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rebuilt_role_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles are linked anew to canonical skills by the normalised name; two spellings in one role are two links."""
     rows = _listed_skills(spark, sf_dir).withColumn("norm", text.norm_name(F.col("name")))
-    names = upserts.canonical(rows.select("name"), "name", text.norm_name(F.col("name")))
+    names = written(upserts.canonical(rows.select("name"), "name", text.norm_name(F.col("name"))))
+    # counted first: with few names roles stay where they are, and are counted there
+    names = F.broadcast(names) if names.limit(NAMES + 1).count() <= NAMES else names.hint("merge")
     return rows.join(names, "norm").groupBy("role", F.col("canonical").alias("skill")).agg(F.count("*").alias("links"))
 
 
