@@ -234,3 +234,14 @@ def test_a_database_is_introspected_read_in_parts_and_migrated(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/to/skills").filter("RATING IS NULL").count() == 1
     base.write(spark.createDataFrame([("v", "b@example.org")], "ID string, EMAIL string"), '"APP"."USERS"')
     assert base.read("USERS").count() == 2
+
+
+def test_a_crowded_cell_is_more_than_one_task(spark, monkeypatch):
+    from workloom.operators import geo
+
+    monkeypatch.setattr(geo, "PAIRS", 100, raising=False)
+    rows = spark.createDataFrame([(i, 10 + i % 7 / 100, 20 + i % 5 / 100) for i in range(90)], "id int, lat double, lng double")
+    found = geo.within(rows, rows.toDF("other", "other_lat", "other_lng"), 50)
+    assert len({tuple(sorted((r.id, r.other))) for r in found.collect()}) == 90 * 91 // 2 and found.count() == 8100
+    held = found.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(held) > 4 and max(r["count"] for r in held) < 4050
