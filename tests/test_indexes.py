@@ -75,6 +75,12 @@ def test_vectors_of_other_lengths_have_no_similarity(spark):
     assert sorted(tuple(r) for r in similarity.near_duplicates(rows.coalesce(1), "k", "v", 0.9).collect()) == [(1, 1, 1), (2, 2, 0), (3, 1, 1), (6, 6, 0)]
 
 
+def test_pairs_of_blocks_are_never_rows(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0])], "k int, v array<double>")
+    plan = similarity.near_duplicates(rows, "k", "v", 0.9)._jdf.queryExecution().toString()
+    assert "CoGroup" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 def test_blocks_beyond_one_are_written_and_met(spark, monkeypatch):
     monkeypatch.setattr(similarity, "BLOCK", 3)
     rng = np.random.default_rng(1)

@@ -3,7 +3,7 @@
 A stated set of vectors (the terms of a query, the skills of a job) is held against all rows, in blocks: each side is packed into
 matrices of at most ``BLOCK`` vectors of length one where it is read, every block of the one meets every block of the other, and a
 product of two matrices is reduced at once (to the best k of each term, to the best of each person, to what is near), so pairs are
-never rows. Blocks are written once and then read by whatever meets them; if one side is a block at most, by count, it is broadcast instead.
+never rows. Blocks are written once and dealt to tiles; every tile of one side meets every tile of the other in one task.
 Near duplicates and nearest neighbours among very many vectors are a matter of ``cells``, which opens only blocks that can qualify.
 Similarities are rounded to 12 places, as the two sides of a pair may sum in another order.
 
@@ -24,6 +24,8 @@ from workloom.sources.scratch import written
 
 #: Vectors of a block: 2,000 of 1,536 doubles are 25 MB, and a product of two blocks 32 MB.
 BLOCK = 2000
+#: Tiles that the blocks of a side are dealt to, as long as one has no more than so many blocks.
+TILES, TILE_BLOCKS = 12, 16
 #: Names of a dictionary that is broadcast.
 NAMES = 100_000
 
@@ -57,20 +59,27 @@ def _packed(rows: DataFrame, vector: str, side: str) -> DataFrame:
 def _compared(terms: DataFrame, rows: DataFrame, reduce: Callable, schema: str) -> DataFrame:
     """Packed terms and rows, every block of the one with every block of the other, each product reduced to a batch."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                of = {name: batch.column(name)[i] for name in batch.schema.names}
-                lists = {name: x.values for name, x in of.items() if not name.endswith("_matrix")}
+    empty = rows.sparkSession.createDataFrame([], schema).toArrow().schema
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        for x in range(left.num_rows):
+            for y in range(right.num_rows):
+                of = {name: t.column(name)[i] for t, i in ((left, x), (right, y)) for name in t.column_names if not name.startswith("_")}
+                lists = {name: v.values for name, v in of.items() if not name.endswith("_matrix")}
                 n, m = len(next(v for k, v in lists.items() if k.startswith("r_"))), len(next(v for k, v in lists.items() if k.startswith("t_")))
                 r, t = (np.frombuffer(of[f"{s}_matrix"].as_buffer()).reshape(k, -1) for s, k in (("r", n), ("t", m)))
                 if r.shape[1] == t.shape[1]:
-                    yield reduce(np.round(r @ t.T, 12), lists)
-
-    # the one place where blocks, not rows, meet without a key
-    if (terms.agg(F.sum(F.size(terms.columns[0]))).first()[0] or 0) <= BLOCK:
-        return rows.crossJoin(F.broadcast(terms)).mapInArrow(compare, schema)
-    return written(rows).crossJoin(written(terms)).mapInArrow(compare, schema)
+                    found.append(pa.Table.from_batches([reduce(np.round(r @ t.T, 12), lists)]).cast(empty))
+        return pa.concat_tables(found) if found else empty.empty_table()
+
+    # blocks are written once and dealt to tiles, tiles of the one side meet those of the other: a block is sent to each tile, not to each block
+    terms, rows = written(terms), written(rows)
+    n, m = (min(TILES, max(1, x.count())) if x.count() <= TILES * TILE_BLOCKS else -(-x.count() // TILE_BLOCKS) for x in (rows, terms))
+    at = lambda side, k: F.pmod(F.xxhash64(f"{side}_matrix"), F.lit(k)).cast("int")
+    to = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    ours, theirs = rows.withColumn("_r", at("r", n)).withColumn("_t", to(m)), terms.withColumn("_t", at("t", m)).withColumn("_r", to(n))
+    return ours.groupBy("_r", "_t").cogroup(theirs.groupBy("_r", "_t")).applyInArrow(compare, schema)
 
 
 def _ranks(keys: pa.Array) -> np.ndarray:
