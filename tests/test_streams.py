@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import random
 import sys
 from datetime import datetime, timedelta
+from pathlib import Path
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from workloom.operators import transitions
-from workloom.plans import stages
+from workloom.plans import stages, streams
 from workloom.streaming import state
 
 START = datetime(2024, 1, 1)
@@ -70,6 +73,95 @@ def test_applications_of_three_batches_equal_one_batch(spark, tmp_path):
     assert {a: x[3] for a, x in found.items()} == {a: START + timedelta(days=3 + a * 3) <= watermark for a in range(7)}
 
 
+class Handle:
+    """State in memory, for calls of a processor outside a stream."""
+
+    def __init__(self):
+        self.maps, self.timers = {}, []
+
+    def getMapState(self, name, *_):
+        return self.maps.setdefault(name, Map())
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class Map(dict):
+    def getValue(self, key):
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def removeKey(self, key):
+        self.pop(key, None)
+
+
+def test_a_call_takes_all_postings_of_a_bucket():
+    rows = [(f"f{i % 50}", i * 7 % 3, None if i % 20 == 0 else f"{i * 31 % 97:03}", i) for i in range(200)]
+    winners, handle = state.Winners(90), Handle()
+    winners.init(handle)
+    day = 86_400_000
+    frames = [pd.DataFrame(rows[i : i + 60], columns=["fp", "priority", "id", "ms"]) for i in range(0, 200, 60)]
+    (changes,) = winners.handleInputRows((0,), iter(frames), None)
+    best = {fp: min(((p, d is None, d or "") for f, p, d, _ in rows if f == fp)) for fp in {r[0] for r in rows}}
+    assert {r.fp: (r.priority, r.id is None, r.id or "") for r in changes.itertuples()} == best
+    assert set(changes["copies"]) == {4} and set(changes["version"]) == {1} and len(handle.timers) == 1
+    assert list(winners.handleInputRows((0,), iter(frames), None)) == []
+    list(winners.handleInputRows((0,), iter([pd.DataFrame([("f3", 9, "x", 2 * day)], columns=["fp", "priority", "id", "ms"])]), None))
+    assert list(winners.handleExpiredTimer((0,), None, Expired(91 * day))) == []
+    assert set(handle.maps["best"]) == {("f3",)} and handle.timers == [91 * day, 92 * day]
+
+
+class Expired:
+    def __init__(self, at):
+        self.at = at
+
+    def getExpiryTimeInMs(self):
+        return self.at
+
+
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_winners_whatever_the_buckets(spark, tmp_path, monkeypatch, buckets):
+    monkeypatch.setattr(state, "BUCKETS", buckets)
+    deal = random.Random(3)
+    batches = [[(f"f{deal.randrange(40)}", deal.randrange(3), f"{deal.randrange(1000):03}", START + timedelta(days=b, hours=deal.randrange(24))) for _ in range(80)] for b in range(2)]
+    in_batches(spark, batches, "fp string, priority int, id string, ts timestamp", f"{tmp_path}/in", state.deduplicated, str(tmp_path))
+    expected = {}
+    for fp, priority, id_, _ in batches[0] + batches[1]:
+        expected[fp] = min(expected.get(fp, (9, "")), (priority, id_))
+    found = {r.fp: (r.priority, r.id) for r in state.current(spark, f"{tmp_path}/changes", state.POSTING, "fp").collect()}
+    assert found == expected
+
+
+def test_postings_far_apart_or_without_id_are_as_in_sql(spark, tmp_path):
+    """Equal texts eight million documents apart, and one without doc_id, are still copies."""
+    rows = [(i, f"text {i % 5}", "en", f"src{i % 4}") for i in [*range(20), 8_000_000, 8_000_001, 16_000_004]] + [(None, "text 1", "en", "src0"), (None, "alone", None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = streams.streamed_postings(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    expected = con.execute(f"SELECT fp, priority, id FROM ({streams.ORACLES['streamed_postings']})").fetchall()
+    assert sorted(map(str, map(tuple, found.select("fp", "priority", "id").collect()))) == sorted(map(str, expected))
+
+
+def test_a_range_is_not_one_file(spark, tmp_path, monkeypatch):
+    made = []
+
+    def folder(_):
+        made.append(f"{tmp_path}/{len(made)}")
+        return made[-1]
+
+    monkeypatch.setattr(streams, "folder", folder)
+    rows = spark.range(0, 3000, 1, 6).select("id", F.timestamp_seconds("id").alias("ts")).repartition(6)
+    out = streams._streamed(rows, F.col("ts"), lambda s: s.withWatermark("ts", "1 day"))
+    assert spark.read.parquet(out).count() == 3000
+    # files of each range, by the third that their rows lie in
+    files = spark.read.parquet(made[0]).select(F.input_file_name().alias("f"), F.floor(F.col("id") / 1000).alias("third"))
+    assert all(r.n > 1 for r in files.groupBy("third").agg(F.count_distinct("f").alias("n")).collect())
+    assert len(list(Path(made[0]).glob("*.parquet"))) > streams.BATCHES
+
+
 def halves(records: pd.DataFrame) -> pd.DataFrame:
     if (records["n"] % 100 == 13).any():
         raise KeyError("thirteen")

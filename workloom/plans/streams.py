@@ -1,8 +1,10 @@
-"""Streams and runs over the tables: each table is cut into files in the order of time and read as a stream of micro-batches, and what is left at
+"""Streams and runs over the tables: each table is cut into ranges of time and read as a stream of micro-batches, and what is left at
 the end is held against SQL over the whole table."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -19,13 +21,19 @@ QUERIES, ORACLES = query.queries, query.oracles
 BATCHES = 3
 
 
-def _streamed(rows: DataFrame, order: Column, batches: int = BATCHES) -> DataFrame:
-    """The rows as a stream: a file for each micro-batch, written one after the other, as a stream reads files by their age."""
-    path = folder(rows.sparkSession)
-    ranged = written(rows.repartitionByRange(batches, order).withColumn("_range", F.spark_partition_id()))
-    for i in range(batches):
-        ranged.filter(F.col("_range") == i).drop("_range").coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(path)
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+def _streamed(rows: DataFrame, order: Column, changes: Callable[[DataFrame], DataFrame]) -> str:
+    """The folder of the changes after all batches. Ranges of the order (a time) come one after the other: each is written in as many files as tasks hold
+    it, and the stream goes on from its checkpoint to take them as one micro-batch."""
+    spark = rows.sparkSession
+    path, out = folder(spark), folder(spark)
+    kept = written(rows.withColumn("_at", F.unix_micros(order)))
+    cuts = kept.approxQuantile("_at", [i / BATCHES for i in range(1, BATCHES)], 0.01)
+    part = sum((F.coalesce(F.col("_at") > cut, F.lit(False)).cast("int") for cut in cuts), F.lit(0))
+    for i in range(len(cuts) + 1):
+        kept.filter(part == i).drop("_at").write.mode("append").parquet(path)
+        stream = spark.readStream.schema(rows.schema).parquet(path)
+        state.start(changes(stream), f"{out}/changes", f"{out}/checkpoint").awaitTermination()
+    return f"{out}/changes"
 
 
 @query(
@@ -38,10 +46,9 @@ def streamed_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One posting for each fingerprint over all batches: the preferred source's wins whenever it comes, copies go no further."""
     mark = text.fingerprint(F.col("lang"), F.col("text"))
     rank = F.when(F.expr("try_cast(substr(source, 4) AS INT)") % 3 == 0, 0).otherwise(1)
-    rows = table(spark, sf_dir, "documents").select(mark.alias("fp"), rank.alias("priority"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"), F.timestamp_seconds(F.col("doc_id") + 1_000_000_000).alias("ts"))
-    out = folder(spark)
-    state.start(state.deduplicated(_streamed(rows, F.col("ts"))), f"{out}/changes", f"{out}/checkpoint").awaitTermination()
-    return state.current(spark, f"{out}/changes", state.POSTING, "fp").select("fp", "priority", "id")
+    ts = F.timestamp_micros(F.coalesce("doc_id", F.lit(0)) + 10**15)  # all ids of 12 digits lie within the days that a state is kept
+    rows = table(spark, sf_dir, "documents").select(mark.alias("fp"), rank.alias("priority"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"), ts.alias("ts"))
+    return state.current(spark, _streamed(rows, F.col("ts"), state.deduplicated), state.POSTING, "fp").select("fp", "priority", "id")
 
 
 _ASKED = "CASE event_type WHEN 'signup' THEN 'Applied' WHEN 'view' THEN 'I Withdrew' WHEN 'click' THEN 'Interviewing' WHEN 'purchase' THEN 'Negotiating' ELSE 'Accepted' END"
@@ -65,9 +72,7 @@ def streamed_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("application"), F.col("ts").cast("timestamp").alias("ts"), "event_id", asked.alias("asked"), F.when(F.col("event_type").isin("signup", "view"), "seeker").otherwise("employer").alias("who"),
         (F.lit("2024-01-10").cast("timestamp") + F.make_dt_interval((F.col("user_id") % 25).cast("int"))).alias("expires"),
     )
-    out = folder(spark)
-    state.start(state.application_changes(_streamed(rows, F.col("ts"))), f"{out}/changes", f"{out}/checkpoint").awaitTermination()
-    return state.current(spark, f"{out}/changes", state.APPLICATION, "application")
+    return state.current(spark, _streamed(rows, F.col("ts"), state.application_changes), state.APPLICATION, "application")
 
 
 def _scored(records: pd.DataFrame) -> pd.DataFrame:

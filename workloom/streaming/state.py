@@ -4,6 +4,9 @@ Both keep one small row of state for each key in the state store (RocksDB, so th
 whenever it changes, with a version that counts the key's changes. ``current`` reads the last version of each key: after any number of
 batches, and restarts from the checkpoint, it is what a batch over all rows would give.
 
+Fingerprints are dealt to a fixed number of buckets, each with a map of its keys' rows: a bucket's keys come in one call, which asks the map for those
+keys alone. A call for each key costs several times what is done in it. A second map holds the keys that wait for a timer, by its time.
+
 A posting's state ends when no copy of it has come for a while. An application's stays when its posting has expired, as its employer may move it
 still; it is closed to its seeker then. Rows later than the watermark are dropped by Spark before they get here.
 """
@@ -14,7 +17,7 @@ from collections.abc import Iterator
 from datetime import timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from workloom.operators.transitions import EARLY, EMPLOYER, SEEKER
@@ -29,42 +32,90 @@ def _millis(moment) -> int:
     return int((t.tz_localize(timezone.utc) if t.tzinfo is None else t).timestamp() * 1000)
 
 
+#: Buckets of keys. A checkpoint holds for the number that it was begun with.
+BUCKETS = 1024
+DAY = 86_400_000
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def _order(priority: int, id: str | None) -> tuple:
+    """Postings by priority, then by id; without an id after those that have one."""
+    return priority, id is None, id or ""
+
+
+class Waiting:
+    """Keys of a bucket that wait for a time: one timer for all that wait for the same."""
+
+    def __init__(self, handle: StatefulProcessorHandle, key_type: str) -> None:
+        self.handle = handle
+        self.keys = handle.getMapState("waiting", "until long", f"keys array<{key_type}>")
+
+    def add(self, keys: dict[int, list]) -> None:
+        for until, more in keys.items():
+            before = self.keys.getValue((until,))
+            self.keys.updateValue((until,), ([*before[0], *more] if before else more,))
+            if not before:
+                self.handle.registerTimer(until)
+
+    def pop(self, until: int) -> list:
+        before = self.keys.getValue((until,))
+        self.keys.removeKey((until,))
+        return list(before[0]) if before else []
+
+
 class Winners(StatefulProcessor):
     """Of the postings of one fingerprint: the one of the least priority, then of the smallest id. Other copies are counted, and go no further."""
 
     def __init__(self, keep_days: int) -> None:
-        self.keep_ms = keep_days * 86_400_000
+        self.keep_ms = keep_days * DAY
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.best = handle.getValueState("best", "priority int, id string, copies long, version long, latest long")
+        self.best = handle.getMapState("best", "fp string", "priority int, id string, copies long, version long, latest long")
+        self.waiting = Waiting(handle, "string")
+
+    def _until(self, latest: int) -> int:
+        """Up to the full day, so that a bucket has few timers."""
+        return -(-(latest + self.keep_ms) // DAY) * DAY
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.best.get()
-        copies, version, latest = known[2:] if known else (0, 0, 0)
-        frames = list(rows)
-        if known and _millis(min(f["ts"].min() for f in frames)) > latest + self.keep_ms:
-            known, copies = None, 0  # its time was over before the timer ran
-        best = (known[0], known[1]) if known else None
-        for frame in frames:
-            copies += len(frame)
-            one = min(zip(frame["priority"], frame["id"], strict=True))
-            best = one if best is None else min(best, one)
-            latest = max(latest, _millis(frame["ts"].max()))
-        changed = known is None or best < (known[0], known[1])
-        version += changed
-        self.best.update((int(best[0]), str(best[1]), int(copies), int(version), int(latest)))
-        if version == 1 and changed:
-            self.handle.registerTimer(latest + self.keep_ms)
-        if changed:
-            yield pd.DataFrame([(key[0], best[0], best[1], copies, version, "replaces" if known else "new")], columns=["fp", "priority", "id", "copies", "version", "action"])
+        batch: dict[str, tuple] = {}
+        for frame in rows:
+            ids = frame["id"].astype(object).where(frame["id"].notna(), None)
+            for fp, priority, id, ms in zip(frame["fp"].tolist(), frame["priority"].tolist(), ids.tolist(), frame["ms"].tolist(), strict=True):
+                seen = batch.get(fp)
+                best, copies, first, latest = seen or ((priority, id), 0, ms, ms)
+                batch[fp] = min(best, (priority, id), key=lambda p: _order(*p)), copies + 1, min(first, ms), max(latest, ms)
+        changes, new = [], {}
+        for fp, (best, copies, first, latest) in batch.items():
+            before = self.best.getValue((fp,))
+            version = before[3] if before else 0
+            known = before if before and first <= before[4] + self.keep_ms else None  # else its time was over before the timer ran
+            changed = known is None or _order(*best) < _order(known[0], known[1])
+            if known:
+                copies, latest = copies + known[2], max(latest, known[4])
+                best = best if changed else (known[0], known[1])
+            version += changed
+            self.best.updateValue((fp,), (*best, copies, version, latest))
+            if before is None:
+                new.setdefault(self._until(latest), []).append(fp)
+            if changed:
+                changes.append((fp, *best, copies, version, "replaces" if known else "new"))
+        self.waiting.add(new)
+        if changes:
+            yield pd.DataFrame(changes, columns=["fp", "priority", "id", "copies", "version", "action"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = self.best.get()[4] + self.keep_ms
-        if until > expiredTimerInfo.getExpiryTimeInMs():
-            self.handle.registerTimer(until)  # a copy has come since
-        else:
-            self.best.clear()
+        now, later = expiredTimerInfo.getExpiryTimeInMs(), {}
+        for fp in self.waiting.pop(now):
+            until = self._until(self.best.getValue((fp,))[4])
+            if until > now:
+                later.setdefault(until, []).append(fp)  # a copy has come since
+            else:
+                self.best.removeKey((fp,))
+        self.waiting.add(later)
         return iter(())
 
     def close(self) -> None:
@@ -107,8 +158,8 @@ class Applications(StatefulProcessor):
 
 def deduplicated(postings: DataFrame, keep_days: int = 90, late: str = "1 day") -> DataFrame:
     """postings: a stream of fp, priority (the preferred source's is the least), id, ts. Changes of who stands for a fingerprint."""
-    rows = postings.select("fp", F.col("priority").cast("int"), F.col("id").cast("string"), "ts").withWatermark("ts", late)
-    return rows.groupBy("fp").transformWithStateInPandas(Winners(keep_days), POSTING, "Append", "EventTime")
+    rows = postings.select("fp", F.col("priority").cast("int"), F.col("id").cast("string"), "ts", F.unix_millis("ts").alias("ms"), _bucket("fp")).withWatermark("ts", late)
+    return rows.groupBy("bucket").transformWithStateInPandas(Winners(keep_days), POSTING, "Append", "EventTime")
 
 
 def application_changes(requests: DataFrame, late: str = "1 day") -> DataFrame:
