@@ -162,6 +162,24 @@ def test_a_range_is_not_one_file(spark, tmp_path, monkeypatch):
     assert len(list(Path(made[0]).glob("*.parquet"))) > streams.BATCHES
 
 
+def test_a_call_takes_all_applications_of_a_bucket():
+    asks = ["Applied", "I Withdrew", "Interviewing", "Negotiating", "Accepted", "Applied"]
+    columns = ["application", "micros", "event_id", "asked", "who", "live", "ends"]
+    rows = [(i % 30, 10_000 - i, i, asks[i * 5 % 6], "seeker" if asks[i * 5 % 6] in transitions.SEEKER else "employer", i % 7 > 0, 1000 + i % 30 % 2) for i in range(300)]
+    expected = {}
+    for app, _, _, wants, who, live, _ in reversed(rows):
+        now, legal, n = expected.get(app, ("", 0, 0))
+        ok = (who == "seeker" and live and now in transitions.EARLY) or (who == "employer" and now != "")
+        expected[app] = (wants if ok else now, legal + ok, n + 1)
+    applications, handle = state.Applications(), Handle()
+    applications.init(handle)
+    (changes,) = applications.handleInputRows((0,), iter([pd.DataFrame(rows[:130], columns=columns), pd.DataFrame(rows[130:], columns=columns)]), None)
+    assert {r.application: (r.state, r.legal, r.asked) for r in changes.itertuples()} == expected and not changes["closed"].any()
+    assert sorted(handle.timers) == [1000, 1001]
+    (closed,) = applications.handleExpiredTimer((0,), None, Expired(1000))
+    assert set(closed["application"]) == set(range(0, 30, 2)) and closed["closed"].all() and set(closed["version"]) == {2}
+
+
 def halves(records: pd.DataFrame) -> pd.DataFrame:
     if (records["n"] % 100 == 13).any():
         raise KeyError("thirteen")

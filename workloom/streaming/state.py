@@ -4,7 +4,7 @@ Both keep one small row of state for each key in the state store (RocksDB, so th
 whenever it changes, with a version that counts the key's changes. ``current`` reads the last version of each key: after any number of
 batches, and restarts from the checkpoint, it is what a batch over all rows would give.
 
-Fingerprints are dealt to a fixed number of buckets, each with a map of its keys' rows: a bucket's keys come in one call, which asks the map for those
+Keys are dealt to a fixed number of buckets, each with a map of its keys' rows: a bucket's keys come in one call, which asks the map for those
 keys alone. A call for each key costs several times what is done in it. A second map holds the keys that wait for a timer, by its time.
 
 A posting's state ends when no copy of it has come for a while. An application's stays when its posting has expired, as its employer may move it
@@ -14,7 +14,8 @@ still; it is closed to its seeker then. Rows later than the watermark are droppe
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import timezone
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -27,11 +28,6 @@ POSTING = "fp string, priority int, id string, copies long, version long, action
 APPLICATION = "application long, state string, legal long, asked long, closed boolean, version long"
 
 
-def _millis(moment) -> int:
-    t = pd.Timestamp(moment)
-    return int((t.tz_localize(timezone.utc) if t.tzinfo is None else t).timestamp() * 1000)
-
-
 #: Buckets of keys. A checkpoint holds for the number that it was begun with.
 BUCKETS = 1024
 DAY = 86_400_000
@@ -123,34 +119,43 @@ class Winners(StatefulProcessor):
 
 
 class Applications(StatefulProcessor):
-    """The states of one application. Requests of a batch are taken in order; when the posting has expired the application is closed."""
+    """The states of applications. Requests of a batch are taken in order; when its posting has expired an application is closed."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.now = handle.getValueState("now", "state string, legal long, asked long, closed boolean, version long")
+        self.now = handle.getMapState("now", "application long", "state string, legal long, asked long, closed boolean, version long")
+        self.waiting = Waiting(handle, "long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state, legal, asked, closed, version = self.now.get() or ("", 0, 0, False, 0)
-        requests = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        for wants, who, ts, expires in zip(requests["asked"], requests["who"], requests["ts"], requests["expires"], strict=True):
-            asked += 1
-            by_seeker = who == "seeker" and wants in SEEKER and ts < expires and state in EARLY
-            if by_seeker or (who == "employer" and wants in EMPLOYER and state != ""):
-                state, legal = wants, legal + 1
-        version += 1
-        if version == 1:
-            self.handle.registerTimer(_millis(requests["expires"].iloc[0]))
-        self.now.update((state, int(legal), int(asked), bool(closed), int(version)))
-        yield self._row(key, state, legal, asked, closed, version)
+        requests = pd.concat(list(rows)).sort_values(["application", "micros", "event_id"])
+        changes, new = [], {}
+        for application, asks in groupby(zip(*(requests[c].tolist() for c in ("application", "asked", "who", "live", "ends")), strict=True), key=itemgetter(0)):
+            before = self.now.getValue((application,))
+            state, legal, asked, closed, version = before or ("", 0, 0, False, 0)
+            for i, (_, wants, who, live, ends) in enumerate(asks):
+                if i == 0 and not before:
+                    new.setdefault(ends, []).append(application)
+                asked += 1
+                by_seeker = who == "seeker" and wants in SEEKER and live and state in EARLY
+                if by_seeker or (who == "employer" and wants in EMPLOYER and state != ""):
+                    state, legal = wants, legal + 1
+            now = (state, legal, asked, closed, version + 1)
+            self.now.updateValue((application,), now)
+            changes.append((application, *now))
+        self.waiting.add(new)
+        yield self._rows(changes)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state, legal, asked, _, version = self.now.get()
-        self.now.update((state, int(legal), int(asked), True, int(version + 1)))
-        yield self._row(key, state, legal, asked, True, version + 1)
+        changes = []
+        for application in self.waiting.pop(expiredTimerInfo.getExpiryTimeInMs()):
+            state, legal, asked, _, version = self.now.getValue((application,))
+            now = (state, legal, asked, True, version + 1)
+            self.now.updateValue((application,), now)
+            changes.append((application, *now))
+        yield self._rows(changes)
 
     @staticmethod
-    def _row(key, *values) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *values)], columns=["application", "state", "legal", "asked", "closed", "version"])
+    def _rows(changes: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(changes, columns=["application", "state", "legal", "asked", "closed", "version"])
 
     def close(self) -> None:
         pass
@@ -165,8 +170,9 @@ def deduplicated(postings: DataFrame, keep_days: int = 90, late: str = "1 day")
 def application_changes(requests: DataFrame, late: str = "1 day") -> DataFrame:
     """requests: a stream of application, ts, event_id, asked, who, expires. The state of an application after each batch that asks of it,
     and once more, closed, when its posting has expired."""
-    rows = requests.select(F.col("application").cast("long"), "ts", "event_id", "asked", "who", "expires").withWatermark("ts", late)
-    return rows.groupBy("application").transformWithStateInPandas(Applications(), APPLICATION, "Append", "EventTime")
+    live, ends = F.coalesce(F.col("ts") < F.col("expires"), F.lit(False)).alias("live"), F.unix_millis("expires").alias("ends")
+    rows = requests.withColumn("application", F.col("application").cast("long")).select("application", "ts", F.unix_micros("ts").alias("micros"), "event_id", "asked", "who", live, ends, _bucket("application")).withWatermark("ts", late)
+    return rows.groupBy("bucket").transformWithStateInPandas(Applications(), APPLICATION, "Append", "EventTime")
 
 
 def start(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
