@@ -129,6 +129,23 @@ def test_a_name_of_many_keys_is_indexed_once(spark, tmp_path):
     assert index.lookup("java").count() == sum("java" in n for _, n in low)
 
 
+def test_what_a_row_comes_to_is_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(trigrams, "LIST", 5)
+    monkeypatch.setattr(trigrams, "BLOCK", 12)
+    trigrams.build(spark.range(600).selectExpr("id k", "if(id < 560, 'java', concat('java ', id)) name"), "k", "name", str(tmp_path), buckets=2)
+    index = trigrams.Index(spark, str(tmp_path), 2)
+    terms = spark.createDataFrame([(i, "jav") for i in range(400)] + [(400, "java 590")], "term_id int, term string")
+    blocks = index._blocks(terms, index._met(terms).join(index.names, "name_id"))
+    pairs = F.size("ids") * F.size("keys")
+    assert tuple(blocks.agg(F.max(pairs), F.sum(pairs), F.max(F.size("ids")), F.max(F.size("keys"))).first()) == (12, 400 * 600 + 1, 5, 5)
+    found = index.search(terms)
+    rows = found.select("term_id", "key", "tier").collect()
+    assert len(rows) == 400 * 600 + 1 and set(rows) == {(i, k, 2) for i in range(400) for k in range(600)} | {(400, 590, 1)}
+    found.collect()
+    cut = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate explode(CASE" in line and "keys#" in line]
+    assert cut and not any("*(" in line.split("Generate")[0] for line in cut)  # else its rows would be made in the loop that spreads them
+
+
 @pytest.mark.parametrize("term", TERMS)
 def test_one_search_opens_only_its_buckets(names, term):
     found = names.lookup(term)
